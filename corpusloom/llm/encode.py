@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import pretokenize
@@ -154,7 +155,7 @@ def encoder(sent) -> Encoder:
 def chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes of text each, at least a row."""
     col = batch.column(column)
-    size = np.asarray(pa.compute.binary_length(col).fill_null(0), np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    size = np.asarray(pc.binary_length(col).fill_null(0), np.int64) if batch.num_rows else np.zeros(0, np.int64)
     group, begin = np.cumsum(size) // most, 0
     for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
         if end > begin:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import encode
+from corpusloom.llm import binpack, encode, mix, split
 from corpusloom.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,67 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = split.items_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+    return split.split_oversized(items, table(spark, sf_dir, "render_specs"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece = 1").select("item_table", "item_id")
+
+
+@query
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.plan_mix(*(table(spark, sf_dir, t) for t in ("documents", "source_specs", "source_parts")))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).where("short").select("spec_name", F.col("part_config").alias("config"))
+
+
+@query
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir)
+
+
+@query
+def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.realise(table(spark, sf_dir, "documents"), _plan(spark, sf_dir))
+
+
+@query
+def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.fill_bins(binpack.token_sizes(table(spark, sf_dir, "documents")))
+
+
+@query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.fill_report(p7_bins(spark, sf_dir))
+
+
+SQL["p3_found"] = """
+WITH lim AS (SELECT spec_name, min(max_example_tokens) AS most FROM render_specs WHERE max_example_tokens IS NOT NULL GROUP BY 1),
+items AS (
+  SELECT 'documents' AS item_table, doc_id AS item_id, render_spec, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'conversations', conv_id, render_spec, list_sum(list_transform(messages, lambda m: coalesce(octet_length(encode(m.content)), 0))) FROM conversations)
+SELECT DISTINCT item_table, item_id FROM items JOIN lim ON render_spec = spec_name WHERE size > most
+"""
+
+SQL["p4_found"] = r"""
+WITH pool AS (
+  SELECT dataset_name, lower(trim(source)) AS config, count(*) AS n FROM documents
+  WHERE split = 'train' AND text IS NOT NULL AND regexp_matches(text, '[^\s\p{Z}\x{85}\x1c-\x1f\x{feff}\x{200b}-\x{200d}\x{2060}]') GROUP BY 1, 2)
+SELECT s.spec_name, p.config FROM source_parts p JOIN source_specs s USING (spec_name)
+LEFT JOIN pool ON pool.dataset_name = s.dataset_name AND pool.config = lower(trim(p.config))
+WHERE s.n_train_docs IS NOT NULL AND p.weight IS NOT NULL
+  AND p.weight * s.n_train_docs > p.max_repeats * least(coalesce(n, 0), coalesce(p.cap, coalesce(n, 0)))
+"""
