@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import binpack, encode, mix, split
+from corpusloom.llm import binpack, encode, leakage, mix, neardup, pairs, quality, split
 from corpusloom.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,40 @@ LEFT JOIN pool ON pool.dataset_name = s.dataset_name AND pool.config = lower(tri
 WHERE s.n_train_docs IS NOT NULL AND p.weight IS NOT NULL
   AND p.weight * s.n_train_docs > p.max_repeats * least(coalesce(n, 0), coalesce(p.cap, coalesce(n, 0)))
 """
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query
+def p2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neardup.cross_split_pairs(table(spark, sf_dir, "documents"))
+    return near.select(F.least("train_id", "eval_id").alias("doc_id_a"), F.greatest("train_id", "eval_id").alias("doc_id_b"))
+
+
+@query
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return neardup.overlap_report(neardup.cross_split_pairs(documents), documents)
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+@query
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective(table(spark, sf_dir, "conversations"))
