@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import encode
-from corpusloom.llm.words import Ids, common_in_order
+from corpusloom.llm.words import Ids, common_in_order, shared
 from corpusloom.session import cut
 
 SHINGLE, BANDS, ROWS = 3, 40, 3
@@ -101,7 +101,9 @@ def _verify(share: float):
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 j = both / max(1, len(sa) + len(sb) - both)
                 # a common subsequence is at most as long as the words shared in any order
-                n = common_in_order(a, b) / max(len(a), len(b), 1)
+                n = 0.0
+                if shared(a, b) >= share * max(len(a), len(b), 1):
+                    n = common_in_order(a, b) / max(len(a), len(b), 1)
                 jaccard.append(j), order.append(n), ok.append(n >= share)
             out = f[["same_a", "same_b"]].assign(jaccard=jaccard, in_order=order)
             yield out[np.array(ok, bool)]

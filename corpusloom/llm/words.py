@@ -62,3 +62,11 @@ def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
             u = s & m
             s = ((s + u) | (s - u)) & mask
     return len(a) - s.bit_count()
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Words in both, counted as often as in the one that has fewer."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
