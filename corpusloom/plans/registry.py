@@ -2,13 +2,371 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.functions.sampling import LR_DEFAULTS, lr_schedule as lr
+from corpusloom.operators import bpe, chat, evaluation, packing, stream
+from corpusloom.operators.ranking import spread_rank
+from corpusloom.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BLOCK, CHAT_MAX, SEED = 512, 2048, 42
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", F.lower(F.trim("source")).alias("config"), "text", "dataset_name", "shard")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.folded(table(spark, sf_dir, "conversations"))
+
+
+@query
+def scan_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", "n_chars")
+
+
+@query
+def list_splits(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(F.lower(F.trim("source")).alias("config"), "split").agg(F.count(F.lit(1)).alias("n_rows")).orderBy(F.desc("n_rows"), "config", "split")
+
+
+@query
+def shard_names(spark, sf_dir):
+    return spark.range(16).select(F.col("id").alias("shard_no"), F.format_string("web-dedup/train-%05d-of-%05d.parquet", "id", F.lit(104)).alias("name"))
+
+
+@query
+def part_cap(spark, sf_dir):
+    d = _docs(spark, sf_dir).where("config is not null").select("doc_id", "config")
+    return spread_rank(d, ["config"], stream.digest("part", "config", "doc_id"), ties=["doc_id"]).where("rank < 20").select("doc_id", "config", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def part_union(spark, sf_dir):
+    parts = table(spark, sf_dir, "source_parts").join(table(spark, sf_dir, "source_specs").select("spec_name", "dataset_name"), "spec_name")
+    parts = parts.where("weight is not null").select("spec_name", "part_no", "dataset_name", F.lower(F.trim("config")).alias("config"), "cap")
+    rows = _docs(spark, sf_dir).select("doc_id", "dataset_name", "config").join(parts, ["dataset_name", "config"])
+    ranked = spread_rank(rows, ["spec_name", "part_no"], stream.digest("union", "spec_name", "doc_id"), ties=["doc_id"])
+    return ranked.where("cap is null or rank < cap").groupBy("spec_name").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("config").alias("n_parts"))
+
+
+@query
+def pool_order(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id")
+    return spread_rank(d, [], stream.digest("pool", "doc_id"), ties=["doc_id"]).select("doc_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def train_val_split(spark, sf_dir):
+    r = pool_order(spark, sf_dir)
+    return r.where("rank < 550").select("doc_id", F.when(F.col("rank") < 50, "val").otherwise("train").alias("part"))
+
+
+@query
+def tokenizer_sample(spark, sf_dir):
+    return pool_order(spark, sf_dir).where("rank >= 50 and rank < 250").select("doc_id")
+
+
+@query
+def corpus_meta(spark, sf_dir):
+    n, b = F.col("n_tokens"), F.col("n_bytes")
+    d = _docs(spark, sf_dir).select(F.octet_length("text").alias("n_bytes0"))
+    sized = d.select((F.col("n_bytes0") + 3).alias("n_tokens"), (F.col("n_bytes0") + len(T.SEP)).alias("n_bytes"))
+    return sized.agg(
+        F.count(F.lit(1)).alias("n_examples"), F.sum(n).alias("n_tokens"), F.sum(b).alias("n_bytes"), F.round(F.sum(n) / F.sum(b), 6).alias("tokens_per_byte"), F.round(F.count(F.lit(1)) / F.sum(n), 6).alias("sep_frac")
+    )
+
+
+@query
+def render_pretrain(spark, sf_dir):
+    return stream.byte_ids(_docs(spark, sf_dir)).select("doc_id", F.size("ids").cast("bigint").alias("n"), F.md5(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))).alias("ids_md5"))
+
+
+def _lengths(spark, sf_dir):
+    return stream.lengths(stream.layout(_docs(spark, sf_dir)))
+
+
+@query
+def doc_lengths(spark, sf_dir):
+    return _lengths(spark, sf_dir).select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("rank", "start", "n")))
+
+
+@query
+def token_histogram(spark, sf_dir):
+    return stream.token_histogram(stream.byte_ids(_docs(spark, sf_dir)))
+
+
+@query
+def sort_by_length(spark, sf_dir):
+    return stream.sort_by_length(_lengths(spark, sf_dir)).select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("n", "new_rank", "new_start")))
+
+
+@query
+def sort_verify(spark, sf_dir):
+    """One row: how many lengths differ between the stream and its sorted form, and how many sorted documents do not begin where the one before ends; both must be 0."""
+    d = _lengths(spark, sf_dir)
+    s = stream.sort_by_length(d)
+    a, b = d.groupBy("n").count(), s.groupBy("n").count()
+    differ = a.exceptAll(b).union(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("histogram_differs"))
+    bounds = s.groupBy("n").agg(F.min("new_start").alias("lo"), F.max(F.col("new_start") + F.col("n")).alias("hi"), F.countDistinct("new_start").alias("starts"), F.count(F.lit(1)).alias("rows"))
+    gaps = bounds.withColumn("prev", F.lag("hi").over(Window.orderBy("n"))).agg(F.coalesce(F.sum(((F.col("lo") != F.coalesce("prev", F.lit(1))) | (F.col("starts") != F.col("rows"))).cast("bigint")), F.lit(0)).alias("gaps"))
+    return differ.crossJoin(F.broadcast(gaps))
+
+
+@query
+def length_index(spark, sf_dir):
+    return stream.length_index(_lengths(spark, sf_dir))
+
+
+@query
+def token_offset(spark, sf_dir):
+    index = length_index(spark, sf_dir)
+    total = stream.layout(_docs(spark, sf_dir)).agg(F.sum("n_tokens").alias("total"))
+    asked = spark.createDataFrame([(x,) for x in (1, 700, 1500, 5000, 1_000_000_000)], "asked bigint")
+    found = asked.join(F.broadcast(index), F.col("min_tokens") >= F.col("asked"), "left").groupBy("asked").agg(F.min_by("token_offset", "min_tokens").alias("at"))
+    return found.crossJoin(F.broadcast(total)).select("asked", F.coalesce("at", "total").alias("token_offset"))
+
+
+@query
+def band_docs(spark, sf_dir):
+    index = length_index(spark, sf_dir)
+    total = stream.layout(_docs(spark, sf_dir)).agg(F.sum("n_tokens").alias("total"))
+    bands = spark.createDataFrame([("short", 0, 700), ("middle", 700, 1500), ("long", 1500, 1_000_000_000)], "band string, lo bigint, hi bigint")
+    off = lambda c: F.min_by("token_offset", F.when(F.col("min_tokens") >= F.col(c), F.col("min_tokens")))
+    got = bands.crossJoin(F.broadcast(index)).groupBy("band", "lo", "hi").agg(off("lo").alias("t0"), off("hi").alias("t1")).crossJoin(F.broadcast(total))
+    at = got.select("band", F.coalesce("t0", "total").alias("t0"), F.coalesce("t1", "total").alias("t1"))
+    near = lambda t, c: F.min_by(c, F.struct(F.abs(F.col("token_offset") - F.col(t)), F.col("min_tokens")))
+    ends = at.crossJoin(F.broadcast(index)).groupBy("band").agg(near("t0", "doc_offset").alias("d0"), near("t0", "token_offset").alias("o0"), near("t1", "doc_offset").alias("d1"), near("t1", "token_offset").alias("o1"))
+    return ends.select("band", (F.col("d1") - F.col("d0")).alias("n_docs"), F.round((F.col("o1") - F.col("o0")) / F.nullif(F.col("d1") - F.col("d0"), F.lit(0)), 6).alias("mean_tokens"))
+
+
+def _samples(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return stream.samples(stream.windows(stream.byte_ids(d), stream.layout(d), BLOCK), BLOCK)
+
+
+def _md5(c: str):
+    return F.md5(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))))
+
+
+@query
+def window_cut(spark, sf_dir):
+    return _samples(spark, sf_dir).select(F.col("window").cast("bigint").alias("window"), _md5("x").alias("x_md5"), _md5("y").alias("y_md5"))
+
+
+@query
+def segment_ids(spark, sf_dir):
+    return _samples(spark, sf_dir).select(F.col("window").cast("bigint").alias("window"), _md5("seg").alias("seg_md5"))
+
+
+@query
+def window_stats(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return s.agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.avg(F.array_max("seg")) + 1, 6).alias("segs_per_window"))
+
+
+@query
+def attention_pairs(spark, sf_dir):
+    s = _samples(spark, sf_dir).select(F.col("window").cast("bigint").alias("window"), F.explode("seg").alias("g"))
+    return s.groupBy("window", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("window").agg(F.sum(F.expr("k * (k + 1) div 2")).cast("bigint").alias("pairs"))
+
+
+def _epochs(spark, sf_dir, epochs=2):
+    n = stream.layout(_docs(spark, sf_dir)).agg(F.greatest(F.lit(0), F.floor((F.sum("n_tokens") - 1) / BLOCK)).alias("n"))
+    rows = n.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "n").where("n > 0").select("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("window"))
+    r = spread_rank(rows, ["epoch"], stream.digest("epoch", "epoch", "window"), ties=["window"])
+    return r.select(F.col("epoch").cast("bigint").alias("epoch"), F.col("rank").cast("bigint").alias("pos"), F.col("window"))
+
+
+@query
+def epoch_order(spark, sf_dir):
+    """Windows in the order of two epochs, resumed behind the first 100 of epoch 0."""
+    return _epochs(spark, sf_dir).where("epoch > 0 or pos >= 100")
+
+
+@query
+def shard_slices(spark, sf_dir):
+    return _epochs(spark, sf_dir, 1).where("pos % 8 = 3").select("pos", "window")
+
+
+@query
+def replacement_sample(spark, sf_dir):
+    n = stream.layout(_docs(spark, sf_dir)).agg((F.sum("n_tokens") - BLOCK).alias("n"))
+    draws = spark.range(1000).crossJoin(F.broadcast(n))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.lit("draw"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return draws.select(F.col("id").alias("draw"), (h % F.col("n")).alias("offset"))
+
+
+@query
+def special_block(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(T.special_block())), "id bigint, name string").withColumn("reserved", T.is_reserved(F.col("name")))
+
+
+@query
+def strip_specials(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("<|im_<|endoftext|>start|>"), "text").alias("text"))
+    return d.select("doc_id", F.md5(T.strip_specials(F.col("text"))).alias("text_md5"))
+
+
+@query
+def fold_system(spark, sf_dir):
+    joined = F.concat_ws("|", F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["content"])))
+    return _turns(spark, sf_dir).where("size(turns) >= 2").select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.md5(joined).alias("turns_md5"))
+
+
+@query
+def chat_spans(spark, sf_dir):
+    s = _turns(spark, sf_dir).where("size(turns) >= 2").select("conv_id", T.chat_spans(F.col("turns")).alias("spans"))
+    return s.select("conv_id", F.size("spans").cast("bigint").alias("n_spans"), F.md5(F.concat_ws("", F.transform("spans", lambda x: x["text"]))).alias("text_md5"), F.size(F.filter("spans", lambda x: x["is_target"])).cast("bigint").alias("n_target"))
+
+
+@query
+def span_concat(spark, sf_dir):
+    """Byte counts of spans add up to those of the joined text for every conversation: rows that differ, which must be 0."""
+    s = _turns(spark, sf_dir).select(T.chat_spans(F.col("turns")).alias("spans"))
+    apart = F.aggregate("spans", F.lit(0), lambda n, x: n + F.octet_length(x["text"]))
+    return s.agg(F.coalesce(F.sum((apart != F.octet_length(F.concat_ws("", F.transform("spans", lambda x: x["text"])))).cast("bigint")), F.lit(0)).alias("differing"))
+
+
+@query
+def render_prompt(spark, sf_dir):
+    return _turns(spark, sf_dir).where("size(turns) >= 1").select("conv_id", F.md5(T.render_prompt(F.col("turns"))).alias("prompt_md5"))
+
+
+@query
+def split_turns(spark, sf_dir):
+    return chat.split_turns(_turns(spark, sf_dir), CHAT_MAX)
+
+
+@query
+def render_chat(spark, sf_dir):
+    return chat.examples(_turns(spark, sf_dir), CHAT_MAX)
+
+
+@query
+def truncate_drop(spark, sf_dir):
+    return chat.counters(chat.examples(_turns(spark, sf_dir), CHAT_MAX), CHAT_MAX)
+
+
+@query
+def ffd_pack(spark, sf_dir):
+    e = chat.examples(_turns(spark, sf_dir), CHAT_MAX).where("not dropped").select("conv_id", "chunk", "n_tokens")
+    return packing.ffd_pack(e, ["conv_id", "chunk"], "n_tokens", stream.digest("pack", "conv_id", "chunk"), CHAT_MAX)
+
+
+@query
+def chunk_freq(spark, sf_dir):
+    return bpe.chunk_counts(_docs(spark, sf_dir)).where("n >= 20")
+
+
+@query
+def bpe_pair_counts(spark, sf_dir):
+    return bpe.pair_counts(bpe.chunk_counts(_docs(spark, sf_dir))).orderBy(F.desc("n"), "left", "right")
+
+
+@query
+def bpe_train_merges(spark, sf_dir):
+    return bpe.merges_table(spark, bpe.train(bpe.chunk_counts(_docs(spark, sf_dir)), 64))
+
+
+@query
+def bpe_encode(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return bpe.encode(d, bpe.train(bpe.chunk_counts(d), 64))
+
+
+@query
+def bpe_roundtrip(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    merges = bpe.train(bpe.chunk_counts(d), 64)
+    return bpe.decode(bpe.encode(d, merges), merges).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def repetition_rate(spark, sf_dir):
+    return evaluation.repetition(_docs(spark, sf_dir)).agg(F.round(F.sum(F.col("looping").cast("int")) / F.greatest(F.lit(1), F.count(F.lit(1))), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def mc_items(spark, sf_dir):
+    return evaluation.mc_items(table(spark, sf_dir, "eval_items"))
+
+
+@query
+def mc_accuracy(spark, sf_dir):
+    """Options scored by a digest in place of a model's mean token log-probability."""
+    items = evaluation.mc_items(table(spark, sf_dir, "eval_items"))
+    options = items.select("item_id", "answer", F.posexplode("options").alias("option", "text"))
+    scored = options.select("item_id", "answer", F.col("option").cast("bigint").alias("option"), (-F.conv(F.substring(F.md5(F.concat_ws("|", "item_id", "option")), 1, 6), 16, 10).cast("bigint") / 1e6).alias("logp"))
+    return evaluation.mc_accuracy(scored)
+
+
+@query
+def top_p_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lang is not null and dataset_name is not null")
+    n = d.groupBy("dataset_name", "lang").agg(F.count(F.lit(1)).alias("n"))
+    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("dataset_name")))
+    return evaluation.top_p(p.select(F.col("dataset_name").alias("row_id"), F.col("lang").alias("token"), "p"), 0.9).withColumn("p", F.round("p", 6))
+
+
+@query
+def decode_batches(spark, sf_dir):
+    prompts = _turns(spark, sf_dir).where("size(turns) >= 1").select("conv_id", F.octet_length(T.render_prompt(F.col("turns"))).cast("bigint").alias("n_tokens"))
+    return evaluation.decode_batches(prompts, 256, 32_000)
+
+
+@query
+def fit_history(spark, sf_dir):
+    return chat.fit_history(table(spark, sf_dir, "conversations"), CHAT_MAX, 256)
+
+
+@query
+def lr_schedule(spark, sf_dir):
+    return lr(spark, **LR_DEFAULTS)
+
+
+@query
+def token_budget(spark, sf_dir):
+    r = evaluation.latest_runs(table(spark, sf_dir, "run_history")).where("world_size is not null and tokens_seen is not null")
+    per = F.lit(16 * 1024) * F.col("world_size") * 4
+    return r.select("run_id", per.cast("bigint").alias("tokens_per_update"), F.greatest(F.lit(1), F.bround(F.col("tokens_seen") / per)).cast("bigint").alias("steps"))
+
+
+@query
+def run_history(spark, sf_dir):
+    r = evaluation.latest_runs(table(spark, sf_dir, "run_history"))
+    w = Window.partitionBy("corpus.name").orderBy("started_at", "run_id")
+    return r.select(
+        "run_id", F.col("corpus.name").alias("corpus_name"), F.row_number().over(w).cast("bigint").alias("pos"), F.sum("tokens_seen").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tokens_so_far"),
+        F.round(F.col("val_loss") * F.col("tokens_per_byte") / math.log(2), 6).alias("bpb"),
+    )
+
+
+@query
+def corpus_hash(spark, sf_dir):
+    """Eight hex digits of the live fields of every render spec."""
+    r = table(spark, sf_dir, "render_specs")
+    own = F.when(F.col("kind") == "chat", F.concat_ws(",", "messages_column", F.coalesce(F.col("max_example_tokens").cast("string"), F.lit("none")))).otherwise(F.col("text_column"))
+    live = F.concat_ws("|", "kind", "sep", "pack", F.coalesce(F.col("pack_block").cast("string"), F.lit("none")), own)
+    return r.select("spec_name", F.substring(F.sha2(live, 256), 1, 8).alias("hash"))
+
+
+@query
+def prune_orphans(spark, sf_dir):
+    """Shards of documents that no part names, with their rows and bytes."""
+    live = table(spark, sf_dir, "source_parts").select(F.explode("shards").alias("shard")).distinct()
+    found = _docs(spark, sf_dir).where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    return found.join(live, "shard", "left_anti")
