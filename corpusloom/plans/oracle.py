@@ -103,3 +103,17 @@ SQL["token_budget"] = f"WITH {RUNS} SELECT run_id, (65536 * world_size)::BIGINT
 SQL["run_history"] = f"WITH {RUNS} SELECT run_id, corpus.name AS corpus_name, row_number() OVER w AS pos, sum(tokens_seen) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS tokens_so_far, round(val_loss * tokens_per_byte / ln(2), 6) AS bpb FROM h WINDOW w AS (PARTITION BY corpus.name ORDER BY started_at NULLS FIRST, run_id)"
 SQL["corpus_hash"] = "SELECT spec_name, substr(sha256(concat_ws('|', kind, sep, pack, coalesce(pack_block::VARCHAR, 'none'), CASE WHEN kind = 'chat' THEN concat_ws(',', messages_column, coalesce(max_example_tokens::VARCHAR, 'none')) ELSE text_column END)), 1, 8) AS hash FROM render_specs"
 SQL["prune_orphans"] = f"WITH {DOCS}, live AS (SELECT DISTINCT unnest(shards) AS shard FROM source_parts) SELECT shard, count(*) AS n_rows, sum(nb)::BIGINT AS n_bytes FROM d WHERE shard IS NOT NULL AND shard NOT IN (SELECT shard FROM live WHERE shard IS NOT NULL) GROUP BY 1"
+SQL["band_order"] = f"""WITH {INDEX}, tot AS (SELECT sum(n_tokens) AS n FROM laid), ask AS (SELECT coalesce((SELECT token_offset FROM idx WHERE min_tokens >= 700 ORDER BY min_tokens LIMIT 1), (SELECT n FROM tot)) AS b0, coalesce((SELECT token_offset FROM idx WHERE min_tokens >= 1500 ORDER BY min_tokens LIMIT 1), (SELECT n FROM tot)) AS b1),
+z0 AS (SELECT ((n - 1) // 512)::BIGINT AS n, least((n - 1) // 512, ceil(b0 / 512))::BIGINT AS lo, least((n - 1) // 512, b1 // 512)::BIGINT AS hi FROM tot, ask),
+z AS (SELECT n, lo, hi, floor((n - (hi - lo)) / 0.75)::BIGINT AS n_out, floor(floor((n - (hi - lo)) / 0.75) * 0.25)::BIGINT AS n_band FROM z0),
+p AS (SELECT pos, least(n_band, floor(pos * 0.25)::BIGINT) AS b, least(n_band, floor((pos + 1) * 0.25)::BIGINT) AS u FROM (SELECT unnest(range(n_out)) AS pos, n_band FROM z)),
+s AS (SELECT pos, u > b AS in_band, CASE WHEN u > b THEN b ELSE pos - b END AS k FROM p),
+w AS (SELECT win, win >= lo AND win < hi AS in_band FROM (SELECT unnest(range(n)) AS win, lo, hi FROM z)),
+c AS (SELECT in_band, count(*) AS size FROM w GROUP BY 1),
+r AS (SELECT in_band, rep * size + row_number() OVER (PARTITION BY in_band, rep ORDER BY md5(concat_ws('|', '42', 'band', in_band, rep, win)), win) - 1 AS k, win FROM w JOIN c USING (in_band), range(400) t(rep) WHERE rep <= (SELECT n_out FROM z) // size)
+SELECT pos, in_band, win AS "window" FROM s JOIN r USING (in_band, k)"""
+SQL["bpe_merge_step"] = f"""WITH {CHUNKS}, hx AS (SELECT chunk, hex(encode(chunk)) AS h, n FROM cc), pr AS (SELECT substr(h, 2 * i + 1, 2) AS a, substr(h, 2 * i + 3, 2) AS b, n FROM (SELECT h, n, unnest(range(length(h) // 2 - 1)) AS i FROM hx)),
+best AS (SELECT 'x' || a || 'x' || b AS pair FROM (SELECT a, b, sum(n) AS n FROM pr GROUP BY 1, 2) ORDER BY n DESC, a, b LIMIT 1)
+SELECT chunk, replace(regexp_replace(h, '(..)', 'x\\1', 'g'), (SELECT pair FROM best), 'z') AS merged FROM hx WHERE n >= 20"""
+SQL["stream_parts"] = "SELECT part_split, count(*) AS n_conversations, sum(coalesce(len(messages), 0))::BIGINT AS n_messages FROM (SELECT DISTINCT ON (conv_id) part_split, messages FROM conversations) GROUP BY 1"
+SQL["stream_weeks"] = "SELECT (epoch(loaded_at)::BIGINT // 604800) * 604800 AS week, count(*) AS n_docs, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS n_bytes FROM documents WHERE loaded_at IS NOT NULL GROUP BY 1"

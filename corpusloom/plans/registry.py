@@ -13,6 +13,7 @@ from corpusloom.functions.sampling import LR_DEFAULTS, lr_schedule as lr
 from corpusloom.operators import bpe, chat, evaluation, packing, stream
 from corpusloom.operators.ranking import spread_rank
 from corpusloom.sources import table
+from corpusloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BLOCK, CHAT_MAX, SEED = 512, 2048, 42
@@ -370,3 +371,44 @@ def prune_orphans(spark, sf_dir):
     live = table(spark, sf_dir, "source_parts").select(F.explode("shards").alias("shard")).distinct()
     found = _docs(spark, sf_dir).where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length("text")).alias("n_bytes"))
     return found.join(live, "shard", "left_anti")
+
+
+@query
+def band_order(spark, sf_dir):
+    """One epoch over the stream sorted by length in which windows of 700 to 1500 token documents take a quarter."""
+    frac = 0.25
+    ends = token_offset(spark, sf_dir).where("asked in (700, 1500)").agg(F.min("token_offset").alias("b0"), F.max("token_offset").alias("b1"))
+    total = stream.layout(_docs(spark, sf_dir)).agg(F.greatest(F.lit(0), F.floor((F.sum("n_tokens") - 1) / BLOCK)).alias("n"))
+    size = total.crossJoin(F.broadcast(ends)).select("n", F.least("n", F.ceil(F.col("b0") / BLOCK)).alias("lo"), F.least("n", F.floor(F.col("b1") / BLOCK)).alias("hi"))
+    size = size.withColumn("n_out", F.floor((F.col("n") - (F.col("hi") - F.col("lo"))) / (1 - frac))).withColumn("n_band", F.floor(F.col("n_out") * frac))
+    pos = size.where("n_out > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_out") - 1)).alias("pos"), "n_band")
+    before, upto = F.least("n_band", F.floor(F.col("pos") * frac)), F.least("n_band", F.floor((F.col("pos") + 1) * frac))
+    slots = pos.select("pos", (upto > before).alias("in_band"), F.when(upto > before, before).otherwise(F.col("pos") - before).alias("k"))
+    windows = size.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("window"), "lo", "hi", "n_band", "n_out")
+    inside = (F.col("window") >= F.col("lo")) & (F.col("window") < F.col("hi"))
+    pool = windows.select("window", inside.alias("in_band"), F.when(inside, F.col("hi") - F.col("lo")).otherwise(F.col("n_out") - F.col("n_band")).alias("m"), F.when(inside, F.col("n_band")).otherwise(F.col("n_out") - F.col("n_band")).alias("want"))
+    counts = pool.groupBy("in_band").agg(F.count(F.lit(1)).alias("size"))
+    passes = pool.join(F.broadcast(counts), "in_band").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("want") - 1, F.lit(0)) / F.col("size")))))  # two rows
+    ranked = spread_rank(passes.select("window", "in_band", "size", "rep"), ["in_band", "rep"], stream.digest("band", "in_band", "rep", "window"), ties=["window"])
+    drawn = ranked.select("in_band", (F.col("rep") * F.col("size") + F.col("rank")).alias("k"), "window")
+    return slots.join(drawn, ["in_band", "k"]).select("pos", "in_band", "window")
+
+
+@query
+def bpe_merge_step(spark, sf_dir):
+    """Frequent chunks after the first merge; a merged pair shows as z, any other byte as x and its code."""
+    chunks = bpe.chunk_counts(_docs(spark, sf_dir))
+    best = bpe.pair_counts(chunks).orderBy(F.desc("n"), "left", "right").limit(1).select(F.concat(*(part for c in ("left", "right") for part in (F.lit("x"), F.lpad(F.hex(c), 2, "0")))).alias("pair"))
+    coded = chunks.where("n >= 20").select("chunk", F.regexp_replace(F.hex(F.encode("chunk", "UTF-8")), "(..)", "x$1").alias("coded"))
+    return coded.crossJoin(F.broadcast(best)).select("chunk", F.replace("coded", "pair", F.lit("z")).alias("merged"))
+
+
+@query
+def stream_parts(spark, sf_dir):
+    return ingest.once(ingest.part_counters(ingest.first_deliveries(ingest.read(spark, sf_dir, "conversations"))))
+
+
+@query
+def stream_weeks(spark, sf_dir):
+    got = ingest.once(ingest.document_counters(ingest.read(spark, sf_dir, "documents")))
+    return got.select(F.unix_seconds("week").alias("week"), "n_docs", "n_bytes")
