@@ -74,7 +74,7 @@ def test_first_fit_runs_equal_brute_force():
             for (rank, first, each), nxt in zip(runs, [*[x[0] for x in runs[1:]], hist[k]]):
                 for i in range(rank, nxt):
                     made.setdefault(first + (i - rank) // each, []).append(k)
-        assert [made[i] for i in sorted(made)] == brute_first_fit(lengths, block)
+        assert [sorted(made[i], reverse=True) for i in sorted(made)] == brute_first_fit(lengths, block)
 
 
 def test_spread_rank_equals_row_number(spark):
