@@ -35,6 +35,8 @@ LABELS = ("copies_question", "refusal", "wrong_language", "truncated")
 BITS = 18
 LANGS = ("en", "de", "fr", "es", "ru", "zh")
 DENSE = 48
+#: Labels that hashed words speak for; whether an answer copies or is in another language the pair features say.
+BY_WORDS = np.array([0.0, 1.0, 0.0, 1.0], np.float32)
 
 _MARKUP = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|```\w*|<\|[^|<>]*\|>")
 _INVISIBLE = re.compile("[\\s­​-‏⁠-⁤﻿︀-️]+")
@@ -191,7 +193,7 @@ class Featurizer:
         else:
             within = reach = order = back = request = 0.0
         copy = within * order
-        out += [copy, float(copy >= 0.7), float(copy >= 0.85), back, back * request, within, reach, float(within >= 0.95) * order, request, float(copy >= 0.7) * (1 - back)]
+        out += [copy, float(copy >= 0.7), float(copy >= 0.85), back, back * request, within, reach, float(within >= 0.95) * order, request, float(copy >= 0.7) * (1 - back), float(within >= 0.8 and order >= 0.72 and n >= 0.8 * m) * (1 - back)]
         lu, la = self.languages.scores(u), self.languages.scores(a)
         iu, ia = max(range(6), key=lu.__getitem__), max(range(6), key=la.__getitem__)
         total = sum(la) or 1.0
@@ -276,7 +278,7 @@ class Linear:
                 u, inv = np.unique(i, return_inverse=True)
                 g = np.stack([np.bincount(inv, err[local, k] * v, len(u)) for k in range(len(LABELS))], 1) / len(rows) + decay * self.sparse[u]
                 gs[u] += g * g
-                self.sparse[u] -= rate * g / np.sqrt(gs[u])
+                self.sparse[u] -= rate * BY_WORDS * g / np.sqrt(gs[u])
                 g = dense[rows].T @ err / len(rows) + decay * self.dense
                 gd += g * g
                 self.dense -= rate * g / np.sqrt(gd)
@@ -401,13 +403,13 @@ class Model:
             self.threshold += 1e9
             return
         limits = np.array([0.5, 1.0, 0.5, 0.0])
-        for again in range(3):
+        for again, epochs in enumerate((4, 4, 6)):
             if again:
                 s = self.linear.score(self.featurizer([(u, a) for _, u, a in base]))
                 base = [b for b, bad in zip(base, (s > limits).any(1)) if not bad]
                 held = len(base) // 5
             rows, y = synthetic(base[held:])
-            self.linear = Linear().fit(self.featurizer(rows), y)
+            self.linear = Linear().fit(self.featurizer(rows), y, epochs)
         rows, y = synthetic(base[:held], seed=9)
         s = self.linear.score(self.featurizer(rows))
         self.held_out = {}
