@@ -101,15 +101,15 @@ def sort_by_length(docs: DataFrame) -> DataFrame:
 
 def length_index(docs: DataFrame, quantiles: int = 128) -> DataFrame:
     """(min_tokens, token_offset, doc_offset) ascending: at every mark, where documents of that length or more begin in
-    the sorted stream. Marks: powers from 256 by halves of an octave up to 32768, document-rank quantiles, and further
-    half octaves up to the longest. Computed on the histogram of lengths."""
+    the sorted stream. Marks: a fixed ladder, document-rank quantiles, and half octaves from its end
+    up to the longest. No documents, no marks. Computed on the histogram of lengths."""
     hist = docs.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
     cum = hist.withColumn("upto", F.sum("c").over(Window.orderBy("n")))
     stats = cum.agg(F.sum("c").alias("total"), F.max("n").alias("longest"))
     spark = docs.sparkSession
     q = spark.range(quantiles + 1).crossJoin(F.broadcast(stats)).select(F.least(F.col("total") - 1, F.floor(F.col("total") * F.col("id") / quantiles)).alias("at"))
     marks_q = q.join(cum, (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select(F.col("n").cast("bigint").alias("min_tokens"))
-    ladder = spark.createDataFrame([(m,) for m in LADDER], "min_tokens bigint")
+    ladder = spark.createDataFrame([(m,) for m in LADDER], "min_tokens bigint").crossJoin(F.broadcast(stats)).where("total > 0").select("min_tokens")
     more = spark.range(1, 65).crossJoin(F.broadcast(stats)).where(F.col("longest") > 32768).select(F.least(F.col("longest"), F.floor(32768 * F.pow(F.lit(2.0), F.col("id") / 2))).cast("bigint").alias("min_tokens"))
     marks = ladder.union(marks_q).union(more).distinct()
     return marks.join(F.broadcast(hist), F.col("n") < F.col("min_tokens"), "left").groupBy("min_tokens").agg(
@@ -118,7 +118,7 @@ def length_index(docs: DataFrame, quantiles: int = 128) -> DataFrame:
 
 
 # The length ladder.
-LADDER = (256, 384, 512, 768, 1024, 1536, 2048, 4096, 8192, 12288, 16384, 32768)
+LADDER = (256, 512, 1024, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 32768)
 
 
 def windows(ids: DataFrame, laid: DataFrame, block: int) -> DataFrame:

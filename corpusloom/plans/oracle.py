@@ -29,7 +29,7 @@ g AS (SELECT conv_id, chunk, 1 + sum(n_tokens) AS whole, sum(coalesce(greatest(0
 ex AS (SELECT conv_id, chunk::BIGINT AS chunk, least(whole, 2048)::BIGINT AS n_tokens, n_target::BIGINT AS n_target, whole > 2048 AND n_target > 0 AS truncated, whole > 2048 AND n_target = 0 AS dropped FROM g)"""
 INDEX = LEN + """, hist AS (SELECT n, count(*) AS c FROM len GROUP BY 1), cum AS (SELECT n, c, sum(c) OVER (ORDER BY n) AS upto FROM hist),
 st AS (SELECT sum(c) AS total, max(n) AS longest FROM hist),
-marks AS (SELECT unnest([256, 384, 512, 768, 1024, 1536, 2048, 4096, 8192, 12288, 16384, 32768])::BIGINT AS t
+marks AS (SELECT unnest([256, 512, 1024, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 32768])::BIGINT AS t
   UNION SELECT n FROM (SELECT least(total - 1, floor(total * q / 128)) AS k0 FROM st, range(129) x(q)) JOIN cum ON upto > k0 AND upto - c <= k0
   UNION SELECT least(longest, floor(32768 * pow(2.0, k / 2.0)))::BIGINT FROM st, range(1, 65) y(k) WHERE longest > 32768),
 idx AS (SELECT t AS min_tokens, (1 + coalesce(sum(c * n), 0))::BIGINT AS token_offset, coalesce(sum(c), 0)::BIGINT AS doc_offset FROM marks LEFT JOIN hist ON n < t GROUP BY 1)"""
