@@ -36,14 +36,19 @@ def split_turns(turns: DataFrame, most: int) -> DataFrame:
     return rows.select("conv_id", F.col("z.pairs.pair").cast("bigint").alias("pair"), F.col("z.pairs.n").cast("bigint").alias("n_tokens"), F.col("z.chunk").cast("bigint").alias("chunk"))
 
 
-def examples(turns: DataFrame, most: int) -> DataFrame:
-    """(conv_id, chunk, n_tokens, n_target, truncated, dropped): an example longer than ``most`` is cut there, and
-    dropped if nothing to learn is left in it. ``n_tokens`` and ``n_target`` count what remains."""
+def _placed(turns: DataFrame, most: int) -> DataFrame:
+    """Every pair with its chunk and ``at``, the tokens of its example before it."""
     p = turns.where("size(turns) >= 2").select("conv_id", F.explode(T.pair_lengths(F.col("turns"))).alias("p"))
     flat = p.select("conv_id", F.col("p.pair").cast("bigint").alias("pair"), F.col("p.n").alias("n"), "p.n_first", "p.target_a", "p.target_b")
     rows = flat.join(split_turns(turns, most).select("conv_id", "pair", "chunk"), ["conv_id", "pair"])
     w = Window.partitionBy("conv_id", "chunk").orderBy("pair").rowsBetween(Window.unboundedPreceding, -1)
-    at = rows.withColumn("at", 1 + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return rows.withColumn("at", 1 + F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+
+def examples(turns: DataFrame, most: int) -> DataFrame:
+    """(conv_id, chunk, n_tokens, n_target, truncated, dropped): an example longer than ``most`` is cut there, and
+    dropped if nothing to learn is left in it. ``n_tokens`` and ``n_target`` count what remains."""
+    at = _placed(turns, most)
     seen = lambda begin, end: F.coalesce(F.greatest(F.lit(0), F.least(F.col("at") + end, F.lit(most)) - (F.col("at") + begin)), F.lit(0))
     target = seen(F.col("target_a"), F.col("n_first")) + seen(F.col("target_b"), F.col("n"))
     g = at.groupBy("conv_id", "chunk").agg((1 + F.sum("n")).alias("full"), F.sum(target).alias("n_target"))
@@ -51,6 +56,32 @@ def examples(turns: DataFrame, most: int) -> DataFrame:
     return g.select("conv_id", "chunk", F.least(F.col("full"), F.lit(most)).cast("bigint").alias("n_tokens"), F.col("n_target").cast("bigint").alias("n_target"), (over & (F.col("n_target") > 0)).alias("truncated"), (over & (F.col("n_target") == 0)).alias("dropped"))
 
 
+def target_spans(turns: DataFrame, most: int) -> DataFrame:
+    """(conv_id, chunk, begin, end): stretches of an example that are to be learnt, as far as they remain in it."""
+    at = _placed(turns, most)
+    ends = F.array(F.struct(F.col("target_a").alias("b"), F.col("n_first").alias("e")), F.struct(F.col("target_b").alias("b"), F.col("n").alias("e")))
+    spans = at.select("conv_id", "chunk", "at", F.explode(ends).alias("s")).where("s.b is not null")
+    cut = spans.select("conv_id", "chunk", (F.col("at") + F.col("s.b")).alias("begin"), F.least(F.col("at") + F.col("s.e"), F.lit(most)).alias("end"))
+    return cut.where("begin < end")
+
+
+def masked_windows(laid: DataFrame, spans: DataFrame, block: int) -> DataFrame:
+    """(window, n_target, n_kept) of a flat stream: next tokens to be learnt, and those left when what comes before the
+    first example that begins in the window is masked, all of it if none does.
+
+    ``laid`` places examples (conv_id, chunk, n_tokens, tok_offset), ``spans`` are their stretches to learn. Stretches are
+    split at window ends by arithmetic; no token gets a row."""
+    first = laid.groupBy(F.floor(F.col("tok_offset") / block).alias("window")).agg(F.min("tok_offset").alias("head"))
+    placed = spans.join(laid.select("conv_id", "chunk", "tok_offset"), ["conv_id", "chunk"]).select((F.col("begin") + F.col("tok_offset")).alias("b"), (F.col("end") + F.col("tok_offset")).alias("e"))
+    parts = placed.withColumn("window", F.explode(F.sequence(F.floor(F.greatest(F.col("b") - 1, F.lit(0)) / block), F.floor((F.col("e") - 2) / block))))
+    lo, hi = F.greatest(F.col("b"), F.col("window") * block + 1), F.least(F.col("e"), (F.col("window") + 1) * block + 1)
+    inside = parts.join(first, "window", "left").select("window", F.greatest(F.lit(0), hi - lo).alias("n"), F.when(F.col("head").isNull(), 0).otherwise(F.greatest(F.lit(0), hi - F.greatest(lo, F.col("head") + 1))).alias("k"))
+    counted = inside.groupBy("window").agg(F.sum("n").alias("n_target"), F.sum("k").alias("n_kept"))
+    total = laid.agg(F.greatest(F.lit(0), F.floor((F.sum("n_tokens") - 1) / block)).alias("n"))
+    every = total.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("window"))
+    return every.join(counted, "window", "left").select("window", F.coalesce("n_target", F.lit(0)).cast("bigint").alias("n_target"), F.coalesce("n_kept", F.lit(0)).cast("bigint").alias("n_kept"))
+
+
 def counters(made: DataFrame, most: int) -> DataFrame:
     """One row: examples kept, truncated and dropped, dropped tokens, tokens and targets kept."""
     kept = ~F.col("dropped")

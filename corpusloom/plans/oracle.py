@@ -117,3 +117,9 @@ best AS (SELECT 'x' || a || 'x' || b AS pair FROM (SELECT a, b, sum(n) AS n FROM
 SELECT chunk, replace(regexp_replace(h, '(..)', 'x\\1', 'g'), (SELECT pair FROM best), 'z') AS merged FROM hx WHERE n >= 20"""
 SQL["stream_parts"] = "SELECT part_split, count(*) AS n_conversations, sum(coalesce(len(messages), 0))::BIGINT AS n_messages FROM (SELECT DISTINCT ON (conv_id) part_split, messages FROM conversations) GROUP BY 1"
 SQL["stream_weeks"] = "SELECT (epoch(loaded_at)::BIGINT // 604800) * 604800 AS week, count(*) AS n_docs, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS n_bytes FROM documents WHERE loaded_at IS NOT NULL GROUP BY 1"
+SQL["window_masked"] = f"""WITH RECURSIVE {EXAMPLES}, lay AS (SELECT conv_id, chunk, n_tokens, coalesce(sum(n_tokens) OVER (ORDER BY md5(concat_ws('|', '42', 'chat', conv_id, chunk)), conv_id, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM ex WHERE NOT dropped),
+sp AS (SELECT conv_id, chunk, a + ta AS b, least(a + n_first, 2048) AS e FROM ats WHERE ta IS NOT NULL UNION ALL SELECT conv_id, chunk, a + n_first + tb, least(a + n_tokens, 2048) FROM ats WHERE tb IS NOT NULL),
+pos AS (SELECT off + unnest(range(b::BIGINT, e::BIGINT)) AS p FROM sp JOIN lay USING (conv_id, chunk) WHERE b < e),
+hd AS (SELECT off // 512 AS w, min(off) AS head FROM lay GROUP BY 1),
+cnt AS (SELECT (p - 1) // 512 AS w, count(*) AS n_target, count(*) FILTER (p >= head + 1) AS n_kept FROM pos LEFT JOIN hd ON hd.w = (p - 1) // 512 WHERE p >= 1 GROUP BY 1)
+SELECT w0.w AS "window", coalesce(n_target, 0)::BIGINT AS n_target, coalesce(n_kept, 0)::BIGINT AS n_kept FROM (SELECT unnest(range((sum(n_tokens)::BIGINT - 1) // 512)) AS w FROM lay) w0 LEFT JOIN cnt USING (w)"""

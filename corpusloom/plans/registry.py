@@ -412,3 +412,11 @@ def stream_parts(spark, sf_dir):
 def stream_weeks(spark, sf_dir):
     got = ingest.once(ingest.document_counters(ingest.read(spark, sf_dir, "documents")))
     return got.select(F.unix_seconds("week").alias("week"), "n_docs", "n_bytes")
+
+
+@query
+def window_masked(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    kept = chat.examples(turns, CHAT_MAX).where("not dropped").select("conv_id", "chunk", "n_tokens")
+    laid = stream.ordered(kept, stream.digest("chat", "conv_id", "chunk"), F.col("n_tokens"), ties=("conv_id", "chunk"))
+    return chat.masked_windows(laid, chat.target_spans(turns, CHAT_MAX), BLOCK)
