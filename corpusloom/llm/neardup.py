@@ -2,7 +2,8 @@
 
 Words (see ``words``) become shingles of three words, shingles a minwise signature, and the signature banded buckets.
 Documents of equal words are one class, and only one of them takes part. Classes that share a bucket, one with a
-training and one with an evaluation document, are candidates; the exact Jaccard similarity of their shingles and then
+training and one with an evaluation document, are candidates if their signatures agree in a fifth of the minima; the
+exact Jaccard similarity of their shingles and then
 the longest common subsequence of their words decide. Found pairs of classes are expanded to pairs of documents.
 
 Shingles of three words and forty bands of three rows are used because the given rule asks for 80 % of the words in the
@@ -44,22 +45,23 @@ def shingles(ids: np.ndarray) -> np.ndarray:
     return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(documents, bands) bucket keys."""
+def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """((documents, bands) bucket keys, (documents, bands * rows) last bytes of the minima)."""
     flat = np.concatenate(sets)
     start = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    key = np.zeros((len(sets), BANDS), np.uint64)
+    key, low = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), BANDS * ROWS), np.uint8)
     for p in range(BANDS * ROWS):
         m = np.minimum.reduceat((flat ^ _XOR[p]) * _MUL[p], start)
+        low[:, p] = m & np.uint32(255)
         b = p // ROWS
         key[:, b] = (key[:, b] ^ m) * np.uint64(0x9E3779B97F4A7C15)
         key[:, b] ^= key[:, b] >> np.uint64(29)
-    return (key * np.uint64(0xD6E8FEB86659FD93) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+    return (key * np.uint64(0xD6E8FEB86659FD93) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64), low
 
 
 def signatures(documents: DataFrame, least: int = 20) -> DataFrame:
-    """(doc_id, training, n_words, same, bands): ``same`` is equal for equal words."""
-    schema = "doc_id bigint, training boolean, n_words int, same bigint, bands array<bigint>"
+    """(doc_id, training, n_words, same, bands, sketch): ``same`` is equal for equal words, ``sketch`` a byte of each minimum."""
+    schema = "doc_id bigint, training boolean, n_words int, same bigint, bands array<bigint>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -74,11 +76,11 @@ def signatures(documents: DataFrame, least: int = 20) -> DataFrame:
                         doc.append(d), ids.append(x), train.append(s == "train")
                 if not doc:
                     continue
-                keys = band_keys([shingles(x) for x in ids])
+                keys, low = band_keys([shingles(x) for x in ids])
                 same = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in ids], np.uint64).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                cols = [pa.array(doc, pa.int64()), pa.array(train), pa.array([len(x) for x in ids], pa.int32()), pa.array(same), bands]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "training", "n_words", "same", "bands"])
+                cols = [pa.array(doc, pa.int64()), pa.array(train), pa.array([len(x) for x in ids], pa.int32()), pa.array(same), bands, pa.array([r.tobytes() for r in low], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "training", "n_words", "same", "bands", "sketch"])
 
     rows = documents.where(F.col("split").isin("train", "val", "test") & F.col("text").isNotNull()).select("doc_id", "text", "split")
     return rows.mapInArrow(run, schema)
@@ -90,6 +92,13 @@ def _pick(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(side, "doc_id").dropDuplicates(["doc_id"])
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of which at least a fifth of the minima agree; a pair that may be found has a third or more."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+        yield b.select(["same_a", "doc_id_a", "same_b", "doc_id_b"]).filter(pa.array((x == y).mean(1) >= 0.2)) if b.num_rows else b.select(["same_a", "doc_id_a", "same_b", "doc_id_b"])
+
+
 def _verify(share: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = Ids()
@@ -119,7 +128,10 @@ def cross_split_pairs(documents: DataFrame, share: float = 0.8, least: int = 20)
     a = keyed.where("in_train").select("band", *(F.col(c).alias(f"{c}_a") for c in ("same", "doc_id", "n_words")))
     b = keyed.where("in_eval").select("band", *(F.col(c).alias(f"{c}_b") for c in ("same", "doc_id", "n_words")))
     near = (F.col("n_words_a") >= share * F.col("n_words_b")) & (F.col("n_words_b") >= share * F.col("n_words_a"))
-    pairs = cut(a.join(b, "band").where(near & (F.col("same_a") != F.col("same_b"))).select("same_a", "doc_id_a", "same_b", "doc_id_b").distinct())
+    met = a.join(b, "band").where(near & (F.col("same_a") != F.col("same_b"))).select("same_a", "doc_id_a", "same_b", "doc_id_b").distinct()
+    sketch = rows.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    of = lambda side: sketch.select(F.col("doc_id").alias(f"doc_id_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    pairs = cut(met.join(of("a"), "doc_id_a").join(of("b"), "doc_id_b").select("same_a", "doc_id_a", "same_b", "doc_id_b", "sketch_a", "sketch_b").mapInArrow(_alike, "same_a bigint, doc_id_a bigint, same_b bigint, doc_id_b bigint"))
     wanted = pairs.select(F.col("doc_id_a").alias("doc_id")).union(pairs.select("doc_id_b")).distinct()
     texts = _pick(documents, wanted)
     left = texts.select(F.col("doc_id").alias("doc_id_a"), F.col("text").alias("text_a"))
