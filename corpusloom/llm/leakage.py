@@ -5,7 +5,9 @@ are counted over the whole corpus; a randomised singular value decomposition of
 distributed passes (each partition adds up its part of A'(A X); the sums are small: vocabulary times rank). It is fitted
 on the passages of at most ``fit_documents`` documents, taken by a digest of their id, and then every passage of every
 document is projected, whitened and compared by cosine with the passages of the questions: a stated query set against
-all rows, in blocks. Candidates must have eight words in line, and two fifths of the question near one offset; then an alignment of the question with the document
+all rows, in blocks. Candidates must have eight words in line there, or else share runs of three words with the question at
+nearly one offset, since the cosine of a passage that is only partly the question's may be low; both must have two fifths of the question
+near one offset. Then an alignment of the question with the document
 decides: a local alignment in which a match counts 1 and an exchanged, missing or added word -2, and whose matched words
 are at least half of the question's. Items with the same question share one search and count each.
 
@@ -29,6 +31,7 @@ from corpusloom.session import cut
 
 BLOCK, BUCKETS, RANK = 12, 1 << 13, 96
 IN_LINE = 8  # words of a passage and a question's passage that must be equal at one offset
+RUNS = 0.15  # runs of three words that a document shares with a question near one offset, as a share of its words; half of it with every fifth exchanged has 0.2
 LIMIT = 20_000  # items up to which the query set may be sent to the workers
 
 
@@ -156,6 +159,48 @@ def in_line(p: np.ndarray, w: np.ndarray) -> np.ndarray:
     return best
 
 
+def runs(x: np.ndarray) -> np.ndarray:
+    """Hashed runs of three words, one for each but the last two."""
+    x = x.astype(np.uint64)
+    h = ((x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ x[1:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ x[2:]
+    return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
+
+
+class Runs:
+    """The runs of all questions, for lookup."""
+
+    def __init__(self, questions: list[np.ndarray]):
+        each = [runs(x) for x in questions]
+        size = np.array([len(x) for x in each])
+        flat = np.concatenate(each)
+        order = np.argsort(flat, kind="stable")
+        self.key, self.owner = flat[order], np.repeat(np.arange(len(each)), size)[order]
+        self.at = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size))[order]
+        self.need = np.array([max(1, int(RUNS * len(x))) for x in questions])
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.key & np.uint64(self.seen.size - 1)] = True
+
+    def candidates(self, flat: np.ndarray, off: np.ndarray) -> set[tuple[int, int]]:
+        """The (document, question) that share enough runs at offsets within four words; a document's words are flat[off[d]:off[d + 1]]."""
+        h = runs(flat)
+        at = np.flatnonzero(self.seen[h & np.uint64(self.seen.size - 1)])
+        doc = np.searchsorted(off, at, "right") - 1
+        inside = at + 3 <= off[doc + 1]
+        at, doc = at[inside], doc[inside]
+        lo, hi = np.searchsorted(self.key, h[at], "left"), np.searchsorted(self.key, h[at], "right")
+        n = hi - lo
+        which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        pair = np.repeat(doc, n) * len(self.need) + self.owner[which]
+        offset = np.repeat(at - off[doc], n) - self.at[which] + (1 << 24)
+        found = set()
+        for shift in (0, 4):  # each four offsets side by side are in one bin of one of the two
+            key, count = np.unique(pair << 24 | (offset + shift) >> 3, return_counts=True)
+            near = key >> 24
+            ok = count >= self.need[near % len(self.need)]
+            found |= set(zip((near[ok] // len(self.need)).tolist(), (near[ok] % len(self.need)).tolist()))
+        return found
+
+
 class Question:
     """A question's words, sorted for lookup."""
 
@@ -241,6 +286,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.68, fit_docum
         q = space[wins].sum(1)
         q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-9
         asked = [Question(ids) for ids, _ in questions]
+        held_runs = Runs([ids for ids, _ in questions])
         across = np.where(wins == BUCKETS, -1, wins).T.astype(np.int16)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
@@ -255,7 +301,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.68, fit_docum
                 e[:-1][same[:-1]] += e[1:][same[:-1]]
                 e /= np.linalg.norm(e, axis=1, keepdims=True) + 1e-9
                 passages = np.hstack([blocks, np.where(same[:, None], np.roll(blocks, -1, axis=0), BUCKETS)]).T.astype(np.int16)
-                found = set()
+                found = held_runs.candidates(flat, off)
                 for i in range(0, len(e), 2048):
                     hit = np.flatnonzero((e[i : i + 2048] @ q.T).ravel() >= least)
                     p, w = hit // len(q) + i, hit % len(q)

@@ -2,7 +2,11 @@
 
 import numpy as np
 
-from corpusloom.llm import neardup
+from corpusloom.llm import leakage, neardup
+from corpusloom.llm.words import Ids
+from corpusloom.sources import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def edge_pairs(n_pairs):
@@ -37,3 +41,30 @@ def test_near_duplicates_at_the_edge_of_the_rule(spark):
 def test_counted_words_intersect_as_multisets():
     x, y = np.array([1, 1, 1, 2], np.uint32), np.array([3, 1, 1], np.uint32)
     assert len(np.intersect1d(neardup.counted(x), neardup.counted(y))) == 2 and len(np.unique(neardup.counted(x))) == 4
+
+
+def test_part_leaks_of_short_questions(spark):
+    """Half to six tenths of a short question, one word in ten exchanged, inside another text."""
+    d = table(spark, SF, "documents").select("doc_id", "text", "split").where("split = 'train'")
+    items = table(spark, SF, "eval_items")
+    number, r = Ids(), np.random.default_rng(4)
+    asked = [q for q in items.select("item_id", "question").orderBy("item_id").collect() if 24 <= len(number(q["question"])) <= 60]
+    filler = [x["text"].split() for x in d.where("length(text) > 900").orderBy("doc_id").limit(40).collect()]
+    planted, want = [], set()
+    for k in range(120):
+        q, f = asked[k % len(asked)], filler[k % len(filler)]
+        w = q["question"].split()
+        size = int(len(w) * r.uniform(0.57, 0.66)) + 1
+        a = int(r.integers(0, len(w) - size + 1))
+        part = w[a : a + size]
+        for i in r.permutation(size)[: size // 10]:
+            part[i] = "something"
+        at = int(r.integers(0, len(f)))
+        planted.append((90_000 + k, " ".join([*f[:at], *part, *f[at:]]), "train"))
+        ids = number(q["question"])
+        if 2 * leakage.align(ids, number(planted[-1][1])) >= len(ids):
+            want.add((90_000 + k, q["item_id"]))
+    more = d.unionByName(spark.createDataFrame(planted, "doc_id bigint, text string, split string"))
+    for fit in (20_000, 40):
+        got = {(x["doc_id"], x["item_id"]) for x in leakage.leaks(more, items, fit_documents=fit).collect()}
+        assert len(want) >= 80 and want <= got, (fit, len(want), len(want & got))
