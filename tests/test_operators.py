@@ -117,6 +117,12 @@ def test_bpe_counts_overlap_and_round_trip(spark):
     assert bpe.merge([97, 97, 97], 97, 97, 256) == [256, 97]
 
 
+def test_bpe_trains_on_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "TRAIN_CHUNKS", 1, raising=False)
+    chunks = spark.createDataFrame([("ab", 3), ("cd", 2), ("xcd", 2)], "chunk string, n bigint")
+    assert bpe.train(chunks, 2) == [(99, 100), (97, 98)]
+
+
 def test_top_p(spark):
     p = spark.createDataFrame([("r", "a", 0.5), ("r", "b", 0.3), ("r", "c", 0.2)], "row_id string, token string, p double")
     assert {r["token"]: round(r["p"], 6) for r in evaluation.top_p(p, 0.6).collect()} == {"a": 0.625, "b": 0.375}
