@@ -1,15 +1,19 @@
 """Held-out questions inside training documents, by latent semantic retrieval.
 
-Documents become blocks of twelve words, and each two adjacent blocks a passage. Document frequencies of hashed words
-are counted over the whole corpus; a randomised singular value decomposition of the TF-IDF passage matrix is computed in
-distributed passes (each partition adds up its part of A'(A X); the sums are small: vocabulary times rank). It is fitted
-on the passages of at most ``fit_documents`` documents, taken by a digest of their id, and then every passage of every
-document is projected, whitened and compared by cosine with the passages of the questions: a stated query set against
-all rows, in blocks. Candidates must have eight words in line there, or else share runs of three words with the question at
-nearly one offset, since the cosine of a passage that is only partly the question's may be low; both must have two fifths of the question
-near one offset. Then an alignment of the question with the document
-decides: a local alignment in which a match counts 1 and an exchanged, missing or added word -2, and whose matched words
-are at least half of the question's. Items with the same question share one search and count each.
+The words of the questions and answers are the vocabulary; a document becomes the numbers of its words in it. Document
+frequencies are counted over the whole corpus. A randomised singular value decomposition of the TF-IDF passage matrix is
+computed in distributed passes (each partition adds up its part of A'(A X), a vocabulary times rank numbers), fitted on
+the passages of at most ``fit_documents`` documents, taken by a digest of their id. Then every passage of every document
+is projected, half whitened and compared by cosine with windows of the questions: a stated query set against all rows, in
+blocks. A window is at most half of its question, so that a question of which half stands in a text has a window that
+stands there as a whole; windows of questions under 24 words are compared with passages of half the size.
+
+Around a found passage, word pairs in common near one offset leave the places that can hold half of the question; an
+alignment decides: a local one in which a match counts 1 and an exchanged, missing or added word -2, and whose matched
+words are at least half of the question's (``how`` is 'stretch'). A place without such a stretch is a 'paraphrase' if
+six tenths of the question's words stand in it in order (longest common subsequence) and the answer's words do as well.
+Items with the same question share one search and count each. Items are searched in parts of about ``part_words`` words,
+which bounds what is sent to the workers.
 
 Documents of another split and null or blank texts are left out. A question without words leaks nowhere. Any further
 columns are ignored; a repeated document row counts once.
@@ -18,6 +22,7 @@ columns are ignored; a repeated document row counts once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,199 +31,214 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import encode
-from corpusloom.llm.words import Ids, words
+from corpusloom.llm.words import common_in_order, words
 from corpusloom.session import cut
 
-BLOCK, BUCKETS, RANK = 12, 1 << 13, 96
-IN_LINE = 8  # words of a passage and a question's passage that must be equal at one offset
-RUNS = 0.15  # runs of three words that a document shares with a question near one offset, as a share of its words; half of it with every fifth exchanged has 0.2
-LIMIT = 20_000  # items up to which the query set may be sent to the workers
+BLOCK, RANK = 12, 224
+COLUMNS = 8192  # columns of the passage matrix at most; words of a larger vocabulary share them
+COSINE = 0.5
+SCHEMA = "doc_id bigint, item_id bigint, dataset_name string, matched double, how string, answer_present boolean"
 
 
-def numbered(documents: DataFrame) -> DataFrame:
-    """(doc_id, ids): the word numbers of every training document."""
+def numbered(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, ids): the numbers of the words of every training document, the vocabulary's size for any other word."""
+    small = len(vocabulary) < 1 << 15
+    sent, other = documents.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Ids()
+        get = sent.value.get
         for whole in batches:
             for b in encode.chunks(whole, "text"):
-                ids = [number(t) for t in b.column("text").to_pylist()]
+                ids = [[get(w, other) for w in words(t)] for t in b.column("text").to_pylist()]
                 bound = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32)
+                flat = np.fromiter((k for x in ids for k in x), np.int16 if small else np.int32, int(bound[-1]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(bound), pa.array(flat))], ["doc_id", "ids"])
 
-    return documents.where("split = 'train' and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return documents.where("split = 'train' and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id bigint, ids array<{'smallint' if small else 'int'}>")
 
 
 def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     col = b.column("ids")
     off = col.offsets.to_numpy()
-    return col.values.to_numpy().view(np.uint32)[off[0] : off[-1]], (off - off[0]).astype(np.int64)
+    return col.values.to_numpy()[off[0] : off[-1]].astype(np.int32), (off - off[0]).astype(np.int64)
 
 
-def _blocks(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words of each block, padded with BUCKETS; number of blocks of each document)."""
+def _blocks(flat: np.ndarray, off: np.ndarray, other: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers of each block, padded with ``other``; number of blocks of each document)."""
     size = np.diff(off)
-    n = -(-size // BLOCK)
+    n = -(-size // block)
     row = np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), size)
     at = np.arange(len(flat)) - np.repeat(off[:-1], size)
-    out = np.full((int(n.sum()), BLOCK), BUCKETS, np.int32)
-    out[row + at // BLOCK, at % BLOCK] = flat % BUCKETS
+    out = np.full((int(n.sum()), block), other, np.int32)
+    out[row + at // block, at % block] = flat
     return out, n
 
 
-def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """(documents, document frequency of each hashed word): sums of at most BUCKETS numbers reach the driver."""
+def frequencies(docs: DataFrame, other: int) -> tuple[int, np.ndarray]:
+    """(documents, document frequency of each word of the vocabulary): its size bounds what reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BUCKETS + 1, np.int64), 0
+        df, n = np.zeros(other + 1, np.int64), 0
         for b in batches:
             flat, off = _lists(b)
             doc = np.repeat(np.arange(b.num_rows, dtype=np.int64), np.diff(off))
-            df[:BUCKETS] += np.bincount((np.unique(doc * BUCKETS + flat % BUCKETS) % BUCKETS), minlength=BUCKETS)
+            df += np.bincount(np.unique(doc * (other + 1) + flat) % (other + 1), minlength=other + 1)
             n += b.num_rows
-        df[BUCKETS] = n
+        df[other] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["word", "n"])
 
     got = docs.mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(BUCKETS + 1, np.int64)
+    df = np.zeros(other + 1, np.int64)
     df[got["word"].to_numpy()] = got["n"].to_numpy()
-    return int(df[BUCKETS]), df[:BUCKETS]
+    return int(df[other]), df[:other]
 
 
 def _gather(blocks: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return np.concatenate([table[blocks[i : i + 8192]].sum(1) for i in range(0, len(blocks), 8192)]) if len(blocks) else np.zeros((0, table.shape[1]), np.float32)
+    """Sums of the table's rows over each block's words."""
+    out = np.zeros((len(blocks), table.shape[1]), np.float32)
+    for i in range(0, len(blocks), 2048):
+        for col in blocks[i : i + 2048].T:
+            out[i : i + 2048] += table[col]
+    return out
 
 
-def _normal(spark: SparkSession, docs: DataFrame, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _normal(spark: SparkSession, docs: DataFrame, x: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray]:
     """(A'AX, (AX)'(AX)) for the block matrix A of ``docs`` (word weights are in X)."""
     sent, k = spark.sparkContext.broadcast(x.astype(np.float32)), x.shape[1]
+    step = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, g, table = np.zeros((BUCKETS + 1, k), np.float32), np.zeros((k, k)), sent.value
+        z, g, table = np.zeros((other + 1, k), np.float32), np.zeros((k, k)), sent.value
         for b in batches:
-            blocks, _ = _blocks(*_lists(b))
+            blocks, _ = _blocks(*_lists(b), other, BLOCK)
             if not len(blocks):
                 continue
             y = _gather(blocks, table)
             g += y.T @ y
             flat = blocks.ravel()
             order = np.argsort(flat, kind="stable")
+            order = order[: np.searchsorted(flat[order], other)]
             word, row = flat[order], order // BLOCK
+            if not len(word):
+                continue
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             edge = np.append(first, len(word))
-            for c in range(0, len(first), 512):
-                d = min(c + 512, len(first))
+            for c in range(0, len(first), 256):
+                d = min(c + 256, len(first))
                 z[word[first[c:d]]] += np.add.reduceat(y[row[edge[c] : edge[d]]], first[c:d] - edge[c], axis=0)
-        rows = [(i, z[i * 1024 : (i + 1) * 1024].tobytes()) for i in range(BUCKETS // 1024)] + [(-1, g.tobytes())]
+        rows = [(i, z[i : i + step].tobytes()) for i in range(0, other, step)] + [(-1, g.tobytes())]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "sums"])
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         kind = np.float64 if f["part"].iloc[0] < 0 else np.float32
-        total = sum(np.frombuffer(s, kind).astype(np.float64) for s in f["sums"])
+        total = reduce(np.add, (np.frombuffer(s, kind).astype(np.float64) for s in f["sums"]))
         return pd.DataFrame({"part": f["part"].iloc[:1], "sums": [total.tobytes()]})
 
     got = {r["part"]: np.frombuffer(r["sums"]) for r in docs.mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").toLocalIterator()}
     sent.destroy()
-    z = np.zeros((BUCKETS + 1, k))
+    z = np.zeros((other + 1, k))
     for i, s in got.items():
         if i >= 0:
-            z[i * 1024 : (i + 1) * 1024] = s.reshape(1024, k)
+            z[i : i + step] = s.reshape(-1, k)[: len(z) - i]
+    z[other] = 0
     return z, got[-1].reshape(k, k) if -1 in got else np.zeros((k, k))
 
 
-def latent_space(docs: DataFrame, n: int, df: np.ndarray, fit_documents: int = 20_000, rank: int = RANK) -> np.ndarray:
-    """Whitened projection of hashed words, (BUCKETS + 1, rank), by a randomised range finder with one power step."""
-    spark = docs.sparkSession
-    idf = np.append(np.log((n + 1) / (df + 1)) + 0.1, 0)[:, None]
+def latent_space(docs: DataFrame, n: int, df: np.ndarray, fit_documents: int = 10_000, rank: int = RANK) -> np.ndarray:
+    """Half-whitened projection of the vocabulary's words and, as a row of zeros, of any other, by a randomised range finder
+    with one power step. The sample of documents is written once, in eight parts."""
+    spark, other = docs.sparkSession, len(df)
+    column = np.arange(other) % COLUMNS
+    idf = np.append(np.where(df > 0, np.log((n + 1) / (df + 1)) + 0.1, 0), 0)[:, None]  # what stands in no document says nothing
     share = min(1.0, fit_documents / max(n, 1))
     sample = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = sample.coalesce(max(1, min(docs.rdd.getNumPartitions(), 4)))
-    x = np.random.default_rng(7).standard_normal((BUCKETS + 1, rank + 8))
-    x[BUCKETS] = 0
+    sample = cut(sample.repartition(8))
+    x = np.random.default_rng(7).standard_normal((min(other, COLUMNS), min(rank + 8, max(1, other))))
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        return np.vstack([x[column], np.zeros((1, x.shape[1]))]) * idf
+
+    def folded(z: np.ndarray) -> np.ndarray:
+        out = np.zeros((min(other, COLUMNS), z.shape[1]))
+        np.add.at(out, column, (z * idf)[:-1])
+        return out
+
     for _ in range(2):
-        z, _ = _normal(spark, sample, x * idf)
-        x, _ = np.linalg.qr(z * idf)
-    _, g = _normal(spark, sample, x * idf)
+        z, _ = _normal(spark, sample, spread(x), other)
+        x, _ = np.linalg.qr(folded(z))
+    _, g = _normal(spark, sample, spread(x), other)
     value, vector = np.linalg.eigh(g)
     value, vector = value[::-1][:rank], vector[:, ::-1][:, :rank]
-    return ((x @ vector) * idf / np.sqrt(np.maximum(value, 1e-9 * max(value[0], 1e-9)))).astype(np.float32)
-
-
-def in_line(p: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Of each pair of columns, the most equal words at one offset between them. Rows are positions, so that every
-    comparison runs over contiguous numbers; padding differs on both sides."""
-    k, best = len(p), np.zeros(p.shape[1], np.uint8)
-    for d in range(k - IN_LINE + 1):
-        for x, y in ((p[d:], w[: k - d]), (p[: k - d], w[d:])) if d else ((p, w),):
-            n = np.zeros(p.shape[1], np.uint8)
-            for i in range(k - d):
-                n += x[i] == y[i]
-            np.maximum(best, n, out=best)
-    return best
-
-
-def runs(x: np.ndarray) -> np.ndarray:
-    """Hashed runs of three words, one for each but the last two."""
-    x = x.astype(np.uint64)
-    h = ((x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ x[1:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ x[2:]
-    return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
-
-
-class Runs:
-    """The runs of all questions, for lookup."""
-
-    def __init__(self, questions: list[np.ndarray]):
-        each = [runs(x) for x in questions]
-        size = np.array([len(x) for x in each])
-        flat = np.concatenate(each)
-        order = np.argsort(flat, kind="stable")
-        self.key, self.owner = flat[order], np.repeat(np.arange(len(each)), size)[order]
-        self.at = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size))[order]
-        self.need = np.array([max(1, int(RUNS * len(x))) for x in questions])
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.key & np.uint64(self.seen.size - 1)] = True
-
-    def candidates(self, flat: np.ndarray, off: np.ndarray) -> set[tuple[int, int]]:
-        """The (document, question) that share enough runs at offsets within four words; a document's words are flat[off[d]:off[d + 1]]."""
-        h = runs(flat)
-        at = np.flatnonzero(self.seen[h & np.uint64(self.seen.size - 1)])
-        doc = np.searchsorted(off, at, "right") - 1
-        inside = at + 3 <= off[doc + 1]
-        at, doc = at[inside], doc[inside]
-        lo, hi = np.searchsorted(self.key, h[at], "left"), np.searchsorted(self.key, h[at], "right")
-        n = hi - lo
-        which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        pair = np.repeat(doc, n) * len(self.need) + self.owner[which]
-        offset = np.repeat(at - off[doc], n) - self.at[which] + (1 << 24)
-        found = set()
-        for shift in (0, 4):  # each four offsets side by side are in one bin of one of the two
-            key, count = np.unique(pair << 24 | (offset + shift) >> 3, return_counts=True)
-            near = key >> 24
-            ok = count >= self.need[near % len(self.need)]
-            found |= set(zip((near[ok] // len(self.need)).tolist(), (near[ok] % len(self.need)).tolist()))
-        return found
+    return (spread(x @ vector) / (value + 0.05 * value[0] + 1e-9) ** 0.25).astype(np.float32)  # half whitened; directions hardly seen in the sample are damped
 
 
 class Question:
-    """A question's words, sorted for lookup."""
-
-    def __init__(self, ids: np.ndarray):
-        self.ids, self.order = ids, np.argsort(ids, kind="stable")
-        self.sorted = ids[self.order]
-
-    def offset(self, text: np.ndarray) -> tuple[int, int]:
-        """(offset of the text's words to the question's at which most are equal, how many are there or one beside)."""
-        lo, hi = np.searchsorted(self.sorted, text, "left"), np.searchsorted(self.sorted, text, "right")
+    """A question's words, and its word pairs sorted for lookup."""
+
+    def __init__(self, ids: np.ndarray, other: int):
+        self.ids, self.other = ids, other
+        code = ids[:-1].astype(np.int64) * (other + 1) + ids[1:]
+        self.order = np.argsort(code, kind="stable")
+        self.pairs = code[self.order]
+
+    def place(self, text: np.ndarray, around: int = 4) -> tuple[int, int]:
+        """(offset of the text's words to the question's near which most word pairs are equal, how many are)."""
+        code = text[:-1].astype(np.int64) * (self.other + 1) + text[1:]
+        lo, hi = np.searchsorted(self.pairs, code, "left"), np.searchsorted(self.pairs, code, "right")
         n = hi - lo
         if not (total := int(n.sum())):
             return 0, 0
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)
-        count = np.bincount(np.repeat(np.arange(len(text)), n) - self.order[at] + len(self.ids) + 1, minlength=len(text) + len(self.ids) + 3)
-        near = count[:-2] + count[1:-1] + count[2:]
+        shift = len(self.ids) + around
+        count = np.bincount(np.repeat(np.arange(len(code)), n) - self.order[at] + shift, minlength=len(text) + shift + around + 1)
+        sums = np.concatenate(([0], np.cumsum(count)))
+        near = sums[2 * around + 1 :] - sums[: -2 * around - 1]
         best = int(near.argmax())
-        return best - len(self.ids), int(near[best])
+        return best + around - shift, int(near[best])
+
+
+class Scale:
+    """Windows of questions of like length, and the block size of the passages they are compared with."""
+
+    def __init__(self, questions: list[np.ndarray], which: list[int], block: int, other: int):
+        self.block, wins, owner = block, [], []
+        for i in which:
+            x = questions[i]
+            w = min(2 * block, max(min(block, 12) if block == BLOCK else 1, len(x) // 2))
+            for s in sorted({*range(0, max(1, len(x) - w + 1), max(1, w // 3)), max(0, len(x) - w)}):
+                wins.append(x[s : s + w])
+                owner.append(i)
+        self.wins = np.full((len(wins), 2 * block), other, np.int32)
+        for i, w in enumerate(wins):
+            self.wins[i, : len(w)] = w
+        self.owner = np.array(owner, np.int64)
+        size = np.array([len(w) for w in wins], float)
+        self.least = np.minimum(COSINE, 0.8 * np.sqrt(size / (2 * block))).astype(np.float32)
+
+
+def candidates(scale: Scale, q: np.ndarray, space: np.ndarray, flat: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    """(document, question) -> (first, last) word of the passages whose cosine with a window of the question is high."""
+    other = len(space) - 1
+    blocks, count = _blocks(flat, off, other, scale.block)
+    if not len(blocks):
+        return {}
+    doc = np.repeat(np.arange(len(off) - 1), count)
+    start = (np.arange(len(blocks)) - np.repeat(np.cumsum(count) - count, count)) * scale.block
+    e = _gather(blocks, space)
+    same = np.append(doc[1:] == doc[:-1], False)
+    e[:-1][same[:-1]] += e[1:][same[:-1]]
+    norm = np.linalg.norm(e, axis=1)
+    some = np.flatnonzero(norm > 1e-6)
+    e = e[some] / norm[some, None]
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for i in range(0, len(e), 1024):
+        hit = np.flatnonzero((e[i : i + 1024] @ q >= scale.least).ravel())
+        p, w = some[hit // q.shape[1] + i], hit % q.shape[1]
+        for d, o, s in zip(doc[p].tolist(), scale.owner[w].tolist(), start[p].tolist()):
+            lo, hi = found.get((d, o), (s, s))
+            found[d, o] = min(lo, s), max(hi, s)
+    return found
 
 
 def align(q: np.ndarray, d: np.ndarray) -> int:
@@ -252,76 +272,97 @@ def align(q: np.ndarray, d: np.ndarray) -> int:
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: float = 0.68, fit_documents: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, dataset_name, matched, answer_present): documents that hold at least half of a question."""
-    spark = documents.sparkSession
-    if (count := items.count()) > LIMIT:
-        raise ValueError(f"{count} items; search them in parts of {LIMIT}")
-    number, asked = Ids(), {}
+def contains(text: np.ndarray, part: np.ndarray) -> bool:
+    """Whether the words of ``part`` stand in the text one after another."""
+    if not len(part) or len(part) > len(text):
+        return False
+    at = np.flatnonzero(text[: len(text) - len(part) + 1] == part[0])
+    for k in range(1, len(part)):
+        at = at[text[at + k] == part[k]]
+    return len(at) > 0
+
+
+def judged(question: Question, text: np.ndarray, first: int, last: int, block: int, answers: list[np.ndarray]) -> tuple[str | None, float]:
+    """(stretch, paraphrase or None; share of the question's words) of a document near the passages found in it."""
+    n, q = len(question.ids), question.ids
+    lo = max(0, first - n - block)
+    near = text[lo : last + 2 * block + n]
+    at, pairs = question.place(near)
+    if n < 6 or pairs >= max(1, 0.2 * n - 1):
+        around = near[max(0, at - BLOCK) : max(0, at + n + BLOCK)] if n >= 6 else near
+        if 2 * (m := align(q, around)) >= n:
+            return "stretch", m / n
+    if any(contains(near, a) for a in answers):
+        room = near[max(0, at - n // 4) : max(0, at + n + n // 4)]
+        if n >= 6 and (m := common_in_order(q.astype(np.uint32), room.astype(np.uint32))) >= 0.6 * n:
+            return "paraphrase", m / n
+    return None, 0.0
+
+
+def _parts(items: DataFrame, part_words: int) -> Iterator[list[tuple[list[str], list[tuple[int, str, list[str]]]]]]:
+    """Parts of the items: (question's words, [(item, data set, answer's words)])."""
+    asked: dict[tuple[str, ...], list] = {}
+    size = 0
     for r in items.select("item_id", "dataset_name", "question", "choices", "answer_key").toLocalIterator():
-        ids = number(r["question"])
+        if not (q := tuple(words(r["question"]))):
+            continue
         c = r["choices"]
         answer = next((t for t, k in zip(c["text"] or [], c["label"] or []) if k == r["answer_key"]), None) if c and r["answer_key"] else None
-        if len(ids):
-            asked.setdefault(ids.tobytes(), (ids, []))[1].append((r["item_id"], r["dataset_name"], number(answer)))
-    questions = list(asked.values())
-    docs = cut(numbered(documents))
-    n, df = frequencies(docs)
-    schema = "doc_id bigint, item_id bigint, dataset_name string, matched double, answer_present boolean"
-    if not questions or not n:
-        return spark.createDataFrame([], schema)
+        a = words(answer)
+        asked.setdefault(q, []).append((r["item_id"], r["dataset_name"], a))
+        size += len(q) + len(a)
+        if size >= part_words:
+            yield list(asked.items())
+            asked, size = {}, 0
+    if asked:
+        yield list(asked.items())
+
+
+def _search(documents: DataFrame, part: list, fit_documents: int) -> DataFrame | None:
+    spark = documents.sparkSession
+    vocabulary: dict[str, int] = {}
+    for q, held in part:
+        for w in (*q, *(w for _, _, a in held for w in a)):
+            vocabulary.setdefault(w, len(vocabulary))
+    other = len(vocabulary)
+    number = lambda ws: np.array([vocabulary[w] for w in ws], np.int32)
+    asked = [(number(q), [(i, d, number(a)) for i, d, a in held]) for q, held in part]
+    docs = cut(numbered(documents, vocabulary))
+    n, df = frequencies(docs, other)
+    if not n:
+        return None
     space = latent_space(docs, n, df, fit_documents)
-    # passages of the questions, a block apart
-    wins, owner = [], []
-    for i, (ids, _) in enumerate(questions):
-        for s in range(0, max(1, len(ids) - BLOCK), BLOCK):
-            w = ids[s : s + 2 * BLOCK] % BUCKETS
-            wins.append(np.append(w, np.full(2 * BLOCK - len(w), BUCKETS)).astype(np.int32))
-            owner.append(i)
-    wins, owner = np.array(wins), np.array(owner)
-    sent = spark.sparkContext.broadcast((space, wins, owner, questions))
+    ids = [q for q, _ in asked]
+    scales = [Scale(ids, which, block, other) for block, which in ((BLOCK, [i for i, x in enumerate(ids) if len(x) >= 24]), (BLOCK // 2, [i for i, x in enumerate(ids) if len(x) < 24])) if which]
+    sent = spark.sparkContext.broadcast((space, scales, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, wins, owner, questions = sent.value
-        q = space[wins].sum(1)
-        q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-9
-        asked = [Question(ids) for ids, _ in questions]
-        held_runs = Runs([ids for ids, _ in questions])
-        across = np.where(wins == BUCKETS, -1, wins).T.astype(np.int16)
+        space, scales, asked = sent.value
+        questions = [Question(x, other) for x, _ in asked]
+        vectors = []
+        for s in scales:
+            v = _gather(s.wins, space)
+            vectors.append(np.ascontiguousarray((v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)).T))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
                 flat, off = _lists(b)
-                blocks, count = _blocks(flat, off)
-                if not len(blocks):
-                    continue
-                doc = np.repeat(np.arange(b.num_rows), count)
-                e = _gather(blocks, space)
-                same = np.append(doc[1:] == doc[:-1], False)
-                e[:-1][same[:-1]] += e[1:][same[:-1]]
-                e /= np.linalg.norm(e, axis=1, keepdims=True) + 1e-9
-                passages = np.hstack([blocks, np.where(same[:, None], np.roll(blocks, -1, axis=0), BUCKETS)]).T.astype(np.int16)
-                found = held_runs.candidates(flat, off)
-                for i in range(0, len(e), 2048):
-                    hit = np.flatnonzero((e[i : i + 2048] @ q.T).ravel() >= least)
-                    p, w = hit // len(q) + i, hit % len(q)
-                    ok = in_line(passages[:, p], across[:, w]) >= IN_LINE
-                    found |= set(zip(doc[p[ok]].tolist(), owner[w[ok]].tolist()))
-                rows = []
-                key = b.column("doc_id").to_pylist()
-                for d, i in found:
-                    ids, held = questions[i]
-                    text = flat[off[d] : off[d + 1]]
-                    d0, near = asked[i].offset(text)
-                    if 5 * near < 2 * len(ids):
-                        continue
-                    m = align(ids, text[max(0, d0 - BLOCK) : max(0, d0 + len(ids) + BLOCK)])
-                    if 2 * m >= len(ids):
-                        joined = text.tobytes()
-                        for item, name, answer in held:
-                            rows.append((key[d], item, name, m / len(ids), bool(len(answer)) and answer.tobytes() in joined))
+                key, rows = b.column("doc_id").to_pylist(), []
+                for s, v in zip(scales, vectors):
+                    for (d, i), (first, last) in candidates(s, v, space, flat, off).items():
+                        text, held = flat[off[d] : off[d + 1]], asked[i][1]
+                        how, m = judged(questions[i], text, first, last, s.block, [a for _, _, a in held])
+                        if how:
+                            rows += [(key[d], item, name, m, how, contains(text, a)) for item, name, a in held]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=cols), pa.schema(types), preserve_index=False)
 
-    cols = ["doc_id", "item_id", "dataset_name", "matched", "answer_present"]
-    types = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("dataset_name", pa.string()), ("matched", pa.float64()), ("answer_present", pa.bool_())]
-    return docs.mapInArrow(run, schema).dropDuplicates(["doc_id", "item_id"])
+    cols = ["doc_id", "item_id", "dataset_name", "matched", "how", "answer_present"]
+    types = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("dataset_name", pa.string()), ("matched", pa.float64()), ("how", pa.string()), ("answer_present", pa.bool_())]
+    return docs.mapInArrow(run, SCHEMA).dropDuplicates(["doc_id", "item_id"])
+
+
+def leaks(documents: DataFrame, items: DataFrame, fit_documents: int = 10_000, part_words: int = 300_000) -> DataFrame:
+    """(doc_id, item_id, dataset_name, matched, how, answer_present): documents that hold at least half of a question in
+    a stretch, or a paraphrase of it with its answer."""
+    found = [x for part in _parts(items, part_words) if (x := _search(documents, part, fit_documents)) is not None]
+    return reduce(DataFrame.unionAll, found) if found else documents.sparkSession.createDataFrame([], SCHEMA)

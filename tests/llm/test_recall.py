@@ -68,3 +68,31 @@ def test_part_leaks_of_short_questions(spark):
     for fit in (20_000, 40):
         got = {(x["doc_id"], x["item_id"]) for x in leakage.leaks(more, items, fit_documents=fit).collect()}
         assert len(want) >= 80 and want <= got, (fit, len(want), len(want & got))
+
+
+def test_short_halved_and_padded_questions_leak(spark):
+    """A question of 7 words, half of one of 14, one with an added word behind every fifth, and one with every sixth word exchanged."""
+    d = table(spark, SF, "documents").select("doc_id", "text", "split").where("split = 'train'")
+    filler = [x["text"].split() for x in d.where("length(text) > 900").orderBy("doc_id").limit(4).collect()]
+    short = "seven quokkas juggle brass lanterns nearby tonight".split()
+    half = "violet tapirs paint wooden trams while nine otters sing below granite arches during storms".split()
+    long = [f"term{k}" for k in range(40)]
+    padded = [x for k, w in enumerate(long) for x in ([w, "padding"] if k % 5 == 4 else [w])]
+    swapped = [w if k % 6 != 5 else "other" for k, w in enumerate(long)]
+    planted = [(90_000 + k, " ".join([*f[:50], *p, *f[50:]]), "train") for k, (f, p) in enumerate(zip(filler, (short, half[3:10], padded, swapped)))]
+    items = spark.createDataFrame(
+        [(1, "a", " ".join(short), None, None), (2, "a", " ".join(half), None, None), (3, "b", " ".join(long), None, None), (4, "b", " ".join(long), {"text": ["no", "yes"], "label": ["A", "B"]}, "B"), (5, None, "", None, None), (6, None, None, None, None)],
+        "item_id bigint, dataset_name string, question string, choices struct<text: array<string>, label: array<string>>, answer_key string",
+    )
+    more = d.unionByName(spark.createDataFrame(planted, "doc_id bigint, text string, split string"))
+    for words_each in (300_000, 30):  # one part, and one for nearly every item
+        got = {(x["doc_id"], x["item_id"]) for x in leakage.leaks(more, items, part_words=words_each).where("how = 'stretch'").collect()}
+        assert got == {(90_000, 1), (90_001, 2), (90_002, 3), (90_002, 4), (90_003, 3), (90_003, 4)}
+
+
+def test_paraphrase_needs_order_and_answer():
+    q = np.arange(40, dtype=np.int32)
+    spread = np.array([x for k in range(40) for x in ((k, 99) if k % 2 else (k,))], np.int32)  # a word added behind every second
+    assert leakage.judged(leakage.Question(q, 100), np.concatenate([spread, [77, 78]]).astype(np.int32), 0, 40, 12, [np.array([77, 78], np.int32)])[0] == "paraphrase"
+    assert leakage.judged(leakage.Question(q, 100), spread, 0, 40, 12, [np.array([77, 78], np.int32)])[0] is None
+    assert leakage.contains(np.array([1, 2, 3]), np.array([2, 3])) and not leakage.contains(np.array([1, 2]), np.array([2, 1])) and not leakage.contains(q, np.array([], np.int32))
