@@ -106,8 +106,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return neardup.overlap_report(neardup.cross_split_pairs(documents), documents)
+    return neardup.overlap_report(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -1,6 +1,7 @@
 """Planted cases at the edge of the rules."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusloom.llm import leakage, neardup
 from corpusloom.llm.words import Ids
@@ -40,7 +41,43 @@ def test_near_duplicates_at_the_edge_of_the_rule(spark):
 
 def test_counted_words_intersect_as_multisets():
     x, y = np.array([1, 1, 1, 2], np.uint32), np.array([3, 1, 1], np.uint32)
-    assert len(np.intersect1d(neardup.counted(x), neardup.counted(y))) == 2 and len(np.unique(neardup.counted(x))) == 4
+    assert len(np.intersect1d(neardup.placed(x, 0), neardup.placed(y, 0))) == 2 and len(np.unique(neardup.placed(x, 0))) == 4
+
+
+def test_cuts_and_insertions_are_near_duplicates(spark):
+    """A fifth cut off in front or behind, a stretch put in, a tenth cut and a tenth exchanged; of 20 to 3,000 words."""
+    r, rows = np.random.default_rng(5), []
+    for k in range(200):
+        a = [f"w{x}" for x in r.integers(0, 1 << 30, int(np.exp(r.uniform(np.log(25), np.log(3000)))))]
+        n, new = len(a), lambda m: [f"v{x}" for x in r.integers(0, 1 << 30, m)]
+        c = int(n * 0.18)
+        b = list(a)
+        if k % 4 < 2:
+            b = b[c:] if k % 4 else b[: n - c]
+        elif k % 4 == 2:
+            at = int(r.integers(0, n))
+            b = b[:at] + new(int(n * 0.2)) + b[at:]
+        else:
+            b = b[n // 10 :]
+            for i in r.permutation(len(b))[: int(n * 0.09)]:
+                b[i] = new(1)[0]
+        rows += [(2 * k, " ".join(a), "train"), (2 * k + 1, " ".join(b), "test")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, split string")
+    got = {(x["train_id"], x["eval_id"]) for x in neardup.cross_split_pairs(d).collect()}
+    assert len(got) >= 196 and all(b == a + 1 for a, b in got)
+
+
+def test_report_counts_what_pairs_would(spark):
+    d = table(spark, SF, "documents")
+    some = d.where("text is not null and split = 'train'").orderBy("doc_id").limit(6)
+    more = d.unionByName(some.withColumn("doc_id", F.col("doc_id") + 70_000).withColumn("split", F.lit("val"))).unionByName(some.withColumn("doc_id", F.col("doc_id") + 80_000)).unionByName(some.withColumn("doc_id", F.col("doc_id") + 90_000).withColumn("split", F.lit("test")).withColumn("source", F.lit(None).cast("string")))
+    about = {r["doc_id"]: (r["split"], (r["source"] or "").strip().lower() or None) for r in more.collect()}
+    want: dict = {}
+    for r in neardup.cross_split_pairs(more).collect():
+        x = want.setdefault(about[r["eval_id"]], (set(), set(), set()))
+        x[0].add((r["train_id"], r["eval_id"])), x[1].add(r["eval_id"]), x[2].add(r["train_id"])
+    got = {(r["split"], r["source"]): (r["pairs"], r["eval_docs"], r["train_docs"]) for r in neardup.overlap_report(more).collect()}
+    assert got == {k: tuple(map(len, v)) for k, v in want.items()} and any(k[1] is None for k in got)
 
 
 def test_part_leaks_of_short_questions(spark):
