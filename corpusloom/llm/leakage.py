@@ -145,7 +145,7 @@ def _normal(spark: SparkSession, docs: DataFrame, x: np.ndarray, other: int) ->
     return z, got[-1].reshape(k, k) if -1 in got else np.zeros((k, k))
 
 
-def latent_space(docs: DataFrame, n: int, df: np.ndarray, fit_documents: int = 10_000, rank: int = RANK) -> np.ndarray:
+def latent_space(docs: DataFrame, n: int, df: np.ndarray, fit_documents: int = 5_000, rank: int = RANK) -> np.ndarray:
     """Half-whitened projection of the vocabulary's words and, as a row of zeros, of any other, by a randomised range finder
     with one power step. The sample of documents is written once, in eight parts."""
     spark, other = docs.sparkSession, len(df)
@@ -290,11 +290,12 @@ def judged(question: Question, text: np.ndarray, first: int, last: int, block: i
     at, pairs = question.place(near)
     if n < 6 or pairs >= max(1, 0.2 * n - 1):
         around = near[max(0, at - BLOCK) : max(0, at + n + BLOCK)] if n >= 6 else near
-        if 2 * (m := align(q, around)) >= n:
+        # an alignment matches no more words than the longest common subsequence has
+        if 2 * common_in_order(q, around) >= n and 2 * (m := align(q, around)) >= n:
             return "stretch", m / n
     if any(contains(near, a) for a in answers):
         room = near[max(0, at - n // 4) : max(0, at + n + n // 4)]
-        if n >= 6 and (m := common_in_order(q.astype(np.uint32), room.astype(np.uint32))) >= 0.6 * n:
+        if n >= 6 and (m := common_in_order(q, room)) >= 0.6 * n:
             return "paraphrase", m / n
     return None, 0.0
 
@@ -361,7 +362,7 @@ def _search(documents: DataFrame, part: list, fit_documents: int) -> DataFrame |
     return docs.mapInArrow(run, SCHEMA).dropDuplicates(["doc_id", "item_id"])
 
 
-def leaks(documents: DataFrame, items: DataFrame, fit_documents: int = 10_000, part_words: int = 300_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, fit_documents: int = 5_000, part_words: int = 300_000) -> DataFrame:
     """(doc_id, item_id, dataset_name, matched, how, answer_present): documents that hold at least half of a question in
     a stretch, or a paraphrase of it with its answer."""
     found = [x for part in _parts(items, part_words) if (x := _search(documents, part, fit_documents)) is not None]
