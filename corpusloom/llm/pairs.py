@@ -2,13 +2,15 @@
 
 A pair is a user message and the assistant message right after it. An answer without anything to read is empty. For the
 other defects a multi-label linear classifier scores hashed words and word pairs of the answer, its last words, and
-features of the pair (order-preserving overlap with the question, languages of both, how the answer ends). It is fitted
-on the driver from at most ``fit_conversations`` conversations, taken by a digest of their id: their answers as they
-are, with sound variations (short answers without a full stop, sentences said back as asked, answers in a language that
-was asked for, a regret followed by help), and with defects put in (cut off, copied, swapped for one in another language,
-refused). Two more fits leave out answers of the sample that the one before holds to be defective. Thresholds are
-calibrated on a held-out part: the score that separates synthetic defects and sound answers with the fewest errors.
-Scoring covers every pair of every conversation.
+features of the pair (order-preserving overlap with the question, languages of both, how the answer ends, how much of it
+long answers do not have). It is fitted on the driver from at most ``fit_pairs`` pairs of at most
+``fit_conversations`` conversations, both taken by a digest: the answers as they are, with sound variations (short answers
+without a full stop, sentences said back as asked, answers in a language that was asked for, a regret followed by help,
+answers swapped for others of the same language, which are no defect), and with defects put in (cut off, copied, swapped
+for one in another language, refused in words put together by ``phrases``, which takes none from the data). Two more fits
+leave out answers of the sample that the one before holds to be defective. Thresholds are calibrated on a held-out part:
+the score that separates synthetic defects and sound answers with the fewest errors. Scoring covers every pair of every
+conversation.
 
 A pair has one defect; of several above their thresholds the first of empty, copies_question, refusal, wrong_language,
 truncated is given. Null messages or roles make no pair; a null question can have no copy. A record delivered twice
@@ -29,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import phrases
 from corpusloom.llm.words import Ids, common_in_order, words
 
 LABELS = ("copies_question", "refusal", "wrong_language", "truncated")
 BITS = 18
+#: Learning rates of hashed features; whether an answer copies or is in another language shows more in the features of the pair.
+RATES = np.array([0.2, 1.0, 0.2, 1.0], np.float32)
 LANGS = ("en", "de", "fr", "es", "ru", "zh")
-DENSE = 48
-#: Labels that hashed words speak for; whether an answer copies or is in another language the pair features say.
-BY_WORDS = np.array([0.0, 1.0, 0.0, 1.0], np.float32)
+DENSE = 56
 
 _MARKUP = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|```\w*|<\|[^|<>]*\|>")
 _INVISIBLE = re.compile("[\\s­​-‏⁠-⁤﻿︀-️]+")
@@ -53,41 +56,6 @@ _LANGUAGE_NAMES = {
 _ASKED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _LANGUAGE_NAMES.items()), re.I)
 _ASKING = re.compile(r"(?i)\b(?:in|into|to|auf|ins|en|au|al|на|с)\s|translat|übersetz|tradu|перевед|翻译|用|по-")
 
-#: Ways to decline, to regret and then help, and to label a copy: examples for the synthetic training pairs.
-OPENERS = {
-    "en": ("", "I'm sorry, but ", "Unfortunately, ", "Regrettably, ", "Apologies; ", "Hmm, ", "As a language system, ", "This one is not for me: ", "I have to be honest: ", "Thanks for asking, but ", "I understand why you ask, yet "),
-    "de": ("", "Leider ", "Zu meinem Bedauern ", "An dieser Stelle ", "Es tut mir leid, aber hier "), "fr": ("", "Malheureusement, ", "Pardon, ", "Je suis désolé, mais ", "Désolé, "),
-    "es": ("", "Lamentablemente, ", "Disculpa, ", "Lo siento, pero ", "Perdona, "), "ru": ("", "К сожалению, ", "Извините, но ", "Простите, "), "zh": ("", "抱歉，", "很遗憾，", "对不起，"),
-}
-CORES = {
-    "en": (
-        "I can't help with that", "I must decline to answer", "I won't be giving an answer here", "I am not able to assist with this request", "I do not feel comfortable responding", "I'm unable to comply", "it isn't possible for me to provide that",
-        "answering this goes beyond what I may do", "this is something I have been told not to discuss", "I would rather not take part in this", "that is a request I turn down every time, whatever the reason", "questions like this one are off the table for me",
-        "my answer has to be a refusal here", "not something I'm permitted to go into, sorry", "I was set up in a way that keeps me from responding to this", "I have been asked to stay out of it", "you would need an expert for that; I have been asked to stay out of it",
-        "I'd rather leave questions of this sort alone", "I cannot answer this question", "I refuse to discuss this topic", "no, I will not do this",
-    ),
-    "de": ("kann ich diese Frage nicht beantworten", "kann ich dabei nicht helfen", "muss ich die Antwort verweigern", "darf ich dazu nichts sagen", "möchte ich darauf nicht antworten"),
-    "fr": ("je ne suis pas en mesure de répondre", "je ne peux pas vous aider avec cela", "je dois refuser cette demande", "je préfère ne pas répondre", "il m'est impossible de répondre"),
-    "es": ("no me es posible responder a esta petición", "no puedo ayudar con eso", "debo rechazar esta pregunta", "prefiero no responder", "no puedo contestar a esta pregunta"),
-    "ru": ("я не могу помочь с этим", "я вынужден отказаться отвечать", "я не могу ответить на этот вопрос", "мне нельзя об этом говорить"), "zh": ("我无法回答这个问题", "我不能帮助您完成这个请求", "我不方便回答", "我必须拒绝这个请求"),
-}
-TAILS = {
-    "en": ("", "", " because it may go against my guidelines", "; please understand", ", since I have no opinion or access to such details", " at this time"), "de": ("", " zurzeit"), "fr": ("", " pour le moment"), "es": ("", " en este momento"), "ru": ("", " сейчас"), "zh": ("", ""),
-}
-LEADS = {"en": ("", "", "Thank you for your patience. ", "I looked at your question carefully. ", "Let me explain. ", "No. ", "Could we talk about something else? ")}
-CLOSINGS = {
-    "en": ("", "", " Please ask a specialist instead.", " Feel free to try another topic.", " Is there anything else you would like to talk about?", " Could we talk about something else?"), "de": ("", " Frag bitte jemand anderen.", " Gibt es ein anderes Thema?"),
-    "fr": ("", " Essayez un autre sujet.", " Adressez-vous à un spécialiste."), "es": ("", " Prueba con otro tema.", " Consulta a un especialista."), "ru": ("", " Спросите о чём-нибудь другом."), "zh": ("", "请换一个话题。"),
-}
-REGRETS = {
-    "en": ("Unfortunately, there is no single reason, but a few things are known. ", "I'm sorry to hear about the trouble, and here is what may help. ", "I can't say for certain, yet the usual explanation is this. ", "I cannot stress this enough: ", "Sorry for the wait. ", "I am not able to see it myself, but this helps most people: ", "Unfortunately this is hard, so let us go step by step. "),
-    "de": ("Leider gibt es keinen einzelnen Grund, aber einiges ist bekannt. ", "Es tut mir leid, das zu hören; das hilft meistens. "), "fr": ("Malheureusement, il n'y a pas une seule raison, mais on sait ceci. ", "Je suis désolé de l'apprendre, voici ce qui aide. "),
-    "es": ("Lamentablemente no hay una sola razón, pero se sabe esto. ", "Siento oírlo; esto suele ayudar. "), "ru": ("К сожалению, одной причины нет, но кое-что известно. ", "Мне жаль это слышать, вот что помогает. "), "zh": ("很遗憾没有单一的原因，但是有几点是已知的。", "抱歉听到这个消息，以下方法可能有帮助。"),
-}
-COPY_LABELS = ("Question: {}", "User: {}", "**Q:** {}", "> {}", "\"{}\"", "“{}”", "*{}*", "{}\n{}", "{} {}", "\n\n{}", "You asked: {}", "Frage: {}", "Q: {}", "  {}\n", "Human: {}")
-SAY_BACK = ("Repeat exactly: {}", "Say this back to me: {}", "Fix the spelling if needed: {}", "Repeat word for word: {}", "Wiederhole genau: {}", "Répète exactement : {}", "Repite exactamente: {}", "Повтори дословно: {}", "请重复：{}")
-ASK_IN = {"en": ("English",), "de": ("German",), "fr": ("French",), "es": ("Spanish",), "ru": ("Russian",), "zh": ("Chinese",)}
-
 
 def readable(text: str | None) -> bool:
     """Whether there is anything besides white space, invisible characters, punctuation, markup and special tokens."""
@@ -108,12 +76,24 @@ class Languages:
                 counts[lang].update(set(words(text)))
         size = {k: sum(c.values()) + 1 for k, c in counts.items()}
         self.typical: dict[str, tuple[int, float]] = {}
+        self.usual: frozenset[str] = frozenset()
         for w in set().union(*counts.values()):
             rate = sorted(((c[w] + 0.2) / (size[k] + 2000), i) for i, (k, c) in enumerate(counts.items()))
             odds = math.log(rate[-1][0] / rate[-2][0])
             if odds > 1.0 and counts[LANGS[rate[-1][1]]][w] >= 2:
                 self.typical[w] = (rate[-1][1], min(odds, 4.0))
 
+    def settle(self, answers: list[str], long: int = 30, least: float = 0.002) -> None:
+        """The words that long answers, which hardly ever decline, are made of."""
+        sets = [set(w) for w in map(words, answers) if len(w) >= long]
+        n = Counter(x for w in sets for x in w)
+        self.usual = frozenset(w for w, k in n.items() if k >= max(2, least * len(sets)))
+
+    def strange(self, u: set[str], a: list[str]) -> float:
+        """Share of an answer's words, numbers apart, that neither its question nor long answers have."""
+        w = [x for x in a if not x.isdigit()]
+        return sum(1 for x in w if x not in self.usual and x not in u) / max(1, len(w))
+
     def scores(self, ws: list[str]) -> list[float]:
         out, get = [0.0] * len(LANGS), self.typical.get
         for w in ws:
@@ -189,7 +169,7 @@ class Featurizer:
             reach = shared / m
             order = common_in_order(np.array([hash(w) & 0xFFFFFFFF for w in a], np.uint32), np.array([hash(w) & 0xFFFFFFFF for w in u], np.uint32)) / m if within >= 0.5 and reach >= 0.4 else 0.0
             back = float(n < m and u[m - n :] == a and m - n >= 2)
-            request = float(bool(_REQUEST.search(user[:80])))
+            request = float(bool(_REQUEST.search(user)))
         else:
             within = reach = order = back = request = 0.0
         copy = within * order
@@ -204,6 +184,9 @@ class Featurizer:
         told = float(bool(asked))
         out += [differs * (1 - told), differs * (1 - told) * share * sure, differs * (1 - told) * float(share >= 0.6 and sure >= 0.5), differs * told, differs * (1 - told) * min(la[ia] - la[iu], 30) / 10, float(la[ia] > 0), differs * (1 - told) * float(lu[ia] == 0 and la[iu] <= 0.15 * total)]
         out += [1.0, math.log1p(n) / 5, float(n <= 3), float(n == 0), math.log1p(m) / 5]
+        strange = self.languages.strange(set(u), a)
+        code = float("```" in answer)
+        out += [strange, strange * (1 - code), (1 - code) * float(strange >= 0.2) * float(n >= 4), (1 - code) * float(strange >= 0.35) * float(n >= 4), (1 - code) * strange * min(n, 20) / 10]
         return out + [0.0] * (DENSE - len(out)), tail
 
     def __call__(self, rows: list[tuple[str | None, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,14 +261,20 @@ class Linear:
                 u, inv = np.unique(i, return_inverse=True)
                 g = np.stack([np.bincount(inv, err[local, k] * v, len(u)) for k in range(len(LABELS))], 1) / len(rows) + decay * self.sparse[u]
                 gs[u] += g * g
-                self.sparse[u] -= rate * BY_WORDS * g / np.sqrt(gs[u])
+                self.sparse[u] -= rate * RATES * g / np.sqrt(gs[u])
                 g = dense[rows].T @ err / len(rows) + decay * self.dense
                 gd += g * g
                 self.dense -= rate * g / np.sqrt(gd)
         return self
 
 
-def _cut_off(a: str, r: random.Random) -> str | None:
+#: words that want another behind them
+_JOINS = {"en": (" and", " of the", " or", " with"), "de": (" und", " mit der", " oder"), "fr": (" et", " de la", " ou"), "es": (" y", " de la", " o"), "ru": (" и", " или", " для"), "zh": ("和", "以及", "，而且")}
+#: short sound answers
+_BRIEF = ("Yes.", "No.", "Yes", "no", "Ja.", "Nein", "Oui.", "Non", "Sí.", "No", "Да.", "Нет", "是的。", "不是", "Maybe.", "Exactly.", "OK")
+
+
+def _cut_off(a: str, r: random.Random, lang: str) -> str | None:
     """An answer stopped before its end, or None where none can be made."""
     if len(words(a)) < 5:
         return None
@@ -302,7 +291,18 @@ def _cut_off(a: str, r: random.Random) -> str | None:
     lines = a.rstrip().split("\n")
     if _MARKER.match(lines[-1]) and len(lines) > 2:
         k = sum(1 for x in lines if _MARKER.match(x))
-        return a.rstrip() + f"\n{k + 1}." if how < 0.5 else "\n".join(lines[:-1]) + f"\n{r.choice(('-', f'{k}.'))}" + r.choice(("", " ", " The abandoned", " Each of the"))
+        mark = r.choice(("-", f"{k}.", f"{k + 1}."))
+        entry = lines[-1].split(" ")
+        sentence = lines[0].split(" ") if " " in lines[0] else [lines[0][:4], lines[0][4:8]]
+        if how < 0.3:
+            return a.rstrip() + f"\n{k + 1}."
+        if how < 0.5:
+            return "\n".join(lines[:-1]) + f"\n{mark}" + r.choice(("", " "))
+        if how < 0.75:  # the beginning of a sentence as an entry
+            return "\n".join(lines[:-1]) + f"\n{mark} " + " ".join(sentence[: r.randint(1, min(4, len(sentence)))]).rstrip(".,;:。，")
+        if how < 0.9 or len(entry) < 5:
+            return a.rstrip().rstrip(".。") + r.choice(_JOINS[lang])
+        return "\n".join(lines[:-1] + [" ".join(entry[: r.randint(3, len(entry) - 1)]).rstrip(".,;:")])
     begin = max((m.end() for m in _TERMINAL.finditer(a[:-2])), default=0)
     stop = r.randint(begin + (len(a) - begin) // 4, max(begin + (len(a) - begin) // 4, len(a) - 4))
     head = a[:stop]
@@ -311,28 +311,28 @@ def _cut_off(a: str, r: random.Random) -> str | None:
     head = head[: head.rfind(" ")] if " " in head[begin:] else head
     if not words(head[begin:]):
         return None
-    return head.rstrip(".,;: ") + r.choice((",", " of the", " —", " (pattern, archive", "", "", " and", ":", "，" if not a.isascii() else ";"))
+    return head.rstrip(".,;: ") + r.choice((",", " of the", " —", " (" + ", ".join(a.split()[:2]), "", "", " and", ":", "，" if not a.isascii() else ";"))
 
 
-def _copied(u: str, r: random.Random) -> str:
+def _copied(u: str, r: random.Random, others: list[str]) -> str:
     t = u
     if r.random() < 0.35 and len(t.split()) >= 8:
         ws = t.split(" ")
         for _ in range(max(1, len(ws) // r.choice((15, 10, 6)))):
-            ws[r.randrange(len(ws))] = r.choice(("dancal", "orthal", "something", "vornev"))
+            ws[r.randrange(len(ws))] = r.choice(others)
         t = " ".join(ws)
     t = r.choice((str, str, str.lower, str.upper, lambda s: s.rstrip(".?!。？"), lambda s: re.sub(r"[.,?!;:。，？]", "", s), lambda s: s.replace(" ", "  ")))(t)
-    form = r.choice(("{}", "{}", *COPY_LABELS))
+    form = r.choice(("{}", "{}", *phrases.COPY_LABELS))
     return form.replace("{}", t)
 
 
-def _refused(lang: str, r: random.Random) -> str:
-    lang = lang if lang in CORES else "en"
-    opener, core = r.choice(OPENERS[lang]), r.choice(CORES[lang])
-    text = opener + core + r.choice(TAILS[lang]) + ("。" if lang == "zh" else ".")
-    text = r.choice(LEADS.get(lang, ("",))) + text[0].upper() + text[1:] + r.choice(CLOSINGS[lang])
-    k = r.random()
-    return text.lower() if k < 0.08 else text.rstrip(".。") if k < 0.12 else text
+#: Ranges of code points that odd last lines are drawn from: pictures, Latin letters with marks, number forms, unit signs, and other scripts.
+_ODD = ((0x1F600, 0x1F64F), (0x1F680, 0x1F6C5), (0xC0, 0x17E), (0x2150, 0x2189), (0x3380, 0x33DF), (0x905, 0x939), (0xE01, 0xE2E), (0x5D0, 0x5EA), (0xAC00, 0xD7A3), (0x1F1E6, 0x1F1FF))
+
+
+def _odd_line(r: random.Random) -> str:
+    lo, hi = r.choice(_ODD)
+    return " ".join("".join(chr(r.randint(lo, hi)) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 3)))
 
 
 def synthetic(base: list[tuple[str, str, str]], seed: int = 5) -> tuple[list[tuple[str, str]], np.ndarray]:
@@ -342,6 +342,7 @@ def synthetic(base: list[tuple[str, str, str]], seed: int = 5) -> tuple[list[tup
     for lang, _, a in base:
         if len(words(a)) >= 6:
             by_lang.setdefault(lang, []).append(a)
+    spare = [w for _, _, a in base[:200] for w in a.split()[:20]] or ["word"]
 
     def add(u: str, a: str, *labels: str) -> None:
         rows.append((u, a))
@@ -349,43 +350,45 @@ def synthetic(base: list[tuple[str, str, str]], seed: int = 5) -> tuple[list[tup
 
     for lang, u, a in base:
         add(u, a)
-        if c := _cut_off(a, r):
+        if c := _cut_off(a, r, lang if lang in _JOINS else "en"):
             add(u, c, "truncated")
-        add(u, _copied(u, r), "copies_question")
-        if r.random() < 0.6:
-            add(u, _refused(lang, r), "refusal")
+        add(u, _copied(u, r, spare), "copies_question")
+        if r.random() < 0.7:
+            add(u, phrases.refusal(lang, r, r.choice(u.split() or [""]).strip(".,?!:;")), "refusal")
+        if r.random() < 0.2 and lang in by_lang:
+            add(u, r.choice(by_lang[lang]))
         others = [k for k in by_lang if k != lang]
         if others and r.random() < 0.6:
             k = r.choice(others)
             add(u, r.choice(by_lang[k]), "wrong_language")
-            if r.random() < 0.4 and k in ASK_IN:
-                name = r.choice(ASK_IN[k])
+            if r.random() < 0.4 and k in phrases.ASK_IN:
+                name = r.choice(phrases.ASK_IN[k])
                 add(r.choice((f"{u} Please answer in {name}.", f"Translate into {name}: {u}")), r.choice(by_lang[k]))
         if "```" in a:  # code is rare; its cut ends count more than once
             for _ in range(6):
-                if c := _cut_off(a, r):
+                if c := _cut_off(a, r, lang if lang in _JOINS else "en"):
                     add(u, c, "truncated")
                 add(u, a)
-        if lang == "en" and r.random() < 0.08:
-            name = r.choice(("Lorquen", "Maria", "Belwil", "Peter", "Zanfen"))
-            add(f"Write a polite note in which {name} declines an invitation.", f"Dear {name}, I'm sorry, but I can't come to the {r.choice(('river', 'party', 'valley', 'engine', 'meeting'))} this week. " + re.split(r"(?<=[.!?])\s", a)[0] + r.choice((" Kind regards, Olwen.", " Best wishes, Korvor.", "")))
+        if lang == "en" and r.random() < 0.08:  # a refusal that was asked for
+            name, to = (r.choice(spare).strip(".,;:!?").capitalize() for _ in range(2))
+            add(f"Compose a short message saying that {name} has to turn down {to}.", f"Hello {to}, I regret that I cannot make it {r.choice(('tonight', 'on Monday', 'next time', 'to your event'))}. " + re.split(r"(?<=[.!?])\s", a)[0] + r.choice((f" Yours, {name}.", f" Warmly, {name}", "")))
         k = r.random()
         if k < 0.25:
-            add(u, r.choice(REGRETS.get(lang, REGRETS["en"])) + a)
+            add(u, r.choice(phrases.REGRETS.get(lang, phrases.REGRETS["en"])) + a)
         elif k < 0.4:
             s = re.split(r"(?<=[.!?。！？])\s*", a)[0]
             if len(words(s)) >= 4 and "\n" not in s:
-                add(r.choice(SAY_BACK).replace("{}", s), s)
+                add(r.choice(phrases.SAY_BACK).replace("{}", s), s)
         elif k < 0.55:
             first = re.split(r"(?<=[.!?。！？])\s*|\n", a)[0].rstrip(".。")
-            add(u, r.choice((str(r.randint(2, 999)), f"{r.randint(2, 90)} × {r.randint(2, 90)}", " ".join(a.split()[1:3]).strip(".,;:。，\n") or "42", first if len(words(first)) <= 6 else "42")))
+            add(u, r.choice((r.choice(_BRIEF), str(r.randint(2, 999)), f"{r.randint(2, 90)} × {r.randint(2, 90)}", " ".join(a.split()[1:3]).strip(".,;:。，\n") or "42", first if len(words(first)) <= 6 else "42")))
         elif k < 0.65 and _TERMINAL.match(a.rstrip()[-1:] or "x"):
-            add(u, a.rstrip() + r.choice(("\n🙂🚀", "\n½ ㎏ Ⅳ", "\nनमस्ते", "\n👩‍👩‍👧", "\nสวัสดี", "\néä", "\ncafé naïve ﬁn", "\n🇳🇱")))
+            add(u, a.rstrip() + "\n" + _odd_line(r))
     return rows, np.array(y, np.float32)
 
 
 class Model:
-    def __init__(self, sample: list[tuple[str | None, str | None, str | None]], most: int = 6000):
+    def __init__(self, sample: list[tuple[str | None, str | None, str | None]]):
         """``sample``: (language, question, answer) rows as they are."""
         known = [((lang or "").strip().lower(), u, a) for lang, u, a in sample if readable(u) and readable(a)]
         self.languages = Languages([(lang, u) for lang, u, _ in known] + [(lang, a) for lang, _, a in known])
@@ -395,14 +398,20 @@ class Model:
             s = self.languages.scores(words(t))
             return LANGS[max(range(6), key=s.__getitem__)] if max(s) > 0 else "en"
 
-        # no answer that is plainly unfinished may stand for a sound one: code left open, an entry without text, a trailing comma
-        base = [(tongue(u), u, a) for _, u, a in known if not (e := ending(a)[0])[1] and not e[3] and not e[7]][:most]
+        self.languages.settle([a for _, _, a in known])
+
+        def evasive(u: str, a: str) -> bool:
+            w = words(a)
+            return len(w) >= 4 and "```" not in a and self.languages.strange(set(words(u)), w) >= 0.22
+
+        # no answer that is plainly unfinished may stand for a sound one (code left open, an entry without text, a trailing comma), nor one made of words that long answers hardly have
+        base = [(tongue(u), u, a) for _, u, a in known if not (e := ending(a)[0])[1] and not e[3] and not e[7] and not evasive(u, a)]
         held = len(base) // 5
         self.linear = Linear()
         if not base:
             self.threshold += 1e9
             return
-        limits = np.array([0.5, 1.0, 0.5, 0.0])
+        limits = np.array([0.5, 0.0, 0.5, 0.0])
         for again, epochs in enumerate((4, 4, 6)):
             if again:
                 s = self.linear.score(self.featurizer([(u, a) for _, u, a in base]))
@@ -414,10 +423,10 @@ class Model:
         s = self.linear.score(self.featurizer(rows))
         self.held_out = {}
         for k, label in enumerate(LABELS):
-            # fewest errors over the held-out rows, a false alarm weighing as sound answers outnumber defects; the middle of the best stretch
+            # fewest errors over the held-out rows, a false alarm weighing twice, as sound answers outnumber defects; the middle of the best stretch
             order = np.argsort(s[:, k])
             truth = y[order, k] > 0
-            cost = np.cumsum(truth) + 5.0 * (np.sum(~truth) - np.cumsum(~truth))
+            cost = np.cumsum(truth) + 2.0 * (np.sum(~truth) - np.cumsum(~truth))
             best = np.flatnonzero(cost <= cost.min())
             lo, hi = best[0], best[-1] + 1
             self.threshold[k] = (s[order[lo], k] + s[order[min(hi, len(order) - 1)], k]) / 2
@@ -442,21 +451,19 @@ def exchanges(conversations: DataFrame) -> DataFrame:
     return some.select("conv_id", "turn", "lang", F.expr("messages[turn - 1].content").alias("question"), F.expr("messages[turn].content").alias("answer"))
 
 
-def fit(conversations: DataFrame, fit_conversations: int = 5000) -> Model:
-    """A model from a bounded sample of conversations, by a digest of their id."""
+def fit(conversations: DataFrame, fit_conversations: int = 5000, fit_pairs: int = 6000) -> Model:
+    """A model from a bounded sample of conversations, and of their pairs, both by a digest."""
     total = conversations.count()
     part = min(1_000_000, int(1_000_000 * fit_conversations / max(1, total)) + 1)
-    sample = conversations.where(F.pmod(F.xxhash64("conv_id"), F.lit(1_000_000)) < part).limit(2 * fit_conversations)
-    rows = exchanges(sample).dropDuplicates(["conv_id", "turn"]).orderBy("conv_id", "turn").select("lang", "question", "answer").limit(4 * fit_conversations).collect()
-    r = random.Random(3)
-    rows = [tuple(x) for x in rows]
-    r.shuffle(rows)
-    return Model(rows)
+    sample = conversations.where(F.pmod(F.xxhash64("conv_id"), F.lit(1_000_000)) < part)
+    order = F.xxhash64(F.lit("pair"), "conv_id", "turn")
+    rows = exchanges(sample).dropDuplicates(["conv_id", "turn"]).orderBy(order, "conv_id", "turn").select("lang", "question", "answer").limit(fit_pairs).collect()
+    return Model([tuple(x) for x in rows])
 
 
-def defective(conversations: DataFrame, fit_conversations: int = 5000) -> DataFrame:
+def defective(conversations: DataFrame, fit_conversations: int = 5000, fit_pairs: int = 6000) -> DataFrame:
     """(conv_id, turn, defect) of every defective pair."""
-    model = conversations.sparkSession.sparkContext.broadcast(fit(conversations, fit_conversations))
+    model = conversations.sparkSession.sparkContext.broadcast(fit(conversations, fit_conversations, fit_pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

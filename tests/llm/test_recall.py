@@ -133,3 +133,37 @@ def test_paraphrase_needs_order_and_answer():
     assert leakage.judged(leakage.Question(q, 100), np.concatenate([spread, [77, 78]]).astype(np.int32), 0, 40, 12, [np.array([77, 78], np.int32)])[0] == "paraphrase"
     assert leakage.judged(leakage.Question(q, 100), spread, 0, 40, 12, [np.array([77, 78], np.int32)])[0] is None
     assert leakage.contains(np.array([1, 2, 3]), np.array([2, 3])) and not leakage.contains(np.array([1, 2]), np.array([2, 1])) and not leakage.contains(q, np.array([], np.int32))
+
+
+#: Ways to decline that ``phrases`` does not have.
+UNSEEN = (
+    "That falls outside the things I get into.", "My policy keeps me away from that subject.", "I'd sooner not go there.", "You won't get an answer to this from me.", "This exceeds my remit, so I'm leaving it unanswered.", "I have been configured to say nothing regarding this.",
+    "Respectfully, that request gets a pass.", "I'm going to leave that unanswered.", "Company guidelines stop me from replying.", "Nothing I can offer you on that, apologies.", "It would be inappropriate for me to weigh in.", "Unfortunately my hands are tied on this.",
+    "I am prohibited from giving such instructions.", "Please consult somebody qualified; I shouldn't reply.", "Sorry, declining this prompt.", "I have decided against helping here.",
+)
+
+
+def test_defects_by_kind_in_words_never_seen(spark):
+    """Sound pairs of the table with every defect put in by other means than those of the fit."""
+    from corpusloom.llm import pairs, phrases
+
+    seen = " ".join(str(v) for v in vars(phrases).values() if isinstance(v, (dict, tuple)))
+    assert not any(x.rstrip(".") in seen for x in UNSEEN)
+    c = table(spark, "/root/testdata/sf0.01", "conversations")
+    model = pairs.fit(c, 1500, 3000)
+    rows = [tuple(r) for r in pairs.exchanges(c).where("lang = 'en'").orderBy("conv_id", "turn").select("question", "answer").collect()]
+    sound = [(q, a) for (q, a), d in zip(rows, model.defects(rows)) if d is None and a and len(a.split()) >= 12 and a.rstrip()[-1:] == "." and "\n" not in a and q][:300]
+    r = np.random.default_rng(8)
+    german = "Der Hafen bleibt im Winter offen, weil die Schiffe das Licht des Turms sehen. Danach fahren sie über den Fluss zurück."
+    made = {
+        "refusal": [(q, UNSEEN[k % len(UNSEEN)]) for k, (q, _) in enumerate(sound)],
+        "truncated": [(q, " ".join(w[: int(r.integers(7, len(w) - 2))]).rstrip(".,;:") + " the") for q, a in sound if len(w := a.split()) >= 12],
+        "copies_question": [(q, "You wrote: " + q.replace(".", "")) for q, _ in sound],
+        "wrong_language": [(q, german) for q, _ in sound],
+        "empty": [(q, ("...", "​ \n", "<br/>", "<|im_end|>", "** **")[k % 5]) for k, (q, _) in enumerate(sound)],
+    }
+    for kind, x in made.items():
+        said = model.defects(x)
+        assert sum(d == kind for d in said) >= 0.9 * len(x), (kind, sum(d == kind for d in said), len(x))
+    swapped = [(q, sound[(k + 7) % len(sound)][1]) for k, (q, _) in enumerate(sound)]  # of the same language: no defect of the list
+    assert sum(d is None for d in model.defects(swapped)) >= 0.97 * len(swapped)
