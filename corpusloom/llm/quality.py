@@ -1,12 +1,15 @@
 """Per-document text statistics, and how far each text is from natural prose of its language.
 
-Every line is prose, list entry, table row or junk by its words and layout; the shares of a text's characters in each
-are statistics beside counts and ratios of words, characters, lines and common words. Per language, mean and covariance
-of prose are estimated robustly: starting from texts that are mostly prose, the half to nine tenths nearest to the
-present centre are kept and the estimate repeated (concentration steps). Sums of outer products are added up in the
-partitions; a language's sums are all that reaches the driver. The squared Mahalanobis distance of a text is split into
-one contribution per statistic. A text far out, with less than half of its characters in running sentences, gets the
-kind (list, table, junk) that covers most of them; any other is prose.
+Every line is sentences, list entry, table row or junk by its words and layout; the shares of a text's characters in each
+are statistics beside counts and ratios of words, characters, lines and common words. Per language, mean and covariance of
+prose, which most texts are, are estimated robustly: from medians and quartiles, in concentration steps that keep the
+three quarters nearest to the present centre, over all rows. A step adds up sums of outer products by bins of distance in
+the partitions; sums of at most bins times languages are what reaches the driver. The squared Mahalanobis distance of a
+text to its language's centre is split into one contribution per statistic. Texts beyond the limit whose lines are mostly
+of one kind are the rows of which centres of lists, tables and junk are estimated, by concentration steps as well. A text
+beyond the limit gets the kind whose centre is nearest, in the scatter of all kinds together; that may be prose, as for
+prose with a short list. Any other text is prose. A language with few texts leans on the centre of all, in which the
+share of common words has no weight.
 
 Null and blank texts have zero counts, null ratios, no distance and the kind null; texts under ``least`` characters get
 statistics and a distance but the kind null.
@@ -35,7 +38,10 @@ STATS = (
 #: The spread a statistic has at least, so that one that never varies in prose still has a scale.
 FLOOR = np.array([0.5, 0.4, 0.01, 0.01, 0.02, 0.15, 0.03, 0.08, 0.5, 0.15, 0.03, 0.25, 0.05, 0.05, 0.05, 0.05])
 LANGS = ("en", "fr", "de", "es", "ru", "ar", "zh", "ja", "other")
-WORD_LIMIT = 100_000  # common words up to which they are sent to the workers
+KINDS = ("prose", "list", "table", "junk")
+SETS = 100_000  # common words up to which they are sent as sets; more are sent as sorted hashes of 8 bytes
+KEPT, BINS = 0.75, 32
+LIMIT = len(STATS) + 2.5 * math.sqrt(2 * len(STATS))  # about the 0.99 quantile of chi-square
 
 _TAGS = re.compile(r"</?(?:p|br|b|i|em|strong|span|a|h[1-6]|body|html|article|section)\b[^<>]{0,200}>|<\|[a-z_0-9]+\|>", re.I)
 _BREAK = re.compile(r"\r\n?|[\x85  \x0b\x0c]")
@@ -58,6 +64,22 @@ _CJK_MARK = re.compile("[，。、！？]")
 _VISIBLE = re.compile(r"\S")
 
 
+class Hashed:
+    """A large set of words by their hashes."""
+
+    def __init__(self, words: set[str]):
+        import xxhash
+
+        self.hashes = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))
+
+    def __contains__(self, word: str) -> bool:
+        import xxhash
+
+        h = np.uint64(xxhash.xxh64_intdigest(word))
+        i = int(np.searchsorted(self.hashes, h))
+        return i < len(self.hashes) and bool(self.hashes[i] == h)
+
+
 def language(text: str, words: list[str], common: dict[str, frozenset]) -> str:
     """By script, else the language of most common words."""
     head = text if text.isascii() else None
@@ -196,16 +218,16 @@ _LATIN = {ord(a): b for a, b in zip("’‘", "''")}
 
 def measured(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, text_lang, n_words, n_chars, n_lines, *STATS, prose_share) of every document."""
-    if (n := common_words.count()) > WORD_LIMIT:
-        raise ValueError(f"{n} common words; {WORD_LIMIT} at most")
     common: dict[str, set] = {}
-    for r in common_words.where("lang is not null and word is not null").collect():
+    for r in common_words.where("lang is not null and word is not null").toLocalIterator():
         common.setdefault(r["lang"], set()).add(r["word"])
-    sent = {k: frozenset(v) for k, v in common.items()}
+    form = frozenset if sum(map(len, common.values())) <= SETS else Hashed
+    shared = documents.sparkSession.sparkContext.broadcast({k: form(v) for k, v in common.items()})
     names = ["doc_id", "text_lang", "n_words", "n_chars", "n_lines", *STATS, "prose_share"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * (len(STATS) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = shared.value
         for whole in batches:
             for b in encode.chunks(whole, "text"):
                 rows = [measure(t, sent) for t in b.column("text").to_pylist()]
@@ -216,81 +238,146 @@ def measured(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _moments(stats: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray, float]] | None) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """By language: (rows, sums, sums of products) over mostly-prose rows, of those within the cut if one is given."""
+Centre = tuple[np.ndarray, np.ndarray]  # mean, covariance
+
+
+def _distances(x: np.ndarray, centre: Centre) -> np.ndarray:
+    d = x - centre[0]
+    return np.einsum("ij,jk,ik->i", d, np.linalg.inv(centre[1]), d)
+
+
+def _step(stats: DataFrame, groups, centres: dict[str, Centre], kept: float) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """One concentration step: by group, (rows, sums, sums of products) of the share ``kept`` nearest to its centre, to
+    the bin of distance. ``groups`` gives each row of (languages, statistics) its group, or an empty string."""
     k = len(STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
             f = b.to_pandas()
             x = f[list(STATS)].to_numpy(float)
-            for lang in f["text_lang"].unique():
-                keep = (f["text_lang"] == lang).to_numpy()
-                v = x[keep]
-                if centre and lang in centre:
-                    m, inv, most = centre[lang]
-                    v = v[np.einsum("ij,jk,ik->i", v - m, inv, v - m) <= most]
+            group = groups(f["text_lang"].to_numpy(object), x)
+            for g in np.unique(group[group != ""]) if len(group) else ():
+                v = x[group == g]
+                d = _distances(v, centres[g]) if g in centres else np.zeros(len(v))
+                at = np.clip(np.floor(2 * np.log2(np.maximum(d, 1e-9))), -8, BINS - 9).astype(int) + 8
                 aug = np.hstack([np.ones((len(v), 1)), v])
-                total[lang] = total.get(lang, 0) + aug.T @ aug
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["lang", "sums"])
+                for i in np.unique(at):
+                    y = aug[at == i]
+                    total[g, int(i)] = total.get((g, int(i)), 0) + y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in total], pa.string()), pa.array([i for _, i in total], pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["grp", "bin", "sums"])
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         s = sum(np.frombuffer(x) for x in f["sums"])
-        return pd.DataFrame({"lang": f["lang"].iloc[:1], "sums": [s.tobytes()]})
+        return pd.DataFrame({"grp": f["grp"].iloc[:1], "bin": f["bin"].iloc[:1], "sums": [s.tobytes()]})
 
-    prose = stats.where("prose_share >= 0.8 and n_chars >= 100").select("text_lang", *STATS)
+    schema = "grp string, bin int, sums binary"
+    bins: dict[str, dict[int, np.ndarray]] = {}
+    rows = stats.where(f"text_lang is not null and n_chars >= {LEAST}").select("text_lang", *STATS)
+    for r in rows.mapInArrow(run, schema).groupBy("grp", "bin").applyInPandas(add, schema).toLocalIterator():
+        bins.setdefault(r["grp"], {})[r["bin"]] = np.frombuffer(r["sums"]).reshape(k + 1, k + 1)
     out = {}
-    for r in prose.mapInArrow(run, "lang string, sums binary").groupBy("lang").applyInPandas(add, "lang string, sums binary").collect():
-        a = np.frombuffer(r["sums"]).reshape(k + 1, k + 1)
-        out[r["lang"]] = (a[0, 0], a[0, 1:], a[1:, 1:])
+    for g, by in bins.items():
+        n, a = sum(m[0, 0] for m in by.values()), np.zeros((k + 1, k + 1))
+        for i in sorted(by):
+            if a[0, 0] >= kept * n:
+                break
+            a = a + by[i]
+        out[g] = (a[0, 0], a[0, 1:], a[1:, 1:])
+    return out
+
+
+def _centres(moments: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> dict[str, Centre]:
+    """Mean and covariance of each group; of few rows, the covariance leans to its diagonal."""
+    k, out = len(STATS), {}
+    for g, (n, s, ss) in moments.items():
+        mean = s / n
+        cov = ss / n - np.outer(mean, mean)
+        weight = n / (n + 5 * k)
+        out[g] = (mean, weight * cov + (1 - weight) * np.diag(np.diag(cov)) + np.diag(FLOOR**2))
     return out
 
 
-def robust_centres(stats: DataFrame, steps: int = 2) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """(mean, inverse covariance) of prose by language; a language of few texts uses those of all."""
-    k, centre, found = len(STATS), None, {}
-    limit = k + 2.5 * math.sqrt(2 * k)  # about the 0.99 quantile of chi-square
-    for _ in range(steps + 1):
-        moments = _moments(stats, centre)
-        if not moments:
-            return {}
-        moments["*"] = tuple(sum(m[i] for m in moments.values()) for i in range(3))
-        found, centre = {}, {}
-        for lang, (n, s, ss) in moments.items():
-            if n < 2:
-                continue
-            mean = s / n
-            cov = ss / n - np.outer(mean, mean)
-            weight = n / (n + 5 * k)
-            cov = weight * cov + (1 - weight) * np.diag(np.diag(cov)) + np.diag(FLOOR**2)
-            found[lang] = (mean, np.linalg.inv(cov))
-            centre[lang] = (*found[lang], limit)
-    return found
-
-
-def quality(documents: DataFrame, common_words: DataFrame, least: int = 100) -> DataFrame:
+def _pooled(centres: list[Centre]) -> Centre:
+    """Of all languages: within and between them; the share of common words, which is a language's own, has no weight."""
+    if not centres:
+        return np.zeros(len(STATS)), np.eye(len(STATS))
+    mean, j = np.mean([m for m, _ in centres], 0), STATS.index("common_share")
+    cov = np.mean([c for _, c in centres], 0) + np.cov(np.array([m for m, _ in centres]).T, bias=True).reshape(len(STATS), -1)
+    cov[j], cov[:, j] = 0, 0
+    cov[j, j] = 1.0
+    return mean, cov
+
+
+def prose_centres(stats: DataFrame, steps: int = 3, few: int = 20) -> dict[str, Centre]:
+    """Centre of prose by language, and under '*' of all; a language of fewer texts than ``few`` has none of its own, nor
+    have texts of no known language."""
+    quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in STATS]
+    known = stats.where(f"text_lang != 'other' and n_chars >= {LEAST}")
+    start = {r["text_lang"]: r for r in known.groupBy("text_lang").agg(F.count(F.lit(1)).alias("__n"), *quartiles).collect() if r["__n"] >= few}  # a row a language
+    centres: dict[str, Centre] = {}
+    for lang, r in start.items():
+        q = np.array([r[c] for c in STATS], float)
+        centres[lang] = (q[:, 1], np.diag(np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR) ** 2))
+    names = frozenset(centres)
+    for _ in range(steps if centres else 0):
+        centres = _centres(_step(stats, lambda lang, _: np.array([g if g in names else "" for g in lang], object), centres, KEPT))
+    return centres | {"*": _pooled(list(centres.values()))}
+
+
+def prose_distances(lang: np.ndarray, x: np.ndarray, centres: dict[str, Centre]) -> tuple[np.ndarray, np.ndarray]:
+    """(contribution of every statistic, mean of the language) of each row."""
+    parts, means = np.full(x.shape, np.nan), np.zeros(x.shape)
+    for g in {g for g in lang if isinstance(g, str)}:
+        at = lang == g
+        mean, cov = centres.get(g, centres["*"])
+        d = x[at] - mean
+        parts[at], means[at] = d * (d @ np.linalg.inv(cov)), mean
+    return parts, means
+
+
+def kind_centres(stats: DataFrame, prose: dict[str, Centre], steps: int = 2) -> dict[str, Centre]:
+    """Centres of lists, tables and junk, and under 'scatter' the covariance of all kinds together."""
+    shares = [STATS.index(f"{k}_share") for k in KINDS[1:]]
+
+    def seeds(lang: np.ndarray, x: np.ndarray) -> np.ndarray:
+        far = prose_distances(lang, x, prose)[0].sum(1) > LIMIT
+        most = x[:, shares]
+        return np.where(far & (most.max(1) >= 0.8), np.array(KINDS[1:], object)[most.argmax(1)], "") if len(x) else np.zeros(0, object)
+
+    found: dict[str, Centre] = {}
+    for i in range(steps):
+        found = _centres(_step(stats, seeds, found, KEPT if i else 1.0))
+    pooled, out = prose["*"], {}
+    for k, j in zip(KINDS[1:], shares):
+        mean = pooled[0].copy()
+        mean[shares], mean[j] = 0, 1
+        mean[[STATS.index("line_end_share"), STATS.index("common_share")]] = 0
+        out[k] = found.get(k, (mean, np.diag((3 * FLOOR) ** 2)))
+    scatter = np.mean([c for _, c in (*out.values(), pooled)], 0) + np.diag((2 * FLOOR) ** 2)
+    return out | {"scatter": (pooled[0], scatter)}
+
+
+LEAST = 100  # characters of a text that counts for the centres
+
+
+def quality(documents: DataFrame, common_words: DataFrame, least: int = LEAST) -> DataFrame:
     """The statistics with ``distance`` (squared, robust), ``contributions`` (one of each statistic, in the order of
     STATS) and ``kind``."""
     stats = cut(measured(documents, common_words))
-    centres = robust_centres(stats)
-    sent = stats.sparkSession.sparkContext.broadcast(centres)  # a mean and a matrix for each of at most nine languages
-    limit = len(STATS) + 2.5 * math.sqrt(2 * len(STATS))
+    prose = prose_centres(stats)
+    sent = stats.sparkSession.sparkContext.broadcast((prose, kind_centres(stats, prose)))  # a mean and a matrix for each of at most nine languages and three kinds
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre = sent.value
+        prose, kinds = sent.value
+        inverse = np.linalg.inv(kinds["scatter"][1])
         for f in frames:
             x = f[list(STATS)].to_numpy(float)
-            parts = np.full(x.shape, np.nan)
-            for lang in f["text_lang"].dropna().unique():
-                at = (f["text_lang"] == lang).to_numpy()
-                mean, inv = centre.get(lang, centre.get("*", (np.zeros(x.shape[1]), np.eye(x.shape[1]))))
-                d = x[at] - mean
-                parts[at] = d * (d @ inv)
+            parts, means = prose_distances(f["text_lang"].to_numpy(object), x, prose)
             distance = parts.sum(1)
-            shares = f[["list_share", "table_share", "junk_share"]].to_numpy(float)
-            which = np.array(["list", "table", "junk"], object)[np.nan_to_num(shares).argmax(1)]
-            kind = np.where((distance > limit) & (f["prose_share"].to_numpy(float) < 0.5), which, "prose")
+            apart = [x - means, *(x - kinds[k][0] for k in KINDS[1:])]
+            near = np.nan_to_num(np.stack([np.einsum("ij,jk,ik->i", d, inverse, d) for d in apart], 1))
+            kind = np.where(distance > LIMIT, np.array(KINDS, object)[near.argmin(1)], "prose")
             kind[(f["n_chars"] < least).to_numpy() | np.isnan(distance)] = None
             yield f.assign(distance=distance, contributions=[None if np.isnan(p[0]) else p.tolist() for p in parts], kind=kind)
 
