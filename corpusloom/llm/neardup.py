@@ -38,7 +38,7 @@ from corpusloom.session import cut
 
 UNIT, MOST = 40, 20  # words of a part, and the power of two of parts at most
 WORD_ROWS, WORD_BANDS = 5, 48
-RUN, RUN_ROWS, RUN_BANDS = 3, 3, 20
+RUN, RUN_ROWS, RUN_BANDS = 3, 4, 20
 P, R = WORD_ROWS * WORD_BANDS, RUN_ROWS * RUN_BANDS
 WORDS_AGREE, RUNS_AGREE = 0.42, 0.4  # estimated similarity of a candidate, in one of the two
 _RNG = np.random.default_rng(20240607)
@@ -155,7 +155,7 @@ def _keys(evaluation: bool, share: float):
                 m = _matrix(b.column("runs"), np.uint16, R)
                 key = (np.arange(RUN_BANDS, dtype=np.uint64) + np.uint64(1) << np.uint64(56)) + np.zeros((len(n), 1), np.uint64)
                 for k in range(RUN_ROWS):
-                    key |= m[:, k::RUN_ROWS].astype(np.uint64) << np.uint64(16 * k)
+                    key |= (m[:, k::RUN_ROWS] & np.uint16(0xFFF)).astype(np.uint64) << np.uint64(12 * k)
                 made.append((key.ravel(), np.repeat(np.arange(len(n)), RUN_BANDS)))
                 key, row = (np.concatenate(x) for x in zip(*made))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(same[row]), pa.array(n[row])], ["key", "same", "n_words"])
