@@ -7,9 +7,9 @@ long answers do not have). It is fitted on the driver from at most ``fit_pairs``
 ``fit_conversations`` conversations, both taken by a digest: the answers as they are, with sound variations (short answers
 without a full stop, sentences said back as asked, answers in a language that was asked for, a regret followed by help,
 answers swapped for others of the same language, which are no defect), and with defects put in (cut off, copied, swapped
-for one in another language, refused in words put together by ``phrases``, which takes none from the data). Two more fits
-leave out answers of the sample that the one before holds to be defective. Thresholds are calibrated on a held-out part:
-the score that separates synthetic defects and sound answers with the fewest errors. Scoring covers every pair of every
+for one in another language, refused in words put together by ``phrases``, which takes none from the data). Before that, answers of
+the sample that a fit on its other half holds to be defective are left out. Thresholds are calibrated on a held-out part
+and on ways to decline that the fit for it has not seen: the score that separates synthetic defects and sound answers with the fewest errors. Scoring covers every pair of every
 conversation.
 
 A pair has one defect; of several above their thresholds the first of empty, copies_question, refusal, wrong_language,
@@ -53,6 +53,8 @@ _LANGUAGE_NAMES = {
     "fr": "french|französisch|français|francés|французск|法语|法文", "es": "spanish|spanisch|espagnol|español|испанск|西班牙语",
     "ru": "russian|russisch|russe|ruso|русск|по-русски|俄语", "zh": "chinese|chinesisch|chinois|chino|китайск|中文|汉语",
 }
+#: The first person in six languages: who declines speaks of themselves.
+_PERSON = frozenset("i me my mine myself ich mir mich mein meine je me moi mon ma mes yo mí mi mis я мне меня мой моя 我".split())
 _ASKED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _LANGUAGE_NAMES.items()), re.I)
 _ASKING = re.compile(r"(?i)\b(?:in|into|to|auf|ins|en|au|al|на|с)\s|translat|übersetz|tradu|перевед|翻译|用|по-")
 
@@ -184,8 +186,10 @@ class Featurizer:
         told = float(bool(asked))
         out += [differs * (1 - told), differs * (1 - told) * share * sure, differs * (1 - told) * float(share >= 0.6 and sure >= 0.5), differs * told, differs * (1 - told) * min(la[ia] - la[iu], 30) / 10, float(la[ia] > 0), differs * (1 - told) * float(lu[ia] == 0 and la[iu] <= 0.15 * total)]
         out += [1.0, math.log1p(n) / 5, float(n <= 3), float(n == 0), math.log1p(m) / 5]
-        strange = self.languages.strange(set(u), a)
+        strange = self.languages.strange(set(u), a) if m else 0.0
         code = float("```" in answer)
+        person, short = sum(map(_PERSON.__contains__, a)) / max(1, n), float(4 <= n <= 40) * (1 - code)
+        out += [person, person * short, float(person >= 0.08) * short, min(person, 0.3) * short * (1 - within) * 3]
         out += [strange, strange * (1 - code), (1 - code) * float(strange >= 0.2) * float(n >= 4), (1 - code) * float(strange >= 0.35) * float(n >= 4), (1 - code) * strange * min(n, 20) / 10]
         return out + [0.0] * (DENSE - len(out)), tail
 
@@ -335,7 +339,14 @@ def _odd_line(r: random.Random) -> str:
     return " ".join("".join(chr(r.randint(lo, hi)) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 3)))
 
 
-def synthetic(base: list[tuple[str, str, str]], seed: int = 5) -> tuple[list[tuple[str, str]], np.ndarray]:
+def _made_up(word: str, r: random.Random) -> str:
+    """A word of other letters from its own."""
+    letters = list(word.lower())
+    r.shuffle(letters)
+    return "".join(letters)
+
+
+def synthetic(base: list[tuple[str, str, str]], seed: int = 5, part: int | None = None) -> tuple[list[tuple[str, str]], np.ndarray]:
     """Pairs with their labels, from presumably sound (language, question, answer) triples."""
     r, rows, y = random.Random(seed), [], []
     by_lang: dict[str, list[str]] = {}
@@ -354,7 +365,7 @@ def synthetic(base: list[tuple[str, str, str]], seed: int = 5) -> tuple[list[tup
             add(u, c, "truncated")
         add(u, _copied(u, r, spare), "copies_question")
         if r.random() < 0.7:
-            add(u, phrases.refusal(lang, r, r.choice(u.split() or [""]).strip(".,?!:;")), "refusal")
+            add(u, phrases.refusal(lang, r, r.choice(u.split() or [""]).strip(".,?!:;"), part), "refusal")
         if r.random() < 0.2 and lang in by_lang:
             add(u, r.choice(by_lang[lang]))
         others = [k for k in by_lang if k != lang]
@@ -372,6 +383,9 @@ def synthetic(base: list[tuple[str, str, str]], seed: int = 5) -> tuple[list[tup
         if lang == "en" and r.random() < 0.08:  # a refusal that was asked for
             name, to = (r.choice(spare).strip(".,;:!?").capitalize() for _ in range(2))
             add(f"Compose a short message saying that {name} has to turn down {to}.", f"Hello {to}, I regret that I cannot make it {r.choice(('tonight', 'on Monday', 'next time', 'to your event'))}. " + re.split(r"(?<=[.!?])\s", a)[0] + r.choice((f" Yours, {name}.", f" Warmly, {name}", "")))
+        if r.random() < 0.12:  # an answer may well have words that no other has
+            ws = re.split(r"(?<=[.!?])\s", a)[0].split(" ") if r.random() < 0.5 else a.split(" ")
+            add(u, " ".join(_made_up(w, r) if w.isalpha() and len(w) > 3 and r.random() < 0.5 else w for w in ws))
         k = r.random()
         if k < 0.25:
             add(u, r.choice(phrases.REGRETS.get(lang, phrases.REGRETS["en"])) + a)
@@ -412,26 +426,33 @@ class Model:
             self.threshold += 1e9
             return
         limits = np.array([0.5, 0.0, 0.5, 0.0])
-        for again, epochs in enumerate((4, 4, 6)):
-            if again:
-                s = self.linear.score(self.featurizer([(u, a) for _, u, a in base]))
-                base = [b for b, bad in zip(base, (s > limits).any(1)) if not bad]
-                held = len(base) // 5
-            rows, y = synthetic(base[held:])
-            self.linear = Linear().fit(self.featurizer(rows), y, epochs)
-        rows, y = synthetic(base[:held], seed=9)
-        s = self.linear.score(self.featurizer(rows))
+        # each half is judged by a fit on the other one, which can't have learnt its defects to be sound
+        halves, bad = (base[::2], base[1::2]), []
+        for mine, other in (halves, halves[::-1]):
+            if mine and other:
+                rows, y = synthetic(other)
+                bad.append((Linear().fit(self.featurizer(rows), y, 4).score(self.featurizer([(u, a) for _, u, a in mine])) > limits).any(1))
+        if len(bad) == 2:
+            base = [x for k, x in enumerate(base) if not bad[k % 2][k // 2]]
+        held = len(base) // 5
+        # thresholds by a fit that knows neither the held-out pairs nor half of the ways to decline
+        rows, y = synthetic(base[held:], part=0)
+        calibrated = Linear().fit(self.featurizer(rows), y, 6)
+        rows, y = synthetic(base[:held], seed=9, part=1)
+        s = calibrated.score(self.featurizer(rows))
         self.held_out = {}
         for k, label in enumerate(LABELS):
-            # fewest errors over the held-out rows, a false alarm weighing twice, as sound answers outnumber defects; the middle of the best stretch
+            # fewest errors over the held-out rows, a false alarm weighing twice, as sound answers outnumber defects, but for refusals, of which the sound sample holds some; the middle of the best stretch
             order = np.argsort(s[:, k])
             truth = y[order, k] > 0
-            cost = np.cumsum(truth) + 2.0 * (np.sum(~truth) - np.cumsum(~truth))
+            cost = np.cumsum(truth) + (1.0 if label == "refusal" else 2.0) * (np.sum(~truth) - np.cumsum(~truth))
             best = np.flatnonzero(cost <= cost.min())
             lo, hi = best[0], best[-1] + 1
             self.threshold[k] = (s[order[lo], k] + s[order[min(hi, len(order) - 1)], k]) / 2
             said = s[:, k] > self.threshold[k]
             self.held_out[label] = (float((said & (y[:, k] > 0)).sum() / max(1, said.sum())), float((said & (y[:, k] > 0)).sum() / max(1, (y[:, k] > 0).sum())))
+        rows, y = synthetic(base)
+        self.linear = Linear().fit(self.featurizer(rows), y, 6)
 
     def defects(self, rows: list[tuple[str | None, str | None]]) -> list[str | None]:
         out: list[str | None] = [None if readable(a) else "empty" for _, a in rows]

@@ -21,7 +21,7 @@ CORES = {
             "I cannot assist with", "I can't respond to", "I am not able to answer", "I'm not able to reply to", "I won't engage with", "I will not comply with", "I am unable to provide", "I'm unable to discuss", "I decline to deal with", "I must decline", "I have to decline", "I refuse to work on", "I have to refuse",
             "I'd prefer to skip", "I would prefer not to address", "I would rather avoid", "I'd rather say nothing on", "I am unwilling to talk about", "I'm not comfortable with", "I feel uneasy about", "I don't feel it is right to treat", "I am not permitted to cover", "I'm not allowed to comment on", "I am forbidden to give out", "I was told to stay away from", "I have been instructed to leave out",
             "I was built so that I keep out of", "my rules do not let me touch", "my guidelines forbid", "my policy rules out", "by no means can I take on", "it's impossible for me to fulfil", "there is no way I may handle", "it goes beyond my role to judge", "it lies outside my remit to explain", "it isn't my place to give advice on", "I do not give opinions on", "I never answer", "I always turn down",
-            "I shall stay silent about", "I am going to pass on", "I cannot help you with", "I can not offer any help on", "I'm afraid I can't do",
+            "I shall stay silent about", "I am going to pass on", "I cannot help you with", "I can not offer any help on", "I'm afraid I can't do", "I can't be of help with", "I can't lend a hand with", "I can't speak to", "I can't go along with", "I can't give you", "sorry, but help is out of reach on", "I am of no help with", "I won't help you with", "I will not be helping with", "helping is not an option with",
         ),
         ("this matter", "your question", "such a request", "requests like that", "what you ask for", "that subject", "this type of topic", "it", "that", "anything of the kind", "questions of that sort", "the thing you describe", "your message", "this one"),
     ),
@@ -73,18 +73,21 @@ SAY_BACK = ("Repeat exactly: {}", "Please say it back: {}", "Correct the spellin
 ASK_IN = {"en": ("English",), "de": ("German", "Deutsch"), "fr": ("French", "français"), "es": ("Spanish", "español"), "ru": ("Russian",), "zh": ("Chinese", "中文")}
 
 
-def refusal(lang: str, r: random.Random, topic: str = "") -> str:
-    """One way to decline in a language, sometimes naming a word of the question."""
+def refusal(lang: str, r: random.Random, topic: str = "", part: int | None = None) -> str:
+    """One way to decline in a language, sometimes naming a word of the question; of every second way only, if ``part`` is
+    0 or 1."""
     lang = lang if lang in CORES else "en"
     stop, space = ("。", "") if lang == "zh" else (".", " ")
+    some = slice(None) if part is None else slice(part, None, 2)
     if r.random() < 0.15:
-        text = r.choice(FLAT[lang])
+        text = r.choice(FLAT[lang][some])
     else:
         how, what = CORES[lang]
+        how = how[some]
         named = f"{r.choice(('questions about', 'talk of', 'anything on'))} {topic}" if topic and lang == "en" and r.random() < 0.3 else r.choice(what)
         text = r.choice(OPENERS[lang]) + r.choice(how) + space + named + r.choice(REASONS[lang]) + stop
     if r.random() < 0.2:
-        text += space + r.choice(FLAT[lang])
+        text += space + r.choice(FLAT[lang][some])
     text = r.choice(LEADS.get(lang, ("",))) + text[0].upper() + text[1:] + r.choice(CLOSERS[lang])
     k = r.random()
     return text.lower() if k < 0.08 else text.rstrip(".。") if k < 0.16 else text
