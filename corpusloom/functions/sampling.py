@@ -18,11 +18,16 @@ def lr_schedule(spark: SparkSession, steps: int, warmup: int, decay_frac: float,
     return spark.range(steps).select(F.col("id").alias("step"), F.round(F.lit(floor) + F.lit(peak - floor) * held, 10).alias("lr")).withColumn("cosine", F.round(F.lit(floor) + F.lit(peak - floor) * cosine, 10))
 
 
-def band_slots(n_base: int, n_band: int, frac: float) -> tuple[int, int]:
-    """(entries, band entries) of an epoch in which a band takes the share ``frac``."""
+def band_windows(first: int | None, last: int | None, frac: float, n_windows: int, block: int) -> tuple[int, int] | None:
+    """(lo, hi) windows wholly inside a band of tokens, or None without a band. The share and the bound come together;
+    a band that holds no whole window can't be drawn from."""
     if not 0 <= frac <= 1:
         raise ValueError("frac lies between 0 and 1")
-    if frac >= 1:
-        return n_band, n_band
-    n_out = int(n_base / (1 - frac))
-    return n_out, int(n_out * frac)
+    if (frac > 0) != (first is not None):
+        raise ValueError("a band needs a share and a lower bound, both or neither")
+    if first is None:
+        return None
+    lo, hi = min(n_windows, math.ceil(first / block)), min(n_windows, (last if last is not None else n_windows * block) // block)
+    if hi <= lo:
+        raise ValueError(f"no window lies inside tokens {first} to {last}")
+    return lo, hi

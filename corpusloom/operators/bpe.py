@@ -1,12 +1,17 @@
-"""Byte pair encoding trained here: distributed counts, merges on the driver over distinct chunks, Arrow encoding.
+"""Byte pair encoding trained here: distributed counts, merges over linked token positions, Arrow encoding.
 
 A vocabulary is 256 bytes and one id per merge, in order. Ties between pairs go to the smaller left, then right id.
+
+Distinct chunks of up to ``LOCAL`` bytes are merged on the driver: every token knows its neighbours, every pair the
+positions where it began, and a queue of counts gives the next pair, so that a merge costs what it changes. More than that
+stays on the cluster, in rounds: pairs are counted with a partial count in every partition, and as many of the most
+frequent ones as cannot influence each other are merged at once. Both give the same merges; no chunk is left out.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE
+from corpusloom.session import cut
 
 CHUNK = rf"{SPACE}*[^\s\x1c-\x1f\x85\p{{Z}}]+|{SPACE}+"
 _CHUNK = re.compile(r"\s*\S+|\s+")
+LOCAL = 64_000_000  # bytes of distinct chunks that are merged on the driver
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
@@ -46,77 +53,196 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "left int, right int, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def merge(ids: list[int], left: int, right: int, new: int) -> list[int]:
+def replaced(flat: np.ndarray, pair: tuple[int, int], new: int) -> np.ndarray:
+    """Which positions of a flat token array hold the pair, as ``new``; the token behind is marked -2. Of overlapping
+    places (a pair of equal tokens) every second one of a run counts, from its left end."""
+    hit = np.flatnonzero((flat[:-1] == pair[0]) & (flat[1:] == pair[1]))
+    if pair[0] == pair[1] and len(hit):
+        begin = np.r_[True, np.diff(hit) > 1]
+        run = np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))
+        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+    out = flat.copy()
+    out[hit], out[hit + 1] = new, -2
+    return out
+
+
+def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     """The pair replaced from left to right, without overlap."""
-    out, i = [], 0
-    while i < len(ids):
-        if i + 1 < len(ids) and ids[i] == left and ids[i + 1] == right:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
+    x = replaced(np.array(ids, np.int64), pair, new) if len(ids) > 1 else np.array(ids, np.int64)
+    return x[x != -2].tolist()
+
+
+class _Positions:
+    """Tokens of all chunks on one line; 0 stands between chunks, bytes are 1 to 256, and a merge is its id plus one."""
+
+    def __init__(self, chunks: list[tuple[bytes, int]]):
+        line = np.frombuffer(b"".join(c + b"\0" for c, _ in chunks), np.uint8).astype(np.int64) + 1
+        ends = np.cumsum([len(c) + 1 for c, _ in chunks]) - 1
+        line[ends] = 0
+        size = len(line)
+        weight = np.repeat([n for _, n in chunks], np.diff(ends, prepend=-1))
+        self.token, self.weight = line.tolist(), weight.tolist()
+        self.after, self.before = list(range(1, size + 1)), list(range(-1, size - 1))
+        self.total: dict[tuple[int, int], int] = {}
+        self.places: dict[tuple[int, int], list[int]] = {}
+        both = np.flatnonzero((line[:-1] > 0) & (line[1:] > 0)) if size > 1 else np.zeros(0, np.int64)
+        code = line[both] * 512 + line[both + 1]
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0]) if len(code) else np.zeros(0, np.int64)
+        for lo, hi in zip(first, [*first[1:], len(order)]):
+            at = both[order[lo:hi]]
+            pair = (int(line[at[0]]), int(line[at[0] + 1]))
+            self.places[pair], self.total[pair] = at.tolist(), int(weight[at].sum())
+        self.queue = [(-n, *p) for p, n in self.total.items()]
+        heapq.heapify(self.queue)
+
+    def best(self) -> tuple[int, int] | None:
+        while self.queue:
+            n, *pair = self.queue[0]
+            now = self.total.get(tuple(pair), 0)
+            if now == -n and now > 0:
+                return tuple(pair)
+            heapq.heappop(self.queue)
+            if now > 0:
+                heapq.heappush(self.queue, (-now, *pair))
+        return None
+
+    def join(self, pair: tuple[int, int], new: int) -> None:
+        token, after, before, weight, total, places = self.token, self.after, self.before, self.weight, self.total, self.places
+        touched = set()
+        for i in sorted(set(places.pop(pair))):
+            j = after[i]
+            if token[i] != pair[0] or j >= len(token) or token[j] != pair[1]:
+                continue
+            h, k, w = before[i], after[j], weight[i]
+            total[pair] -= w
+            if h >= 0 and token[h] > 0:
+                total[token[h], pair[0]] -= w
+                total[token[h], new] = total.get((token[h], new), 0) + w
+                places.setdefault((token[h], new), []).append(h)
+                touched.add((token[h], new))
+            if k < len(token) and token[k] > 0:
+                total[pair[1], token[k]] -= w
+                total[new, token[k]] = total.get((new, token[k]), 0) + w
+                places.setdefault((new, token[k]), []).append(i)
+                touched.add((new, token[k]))
+            token[i], token[j], after[i] = new, -1, k
+            if k < len(token):
+                before[k] = i
+        for p in touched:
+            heapq.heappush(self.queue, (-total[p], *p))
+
+
+def _train_here(chunks: list[tuple[bytes, int]], merges: int) -> list[tuple[int, int]]:
+    if not chunks:
+        return []
+    line, out = _Positions(chunks), []
+    while len(out) < merges and (pair := line.best()) is not None:
+        line.join(pair, 257 + len(out))
+        out.append((pair[0] - 1, pair[1] - 1))
     return out
 
 
-def train(chunks: DataFrame, merges: int) -> list[tuple[int, int]]:
-    """The merges, most frequent pair first. All chunks are counted on the cluster; all distinct ones go to
-    the driver, whose memory grows with them."""
-    held = [(list(r["chunk"].encode()), r["n"]) for r in chunks.toLocalIterator()]
-    counts: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = {}
-    for i, (ids, n) in enumerate(held):
-        for p in zip(ids, ids[1:]):
-            counts[p] += n
-            where.setdefault(p, set()).add(i)
-    out: list[tuple[int, int]] = []
-    for _ in range(merges):
-        if not counts:
+def _apart(counted: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of pairs (count, left, right), most frequent first, those that may be merged in one round: none shares a token
+    with another or with a pair of as many, so no merge changes what the next one would be."""
+    taken: set[int] = set()
+    stop = next((k for k, (_, a, b) in enumerate(counted) if {a, b} & taken or taken.update((a, b))), len(counted))
+    least = counted[stop][0] if stop < len(counted) else 0
+    return [(a, b) for k, (n, a, b) in enumerate(counted[:stop]) if k == 0 or n > least]
+
+
+def _train_apart(chunks: DataFrame, merges: int, wide: int = 2000, keep: int = 50) -> list[tuple[int, int]]:
+    """Rounds on the cluster. A round's merges are applied where the chunks lie; every ``keep`` merges they are written."""
+
+    def applied(batch: list[tuple[int, int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column("ids")
+                flat, off = ids.values.to_numpy().astype(np.int64)[ids.offsets[0].as_py() : ids.offsets[-1].as_py()], ids.offsets.to_numpy() - ids.offsets[0].as_py()
+                row = np.repeat(np.arange(b.num_rows), np.diff(off))
+                for a, c, new in batch:
+                    line = np.insert(flat, np.searchsorted(row, np.arange(1, b.num_rows)), -1)  # no pair reaches over a border
+                    line = replaced(line, (a, c), new) if len(line) > 1 else line
+                    line = line[line != -1]
+                    flat, row = line[line != -2], row[line != -2]
+                bound = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bound), pa.array(flat.astype(np.int32))), b.column("n")], ["ids", "n"])
+
+        return run
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            flat = ids.values.to_numpy().astype(np.int64)[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
+            row = np.repeat(np.arange(b.num_rows), np.diff(ids.offsets.to_numpy()))
+            inside = row[:-1] == row[1:]
+            code, at = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
+            n = np.bincount(at, b.column("n").to_numpy()[row[:-1][inside]], len(code)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["left", "right", "n"])
+
+    to_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("chunk")), lambda i: F.conv(F.substring(F.hex(F.encode("chunk", "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+    state, out, since = cut(chunks.select(to_bytes.alias("ids"), "n")), [], 0
+    while len(out) < merges:
+        top = state.mapInArrow(pairs, "left int, right int, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").limit(wide).collect()
+        batch = _apart([(r["n"], r["left"], r["right"]) for r in top])[: merges - len(out)]
+        if not batch:
             break
-        best = min(counts, key=lambda p: (-counts[p], p))
-        for i in list(where[best]):
-            ids, n = held[i]
-            for p in zip(ids, ids[1:]):
-                counts[p] -= n
-                if counts[p] <= 0:
-                    del counts[p]
-                where[p].discard(i)
-            ids = merge(ids, *best, 256 + len(out))
-            held[i] = (ids, n)
-            for p in zip(ids, ids[1:]):
-                counts[p] += n
-                where.setdefault(p, set()).add(i)
-        out.append(best)
+        numbered = [(a, b, 256 + len(out) + k) for k, (a, b) in enumerate(batch)]
+        state, since = state.mapInArrow(applied(numbered), "ids array<int>, n bigint"), since + len(batch)
+        out += batch
+        if since >= keep:
+            state, since = cut(state), 0
     return out
 
 
+def train(chunks: DataFrame, merges: int, local: int = LOCAL) -> list[tuple[int, int]]:
+    """The merges, most frequent pair first, until there are ``merges`` or no pair is left. Null chunks don't count."""
+    chunks = chunks.where("chunk is not null and n > 0")
+    if (chunks.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0) <= local:
+        return _train_here(sorted((r["chunk"].encode(), r["n"]) for r in chunks.toLocalIterator()), merges)
+    return _train_apart(chunks, merges)
+
+
 def merges_table(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame:
     return spark.createDataFrame([(i, a, b, 256 + i) for i, (a, b) in enumerate(merges)], "rank int, left int, right int, new_id int")
 
 
-def encode_chunk(chunk: bytes, rank: dict[tuple[int, int], int]) -> list[int]:
-    ids = list(chunk)
-    while len(ids) > 1:
-        best = min(zip(ids, ids[1:]), key=lambda p: rank.get(p, 1 << 30))
-        if best not in rank:
-            break
-        ids = merge(ids, *best, 256 + rank[best])
-    return ids
+def encode_chunk(chunk: bytes, made: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of a chunk: the applicable merge of lowest id first, the leftmost place of equals."""
+    ids, size = list(chunk), len(chunk)
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    queue = [(new, i) for i in range(size - 1) if (new := made.get((ids[i], ids[i + 1]))) is not None]
+    heapq.heapify(queue)
+    while queue:
+        new, i = heapq.heappop(queue)
+        j = after[i]
+        if ids[i] < 0 or j >= size or made.get((ids[i], ids[j])) != new:
+            continue
+        k, h = after[j], before[i]
+        ids[i], ids[j], after[i] = new, -1, k
+        if k < size:
+            before[k] = i
+            if (x := made.get((new, ids[k]))) is not None:
+                heapq.heappush(queue, (x, i))
+        if h >= 0 and (x := made.get((ids[h], new))) is not None:
+            heapq.heappush(queue, (x, h))
+    return [x for x in ids if x >= 0]
 
 
 def encode(docs: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids); a worker encodes each chunk once."""
-    rank = {p: i for i, p in enumerate(merges)}
+    """(key, ids); a worker encodes each chunk once. The merges, bounded by the vocabulary's size, are sent to the workers."""
+    sent = docs.sparkSession.sparkContext.broadcast({p: 256 + i for i, p in enumerate(merges)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        made, known = sent.value, {}
         for b in batches:
             rows = []
             for t in b.column(text).to_pylist():
                 ids: list[int] = []
                 for c in _CHUNK.findall(t or ""):
                     if (x := known.get(c)) is None:
-                        x = known[c] = encode_chunk(c.encode(), rank)
+                        x = known[c] = encode_chunk(c.encode(), made)
                     ids += x
                 rows.append(ids)
                 if len(known) > 500_000:
@@ -135,9 +261,10 @@ def vocabulary(merges: list[tuple[int, int]]) -> list[bytes]:
 
 def decode(ids: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id") -> DataFrame:
     """(key, text): bytes of the ids, with a replacement mark where they are no UTF-8."""
-    vocab = vocabulary(merges)
+    sent = ids.sparkSession.sparkContext.broadcast(vocabulary(merges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = sent.value
         for b in batches:
             texts = [b"".join([vocab[i] for i in x]).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(texts, pa.string())], [key, "text"])
