@@ -9,8 +9,8 @@ from corpusloom.functions import text as T
 
 
 def deduplicated(conversations: DataFrame) -> DataFrame:
-    """Each conversation once, the delivery received first."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("received_at").asc_nulls_last())
+    """Each conversation once, the delivery received first; of those of one time the one of the smallest digest."""
+    w = Window.partitionBy("conv_id").orderBy(F.col("received_at").asc_nulls_last(), F.xxhash64("messages"), F.size("messages"))
     return conversations.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -77,8 +77,8 @@ def masked_windows(laid: DataFrame, spans: DataFrame, block: int) -> DataFrame:
     lo, hi = F.greatest(F.col("b"), F.col("window") * block + 1), F.least(F.col("e"), (F.col("window") + 1) * block + 1)
     inside = parts.join(first, "window", "left").select("window", F.greatest(F.lit(0), hi - lo).alias("n"), F.when(F.col("head").isNull(), 0).otherwise(F.greatest(F.lit(0), hi - F.greatest(lo, F.col("head") + 1))).alias("k"))
     counted = inside.groupBy("window").agg(F.sum("n").alias("n_target"), F.sum("k").alias("n_kept"))
-    total = laid.agg(F.greatest(F.lit(0), F.floor((F.sum("n_tokens") - 1) / block)).alias("n"))
-    every = total.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("window"))
+    total = laid.agg(F.sum("n_tokens")).first()[0] or 0  # one row
+    every = laid.sparkSession.range(max(0, (total - 1) // block)).withColumnRenamed("id", "window")
     return every.join(counted, "window", "left").select("window", F.coalesce("n_target", F.lit(0)).cast("bigint").alias("n_target"), F.coalesce("n_kept", F.lit(0)).cast("bigint").alias("n_kept"))
 
 

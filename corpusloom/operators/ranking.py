@@ -1,8 +1,9 @@
 """Exact ranks without moving a hot group to one task.
 
 A plain ``row_number`` over a key sends every row of the key to one task. Here rows get a bucket from their order hash,
-the buckets are counted (pre-aggregated on the map side), running totals over at most ``buckets`` rows per key give each
-bucket its offset, and the row number is taken inside (key, bucket) only.
+the buckets are counted (pre-aggregated on the map side), running totals over at most ``BUCKETS`` rows per key give each
+bucket its offset, and the row number is taken inside (key, bucket) only. A group of 10^11 rows has buckets of 1.5 million
+rows, which is what one sort holds; smaller groups have as many buckets as rows at most.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread_rank(df: DataFrame, keys: Sequence[str], order: Column, out: str = "rank", ties: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+BUCKETS = 1 << 16
+
+
+def spread_rank(df: DataFrame, keys: Sequence[str], order: Column, out: str = "rank", ties: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """``df`` with ``out``: the rank, from 0, of each row among the rows of equal ``keys``, ordered by the hexadecimal
     digest ``order`` and then by the ``ties`` columns. Null keys form a group of their own."""
     staged = df.withColumn("__digest", order).withColumn(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import N_RESERVED
+from corpusloom.operators.ranking import BUCKETS
 
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES += [b for b in range(256) if b not in set(_BYTES)]
@@ -28,7 +29,7 @@ def digest(tag: str, *keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *(F.col(k).cast("string") for k in keys)))
 
 
-def ordered(df: DataFrame, order: Column, value: Column, out: str = "tok_offset", ties: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+def ordered(df: DataFrame, order: Column, value: Column, out: str = "tok_offset", ties: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
     """``df`` with its rank and the sum of ``value`` before it, in the order of ``order``, in two phases: totals of at
     most ``buckets`` ranges of the digest, then sums inside each range."""
     staged = df.withColumn("__d", order).withColumn("__v", value.cast("bigint")).withColumn("__b", (F.conv(F.substring("__d", 1, 8), 16, 10).cast("bigint") * buckets / (1 << 32)).cast("int"))
@@ -104,38 +105,88 @@ def length_index(docs: DataFrame, quantiles: int = 128) -> DataFrame:
     the sorted stream. Marks: a fixed ladder, document-rank quantiles, and half octaves from its end
     up to the longest. No documents, no marks. Computed on the histogram of lengths."""
     hist = docs.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-    cum = hist.withColumn("upto", F.sum("c").over(Window.orderBy("n")))
-    stats = cum.agg(F.sum("c").alias("total"), F.max("n").alias("longest"))
     spark = docs.sparkSession
-    q = spark.range(quantiles + 1).crossJoin(F.broadcast(stats)).select(F.least(F.col("total") - 1, F.floor(F.col("total") * F.col("id") / quantiles)).alias("at"))
-    marks_q = q.join(cum, (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select(F.col("n").cast("bigint").alias("min_tokens"))
-    ladder = spark.createDataFrame([(m,) for m in LADDER], "min_tokens bigint").crossJoin(F.broadcast(stats)).where("total > 0").select("min_tokens")
-    more = spark.range(1, 65).crossJoin(F.broadcast(stats)).where(F.col("longest") > 32768).select(F.least(F.col("longest"), F.floor(32768 * F.pow(F.lit(2.0), F.col("id") / 2))).cast("bigint").alias("min_tokens"))
-    marks = ladder.union(marks_q).union(more).distinct()
-    return marks.join(F.broadcast(hist), F.col("n") < F.col("min_tokens"), "left").groupBy("min_tokens").agg(
-        (F.lit(1) + F.coalesce(F.sum(F.col("c") * F.col("n")), F.lit(0))).cast("bigint").alias("token_offset"), F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("doc_offset")
-    )
+    total, longest = hist.agg(F.coalesce(F.sum("c"), F.lit(0)), F.max("n")).first()  # one row
+    if not total:
+        return spark.createDataFrame([], "min_tokens bigint, token_offset bigint, doc_offset bigint")
+    # the length at a rank: the first one, in order of documents up to it, that reaches beyond; ranks stand between lengths
+    upto = hist.select(F.sum("c").over(Window.orderBy("n")).alias("at"), F.lit(0).alias("kind"), F.col("n").cast("bigint").alias("n"))
+    asked = spark.range(quantiles + 1).select(F.least(F.lit(total - 1), F.floor(F.lit(total) * F.col("id") / quantiles)).cast("bigint").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("n"))
+    ahead = F.first("n", ignorenulls=True).over(Window.orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ranks = upto.unionByName(asked).select("kind", ahead.alias("min_tokens")).where("kind = 1").select("min_tokens")
+    fixed = [*LADDER, *(min(longest, int(32768 * 2.0 ** (k / 2))) for k in range(1, 65) if longest > 32768)]
+    marks = spark.createDataFrame([(m,) for m in fixed], "min_tokens bigint").union(ranks).distinct()
+    # running sums over lengths and marks in one order, a mark in front of its own length
+    line = hist.select(F.col("n").cast("bigint").alias("min_tokens"), F.lit(1).alias("kind"), "c").unionByName(marks.select("min_tokens", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("c")))
+    before = Window.orderBy("min_tokens", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = line.select("min_tokens", "kind", F.sum(F.col("c") * F.col("min_tokens")).over(before).alias("s"), F.sum("c").over(before).alias("d"))
+    return sums.where("kind = 0").select("min_tokens", (F.col("s") + 1).cast("bigint").alias("token_offset"), F.col("d").cast("bigint").alias("doc_offset"))
 
 
 # The length ladder.
 LADDER = (256, 512, 1024, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 32768)
 
 
-def windows(ids: DataFrame, laid: DataFrame, block: int) -> DataFrame:
-    """(window, tokens): ``block + 1`` tokens of each full window, cut from the rows that overlap it. An explode of
-    each document into its windows replaces a range join; a window gathers a bounded number of tokens."""
-    placed = ids.join(laid.select("doc_id", "n_tokens", "tok_offset"), "doc_id")
-    first = F.greatest(F.lit(0), F.floor((F.col("tok_offset") - 1) / block))
-    last = F.floor((F.col("tok_offset") + F.col("n_tokens") - 1) / block)
-    cut = placed.withColumn("window", F.explode(F.sequence(first, last)))
-    at = F.greatest(F.col("window") * block, F.col("tok_offset"))
-    end = F.least(F.col("window") * block + block + 1, F.col("tok_offset") + F.col("n_tokens"))
-    pieces = cut.where(end > at).select("window", at.alias("at"), F.slice("ids", (at - F.col("tok_offset") + 1).cast("int"), (end - at).cast("int")).alias("piece"))
+def windows(docs: DataFrame, laid: DataFrame, block: int) -> DataFrame:
+    """(window, tokens): ``block + 1`` tokens of each full window of (doc_id, text). A text meets its place first and is
+    encoded and cut there, so that only pieces of windows, two bytes a token, move; a window gathers a bounded number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sep = np.array(SEP_IDS, np.int16)
+        table = BYTE_ID.astype(np.int16)
+        for b in batches:
+            where, at, parts = [], [], []
+            for t, off in zip(b.column("text").to_pylist(), b.column("tok_offset").to_pylist()):
+                ids = np.concatenate([sep, table[np.frombuffer(t.encode(), np.uint8)]])
+                for w in range(max(0, (off - 1) // block), (off + len(ids) - 1) // block + 1):
+                    lo, hi = max(w * block, off), min(w * block + block + 1, off + len(ids))
+                    if hi > lo:
+                        where.append(w), at.append(lo), parts.append(ids[lo - off : hi - off])
+            edge = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], ["window", "at", "piece"])
+
+    placed = docs.select("doc_id", "text").join(laid.select("doc_id", "tok_offset"), "doc_id").select("text", "tok_offset")
+    pieces = placed.mapInArrow(run, "window bigint, at bigint, piece array<smallint>")
     joined = pieces.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    return joined.select("window", F.flatten(F.transform("p", lambda x: x["piece"])).alias("tokens")).where(F.size("tokens") == block + 1)
+    return joined.select("window", F.flatten(F.transform("p", lambda x: x["piece"])).cast("array<int>").alias("tokens")).where(F.size("tokens") == block + 1)
+
+
+def _rows(b: pa.RecordBatch, block: int) -> np.ndarray:
+    col = b.column("tokens")
+    off = col.offsets.to_numpy()
+    return col.values.to_numpy()[off[0] : off[-1]].reshape(b.num_rows, block + 1)
 
 
 def samples(cut: DataFrame, block: int) -> DataFrame:
     """(window, x, y, seg): inputs, next tokens, and the number of markers at or before each input."""
-    seg = F.aggregate("x", F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("s")), lambda a, t: F.struct((a["k"] + (t == 0).cast("int")).alias("k"), F.concat(a["s"], F.array(a["k"] + (t == 0).cast("int"))).alias("s")))["s"]
-    return cut.select("window", F.slice("tokens", 1, block).alias("x"), F.slice("tokens", 2, block).alias("y")).withColumn("seg", seg)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = _rows(b, block)
+            edge = pa.array((np.arange(b.num_rows + 1) * block).astype(np.int32))
+            flat = lambda m: pa.ListArray.from_arrays(edge, pa.array(np.ascontiguousarray(m, np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("window"), flat(t[:, :-1]), flat(t[:, 1:]), flat(np.cumsum(t[:, :-1] == 0, axis=1))], ["window", "x", "y", "seg"])
+
+    return cut.select("window", "tokens").mapInArrow(run, "window bigint, x array<int>, y array<int>, seg array<int>")
+
+
+def segment_counts(cut: DataFrame, block: int) -> DataFrame:
+    """(window, segments, pairs): the last segment id of a window and how many (query, earlier or same token) pairs of
+    one segment it has, from the lengths of its segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seg = np.cumsum(_rows(b, block)[:, :-1] == 0, axis=1)
+            row = np.repeat(np.arange(b.num_rows), block)
+            size = np.bincount(row * (block + 1) + seg.ravel(), minlength=b.num_rows * (block + 1)).reshape(b.num_rows, block + 1)
+            last = seg[:, -1] if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("window"), pa.array(last.astype(np.int64)), pa.array((size * (size + 1) // 2).sum(1).astype(np.int64))], ["window", "segments", "pairs"])
+
+    return cut.select("window", "tokens").mapInArrow(run, "window bigint, segments bigint, pairs bigint")
+
+
+def n_windows(docs: DataFrame, block: int) -> int:
+    """Full windows of the stream of (text): an aggregate of one row."""
+    n = docs.agg(F.sum(F.octet_length("text") + len(SEP_IDS))).first()[0] or 0
+    return max(0, (n - 1) // block)

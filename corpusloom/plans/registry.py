@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.sampling import LR_DEFAULTS, lr_schedule as lr
-from corpusloom.operators import bpe, chat, evaluation, packing, stream
+from corpusloom.functions.sampling import band_windows
+from corpusloom.operators import bpe, chat, evaluation, packing, stream, tokenizer, tokens
 from corpusloom.operators.ranking import spread_rank
-from corpusloom.sources import table
+from corpusloom.session import ensure_checkpoint_dir
+from corpusloom.sources import read_parts, store, table
 from corpusloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BLOCK, CHAT_MAX, SEED = 512, 2048, 42
+MERGES = 32_000 - 256  # the default vocabulary without its bytes
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -49,10 +52,26 @@ def shard_names(spark, sf_dir):
     return spark.range(16).select(F.col("id").alias("shard_no"), F.format_string("web-dedup/train-%05d-of-%05d.parquet", "id", F.lit(104)).alias("name"))
 
 
+def _parts(spark, sf_dir):
+    """The parts of every mix with the numbers of their spec: a fixed, small table."""
+    specs = table(spark, sf_dir, "source_specs").select("spec_name", "dataset_name", "n_train_docs", "n_val_docs")
+    parts = table(spark, sf_dir, "source_parts").where("weight is not null").select("spec_name", "part_no", F.lower(F.trim("config")).alias("config"), "cap")
+    return parts.join(specs, "spec_name")
+
+
 @query
 def part_cap(spark, sf_dir):
-    d = _docs(spark, sf_dir).where("config is not null").select("doc_id", "config")
-    return spread_rank(d, ["config"], stream.digest("part", "config", "doc_id"), ties=["doc_id"]).where("rank < 20").select("doc_id", "config", F.col("rank").cast("bigint").alias("rank"))
+    """Every part's documents in random order, as many as its cap allows."""
+    rows = _docs(spark, sf_dir).select("doc_id", "dataset_name", "config").join(_parts(spark, sf_dir).select("spec_name", "part_no", "dataset_name", "config", "cap"), ["dataset_name", "config"])
+    ranked = spread_rank(rows, ["spec_name", "part_no"], stream.digest("part", "spec_name", "part_no", "doc_id"), ties=["doc_id"])
+    return ranked.where("cap is null or rank < cap").select("spec_name", F.col("part_no").cast("bigint").alias("part_no"), "doc_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _pool(spark, sf_dir):
+    """(spec_name, doc_id, rank, n_val_docs, n_train_docs): the capped parts of each mix in one random order."""
+    d = part_cap(spark, sf_dir).select("spec_name", "doc_id")
+    ranked = spread_rank(d, ["spec_name"], stream.digest("pool", "spec_name", "doc_id"), ties=["doc_id"])
+    return ranked.join(table(spark, sf_dir, "source_specs").select("spec_name", "n_val_docs", "n_train_docs"), "spec_name")
 
 
 @query
@@ -72,23 +91,47 @@ def pool_order(spark, sf_dir):
 
 @query
 def train_val_split(spark, sf_dir):
-    r = pool_order(spark, sf_dir)
-    return r.where("rank < 550").select("doc_id", F.when(F.col("rank") < 50, "val").otherwise("train").alias("part"))
+    """Of every mix: its first n_val_docs documents for validation, the next n_train_docs, or all, for training."""
+    val = F.coalesce("n_val_docs", F.lit(0))
+    r = _pool(spark, sf_dir).where((F.col("n_train_docs").isNull()) | (F.col("rank") < val + F.col("n_train_docs")))
+    return r.select("spec_name", "doc_id", F.when(F.col("rank") < val, "val").otherwise("train").alias("part"))
 
 
 @query
-def tokenizer_sample(spark, sf_dir):
-    return pool_order(spark, sf_dir).where("rank >= 50 and rank < 250").select("doc_id")
+def tokenizer_sample(spark, sf_dir, n_docs: int = 10_000):
+    """The documents a tokenizer is trained on: of every mix ``n_docs`` behind those of validation."""
+    val = F.coalesce("n_val_docs", F.lit(0))
+    return _pool(spark, sf_dir).where((F.col("rank") >= val) & (F.col("rank") < val + n_docs)).select("spec_name", "doc_id")
 
 
 @query
 def corpus_meta(spark, sf_dir):
-    n, b = F.col("n_tokens"), F.col("n_bytes")
-    d = _docs(spark, sf_dir).select(F.octet_length("text").alias("n_bytes0"))
-    sized = d.select((F.col("n_bytes0") + 3).alias("n_tokens"), (F.col("n_bytes0") + len(T.SEP)).alias("n_bytes"))
-    return sized.agg(
-        F.count(F.lit(1)).alias("n_examples"), F.sum(n).alias("n_tokens"), F.sum(b).alias("n_bytes"), F.round(F.sum(n) / F.sum(b), 6).alias("tokens_per_byte"), F.round(F.count(F.lit(1)) / F.sum(n), 6).alias("sep_frac")
-    )
+    """What a flat corpus of all documents records of itself, in one pass."""
+    size = _docs(spark, sf_dir).select(F.octet_length("text").alias("b"))
+    t, b = F.sum(F.col("b") + 3), F.sum(F.col("b") + len(T.SEP))
+    zero = F.lit(0).cast("bigint")
+    own = tokenizer.Declared()
+    return size.agg(
+        t.alias("n_tokens"), t.alias("n_real_tokens"), zero.alias("n_pad_tokens"), b.alias("n_bytes"), F.round(t / b, 6).alias("tokens_per_byte"), F.lit(own.n_vocab).cast("bigint").alias("vocab_size"), F.lit(own.fingerprint).alias("tokenizer_fingerprint"),
+        F.lit(own.sep_id(T.SEP)).cast("bigint").alias("sep_id"), F.round(F.count(F.lit(1)) / t, 6).alias("sep_frac"), F.count(F.lit(1)).alias("n_examples"), zero.alias("n_dropped"), zero.alias("n_dropped_tokens"), zero.alias("n_truncated"),
+        F.lit(False).alias("has_target"), F.lit(False).alias("has_start"), F.lit("flat").alias("pack"),
+    )
+
+
+@query
+def chat_meta(spark, sf_dir):
+    """What a corpus of all conversations, packed into bins, records of itself."""
+    turns = _turns(spark, sf_dir)
+    made = chat.examples(turns, CHAT_MAX)
+    counted = chat.counters(made, CHAT_MAX)
+    bins = packing.ffd_pack(made.where("not dropped").select("conv_id", "chunk", "n_tokens"), ["conv_id", "chunk"], "n_tokens", stream.digest("pack", "conv_id", "chunk"), CHAT_MAX)
+    n = bins.agg((F.coalesce(F.max("bin") + 1, F.lit(0)) * CHAT_MAX + 1).alias("total"))
+    said = turns.where("size(turns) >= 2").agg(F.coalesce(F.sum(F.aggregate("turns", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t["content"]))), F.lit(0)).alias("n_bytes"))
+    one = counted.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(said))  # one row each
+    return one.select(
+        F.col("total").alias("n_tokens"), F.col("n_tokens").alias("n_real_tokens"), (F.col("total") - F.col("n_tokens")).alias("n_pad_tokens"), "n_bytes", F.round(F.col("n_tokens") / F.nullif("n_bytes", F.lit(0)), 6).alias("tokens_per_byte"),
+        "n_examples", "n_dropped", "n_dropped_tokens", "n_truncated", F.round(F.col("n_target") / F.col("total"), 6).alias("target_frac"), F.lit(True).alias("has_target"), F.lit(True).alias("has_start"), F.lit("bfd").alias("pack"), F.lit(CHAT_MAX).cast("bigint").alias("pack_block"),
+    )
 
 
 @query
@@ -132,19 +175,24 @@ def length_index(spark, sf_dir):
     return stream.length_index(_lengths(spark, sf_dir))
 
 
-@query
-def token_offset(spark, sf_dir):
+def _offsets(spark, sf_dir, bounds):
+    """(asked, token_offset): where documents of that many tokens or more begin in the sorted stream, else its end."""
     index = length_index(spark, sf_dir)
-    total = stream.layout(_docs(spark, sf_dir)).agg(F.sum("n_tokens").alias("total"))
-    asked = spark.createDataFrame([(x,) for x in (1, 700, 1500, 5000, 1_000_000_000)], "asked bigint")
-    found = asked.join(F.broadcast(index), F.col("min_tokens") >= F.col("asked"), "left").groupBy("asked").agg(F.min_by("token_offset", "min_tokens").alias("at"))
+    total = _docs(spark, sf_dir).agg(F.sum(F.octet_length("text") + 3).alias("total"))
+    asked = spark.createDataFrame([(x,) for x in bounds], "asked bigint")
+    found = asked.join(F.broadcast(index), F.col("min_tokens") >= F.col("asked"), "left").groupBy("asked").agg(F.min_by("token_offset", "min_tokens").alias("at"))  # at most 205 marks
     return found.crossJoin(F.broadcast(total)).select("asked", F.coalesce("at", "total").alias("token_offset"))
 
 
+@query
+def token_offset(spark, sf_dir):
+    return _offsets(spark, sf_dir, (1, 700, 1500, 5000, 1_000_000_000))
+
+
 @query
 def band_docs(spark, sf_dir):
     index = length_index(spark, sf_dir)
-    total = stream.layout(_docs(spark, sf_dir)).agg(F.sum("n_tokens").alias("total"))
+    total = _docs(spark, sf_dir).agg(F.sum(F.octet_length("text") + 3).alias("total"))
     bands = spark.createDataFrame([("short", 0, 700), ("middle", 700, 1500), ("long", 1500, 1_000_000_000)], "band string, lo bigint, hi bigint")
     off = lambda c: F.min_by("token_offset", F.when(F.col("min_tokens") >= F.col(c), F.col("min_tokens")))
     got = bands.crossJoin(F.broadcast(index)).groupBy("band", "lo", "hi").agg(off("lo").alias("t0"), off("hi").alias("t1")).crossJoin(F.broadcast(total))
@@ -154,9 +202,13 @@ def band_docs(spark, sf_dir):
     return ends.select("band", (F.col("d1") - F.col("d0")).alias("n_docs"), F.round((F.col("o1") - F.col("o0")) / F.nullif(F.col("d1") - F.col("d0"), F.lit(0)), 6).alias("mean_tokens"))
 
 
-def _samples(spark, sf_dir):
+def _windows(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return stream.samples(stream.windows(stream.byte_ids(d), stream.layout(d), BLOCK), BLOCK)
+    return stream.windows(d, stream.layout(d), BLOCK)
+
+
+def _samples(spark, sf_dir):
+    return stream.samples(_windows(spark, sf_dir), BLOCK)
 
 
 def _md5(c: str):
@@ -175,21 +227,20 @@ def segment_ids(spark, sf_dir):
 
 @query
 def window_stats(spark, sf_dir):
-    s = _samples(spark, sf_dir)
-    return s.agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.avg(F.array_max("seg")) + 1, 6).alias("segs_per_window"))
+    s = stream.segment_counts(_windows(spark, sf_dir), BLOCK)
+    return s.agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.avg("segments") + 1, 6).alias("segs_per_window"))
 
 
 @query
 def attention_pairs(spark, sf_dir):
-    s = _samples(spark, sf_dir).select(F.col("window").cast("bigint").alias("window"), F.explode("seg").alias("g"))
-    return s.groupBy("window", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("window").agg(F.sum(F.expr("k * (k + 1) div 2")).cast("bigint").alias("pairs"))
+    return stream.segment_counts(_windows(spark, sf_dir), BLOCK).select("window", "pairs")
 
 
-def _epochs(spark, sf_dir, epochs=2):
-    n = stream.layout(_docs(spark, sf_dir)).agg(F.greatest(F.lit(0), F.floor((F.sum("n_tokens") - 1) / BLOCK)).alias("n"))
-    rows = n.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "n").where("n > 0").select("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("window"))
-    r = spread_rank(rows, ["epoch"], stream.digest("epoch", "epoch", "window"), ties=["window"])
-    return r.select(F.col("epoch").cast("bigint").alias("epoch"), F.col("rank").cast("bigint").alias("pos"), F.col("window"))
+def _epochs(spark, sf_dir, epochs=2, seed=SEED):
+    n = stream.n_windows(_docs(spark, sf_dir), BLOCK)
+    rows = spark.range(n * epochs).select((F.col("id") / F.lit(max(n, 1))).cast("bigint").alias("epoch"), (F.col("id") % F.lit(max(n, 1))).alias("window"))
+    r = spread_rank(rows, ["epoch"], stream.digest("epoch", "epoch", "window", seed=seed), ties=["window"])
+    return r.select("epoch", F.col("rank").cast("bigint").alias("pos"), "window")
 
 
 @query
@@ -205,7 +256,7 @@ def shard_slices(spark, sf_dir):
 
 @query
 def replacement_sample(spark, sf_dir):
-    n = stream.layout(_docs(spark, sf_dir)).agg((F.sum("n_tokens") - BLOCK).alias("n"))
+    n = _docs(spark, sf_dir).agg((F.sum(F.octet_length("text") + 3) - BLOCK).alias("n"))
     draws = spark.range(1000).crossJoin(F.broadcast(n))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.lit("draw"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
     return draws.select(F.col("id").alias("draw"), (h % F.col("n")).alias("offset"))
@@ -236,10 +287,11 @@ def chat_spans(spark, sf_dir):
 
 @query
 def span_concat(spark, sf_dir):
-    """Byte counts of spans add up to those of the joined text for every conversation: rows that differ, which must be 0."""
-    s = _turns(spark, sf_dir).select(T.chat_spans(F.col("turns")).alias("spans"))
-    apart = F.aggregate("spans", F.lit(0), lambda n, x: n + F.octet_length(x["text"]))
-    return s.agg(F.coalesce(F.sum((apart != F.octet_length(F.concat_ws("", F.transform("spans", lambda x: x["text"])))).cast("bigint")), F.lit(0)).alias("differing"))
+    """Conversations of which the bytes of the spans, one after another, are not those of the joined text; must be 0."""
+    s = _turns(spark, sf_dir).where("size(turns) >= 1").select(T.chat_spans(F.col("turns")).alias("spans"))
+    apart = F.concat_ws("", F.transform("spans", lambda x: F.hex(F.encode(x["text"], "UTF-8"))))
+    joined = F.hex(F.encode(F.concat_ws("", F.transform("spans", lambda x: x["text"])), "UTF-8"))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(apart != joined).alias("differing"))
 
 
 @query
@@ -270,7 +322,7 @@ def ffd_pack(spark, sf_dir):
 
 @query
 def chunk_freq(spark, sf_dir):
-    return bpe.chunk_counts(_docs(spark, sf_dir)).where("n >= 20")
+    return bpe.chunk_counts(_docs(spark, sf_dir))
 
 
 @query
@@ -280,19 +332,19 @@ def bpe_pair_counts(spark, sf_dir):
 
 @query
 def bpe_train_merges(spark, sf_dir):
-    return bpe.merges_table(spark, bpe.train(bpe.chunk_counts(_docs(spark, sf_dir)), 64))
+    return bpe.merges_table(spark, bpe.train(bpe.chunk_counts(_docs(spark, sf_dir)), MERGES))
 
 
 @query
 def bpe_encode(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return bpe.encode(d, bpe.train(bpe.chunk_counts(d), 64))
+    return bpe.encode(d, bpe.train(bpe.chunk_counts(d), MERGES))
 
 
 @query
 def bpe_roundtrip(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    merges = bpe.train(bpe.chunk_counts(d), 64)
+    merges = bpe.train(bpe.chunk_counts(d), MERGES)
     return bpe.decode(bpe.encode(d, merges), merges).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -373,33 +425,41 @@ def prune_orphans(spark, sf_dir):
     return found.join(live, "shard", "left_anti")
 
 
-@query
-def band_order(spark, sf_dir):
-    """One epoch over the stream sorted by length in which windows of 700 to 1500 token documents take a quarter."""
-    frac = 0.25
-    ends = token_offset(spark, sf_dir).where("asked in (700, 1500)").agg(F.min("token_offset").alias("b0"), F.max("token_offset").alias("b1"))
-    total = stream.layout(_docs(spark, sf_dir)).agg(F.greatest(F.lit(0), F.floor((F.sum("n_tokens") - 1) / BLOCK)).alias("n"))
-    size = total.crossJoin(F.broadcast(ends)).select("n", F.least("n", F.ceil(F.col("b0") / BLOCK)).alias("lo"), F.least("n", F.floor(F.col("b1") / BLOCK)).alias("hi"))
-    size = size.withColumn("n_out", F.floor((F.col("n") - (F.col("hi") - F.col("lo"))) / (1 - frac))).withColumn("n_band", F.floor(F.col("n_out") * frac))
-    pos = size.where("n_out > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_out") - 1)).alias("pos"), "n_band")
-    before, upto = F.least("n_band", F.floor(F.col("pos") * frac)), F.least("n_band", F.floor((F.col("pos") + 1) * frac))
-    slots = pos.select("pos", (upto > before).alias("in_band"), F.when(upto > before, before).otherwise(F.col("pos") - before).alias("k"))
-    windows = size.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("window"), "lo", "hi", "n_band", "n_out")
-    inside = (F.col("window") >= F.col("lo")) & (F.col("window") < F.col("hi"))
-    pool = windows.select("window", inside.alias("in_band"), F.when(inside, F.col("hi") - F.col("lo")).otherwise(F.col("n_out") - F.col("n_band")).alias("m"), F.when(inside, F.col("n_band")).otherwise(F.col("n_out") - F.col("n_band")).alias("want"))
-    counts = pool.groupBy("in_band").agg(F.count(F.lit(1)).alias("size"))
-    passes = pool.join(F.broadcast(counts), "in_band").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("want") - 1, F.lit(0)) / F.col("size")))))  # two rows
-    ranked = spread_rank(passes.select("window", "in_band", "size", "rep"), ["in_band", "rep"], stream.digest("band", "in_band", "rep", "window"), ties=["window"])
+def _band(spark, sf_dir, lo: int, hi: int, frac: float):
+    """(windows, first and behind the last window of the band of documents of lo to hi tokens)."""
+    ends = {r["asked"]: r["token_offset"] for r in _offsets(spark, sf_dir, (lo, hi)).collect()}  # two rows
+    n = stream.n_windows(_docs(spark, sf_dir), BLOCK)
+    return n, *band_windows(ends[lo], ends[hi], frac, n, BLOCK)
+
+
+@query
+def band_order(spark, sf_dir, frac: float = 0.25):
+    """One epoch over the stream sorted by length in which windows of 700 to 1500 token documents take a quarter. All of
+    it would be the band alone; nothing comes again before its pool is through."""
+    n, lo, hi = _band(spark, sf_dir, 700, 1500, frac)
+    size = {True: hi - lo, False: n - (hi - lo)}
+    total = hi - lo if frac >= 1 else int(size[False] / (1 - frac))
+    want = {True: total if frac >= 1 else int(total * frac)}
+    want[False] = total - want[True]
+    before, upto = (F.least(F.lit(want[True]), F.floor(x * F.lit(min(frac, 1.0)))) for x in (F.col("pos"), F.col("pos") + 1))
+    slots = spark.range(total).withColumnRenamed("id", "pos").select("pos", (upto > before).alias("in_band"), F.when(upto > before, before).otherwise(F.col("pos") - before).alias("k"))
+    pools = []
+    for inside in (True, False):
+        passes = -(-want[inside] // max(1, size[inside]))
+        rows = spark.range(size[inside] * passes).select((F.col("id") % F.lit(max(1, size[inside]))).alias("i"), (F.col("id") / F.lit(max(1, size[inside]))).cast("bigint").alias("rep"))
+        window = F.col("i") + lo if inside else F.when(F.col("i") < lo, F.col("i")).otherwise(F.col("i") + (hi - lo))
+        pools.append(rows.select(window.alias("window"), F.lit(inside).alias("in_band"), F.lit(size[inside]).alias("size"), "rep"))
+    ranked = spread_rank(pools[0].unionByName(pools[1]), ["in_band", "rep"], stream.digest("band", "in_band", "rep", "window"), ties=["window"])
     drawn = ranked.select("in_band", (F.col("rep") * F.col("size") + F.col("rank")).alias("k"), "window")
     return slots.join(drawn, ["in_band", "k"]).select("pos", "in_band", "window")
 
 
 @query
 def bpe_merge_step(spark, sf_dir):
-    """Frequent chunks after the first merge; a merged pair shows as z, any other byte as x and its code."""
+    """Chunks after the first merge; a merged pair shows as z, any other byte as x and its code."""
     chunks = bpe.chunk_counts(_docs(spark, sf_dir))
     best = bpe.pair_counts(chunks).orderBy(F.desc("n"), "left", "right").limit(1).select(F.concat(*(part for c in ("left", "right") for part in (F.lit("x"), F.lpad(F.hex(c), 2, "0")))).alias("pair"))
-    coded = chunks.where("n >= 20").select("chunk", F.regexp_replace(F.hex(F.encode("chunk", "UTF-8")), "(..)", "x$1").alias("coded"))
+    coded = chunks.select("chunk", F.regexp_replace(F.hex(F.encode("chunk", "UTF-8")), "(..)", "x$1").alias("coded"))
     return coded.crossJoin(F.broadcast(best)).select("chunk", F.replace("coded", "pair", F.lit("z")).alias("merged"))
 
 
@@ -420,3 +480,149 @@ def window_masked(spark, sf_dir):
     kept = chat.examples(turns, CHAT_MAX).where("not dropped").select("conv_id", "chunk", "n_tokens")
     laid = stream.ordered(kept, stream.digest("chat", "conv_id", "chunk"), F.col("n_tokens"), ties=("conv_id", "chunk"))
     return chat.masked_windows(laid, chat.target_spans(turns, CHAT_MAX), BLOCK)
+
+
+@query
+def chat_arrays(spark, sf_dir):
+    a = tokens.chat_arrays(_turns(spark, sf_dir), CHAT_MAX)
+    return a.select("conv_id", "chunk", F.size("ids").cast("bigint").alias("n"), _md5("ids").alias("ids_md5"), _md5("target").alias("target_md5"), "truncated")
+
+
+@query
+def packed_stream(spark, sf_dir):
+    p = tokens.packed(tokens.chat_arrays(_turns(spark, sf_dir), CHAT_MAX), CHAT_MAX)
+    return p.select("bin", _md5("ids").alias("ids_md5"), _md5("target").alias("target_md5"), _md5("start").alias("start_md5"))
+
+
+@query
+def window_targets(spark, sf_dir):
+    """Windows of the flat chat stream with the next tokens that are to be learnt; -100 stands for any other."""
+    a = tokens.chat_arrays(_turns(spark, sf_dir), CHAT_MAX)
+    laid = stream.ordered(a.select("conv_id", "chunk", F.size("ids").alias("n_tokens")), stream.digest("chat", "conv_id", "chunk"), F.col("n_tokens"), ties=("conv_id", "chunk"))
+    placed = a.join(laid.select("conv_id", "chunk", "tok_offset"), ["conv_id", "chunk"])
+    return tokens.masked_samples(placed, BLOCK).select("window", _md5("x").alias("x_md5"), _md5("y").alias("y_md5"), _md5("seg").alias("seg_md5"))
+
+
+@query
+def batch_merge(spark, sf_dir):
+    """Counters of all batches as one, each batch as it was received first; batches without examples or drops count nothing."""
+    b = table(spark, sf_dir, "rendered_batches")
+    w = Window.partitionBy("batch_id", "worker").orderBy(F.col("received_at").asc_nulls_last(), F.col("finished_at").asc_nulls_last())
+    first = b.withColumn("__n", F.row_number().over(w)).where("__n = 1 and (coalesce(n_examples, 0) > 0 or coalesce(n_dropped, 0) > 0)")
+    names = ("n_examples", "n_dropped", "n_dropped_tokens", "n_bytes", "n_pad", "n_truncated")
+    return first.agg(F.count(F.lit(1)).alias("n_batches"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+
+
+def _corpus_root(spark) -> str:
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark)}/corpora-{uuid.uuid4().hex}"
+
+
+@query
+def stored_scan(spark, sf_dir):
+    """The flat corpus of all documents, written, committed and read again."""
+    root, d = _corpus_root(spark), _docs(spark, sf_dir)
+    laid = stream.layout(d).select("doc_id", "rank", "tok_offset")
+    store.write(stream.byte_ids(d).join(laid, "doc_id"), root, "flat", corpus_meta(spark, sf_dir).first().asDict())
+    return store.read(spark, root, "flat").select("doc_id", "rank", F.col("tok_offset").cast("bigint").alias("tok_offset"), _md5("ids").alias("ids_md5"))
+
+
+@query
+def stored_sort(spark, sf_dir):
+    """The flat corpus sorted by length without encoding again: rows are moved, checked, and committed under a new name."""
+    root, d = _corpus_root(spark), _docs(spark, sf_dir)
+    laid = stream.layout(d)
+    meta = corpus_meta(spark, sf_dir).first().asDict()
+    store.write(stream.byte_ids(d).join(laid.select("doc_id", "n_tokens", "rank", "tok_offset"), "doc_id"), root, "flat", meta)
+    store.sort_by_length(spark, root, "flat", "sorted")
+    return store.read(spark, root, "sorted").select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("n", "new_rank", "new_start")), F.size("ids").cast("bigint").alias("n_ids"))
+
+
+@query
+def corpus_names(spark, sf_dir):
+    """Corpora by name before any is built: spec, part and hash of the render spec."""
+    names = corpus_hash(spark, sf_dir).crossJoin(spark.createDataFrame([("train",), ("val",)], "part string"))  # two rows
+    return names.select("spec_name", "part", F.concat_ws("-", "spec_name", "part", "hash").alias("name"))
+
+
+@query
+def preset_lookup(spark, sf_dir):
+    """Source presets: data set, seed, columns and the number of parts."""
+    parts = table(spark, sf_dir, "source_parts").groupBy("spec_name").agg(F.count(F.lit(1)).alias("n_parts"))
+    return table(spark, sf_dir, "source_specs").join(parts, "spec_name", "left").select("spec_name", "dataset_name", "seed", F.concat_ws(",", "column_list").alias("columns"), F.coalesce("n_parts", F.lit(0)).alias("n_parts"))
+
+
+@query
+def window_seeds(spark, sf_dir):
+    """Seeds of window sampling by source: its own for training, one far from it for validation."""
+    return table(spark, sf_dir, "source_specs").select("spec_name", F.col("seed").alias("train_seed"), (F.col("seed") + 10_000).alias("val_seed"))
+
+
+@query
+def val_order(spark, sf_dir):
+    """The order of windows that validation reads."""
+    return _epochs(spark, sf_dir, 1, SEED + 10_000).select("pos", "window")
+
+
+@query
+def window_batches(spark, sf_dir, batch: int = 16):
+    """Batches of windows in the order of an epoch; the last one may be smaller."""
+    b = _epochs(spark, sf_dir, 1).select(F.floor(F.col("pos") / batch).alias("batch"), "pos", "window")
+    return b.groupBy("batch").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("pos", "window"))), lambda x: x["window"].cast("string"))).alias("windows"))
+
+
+@query
+def epoch_steps(spark, sf_dir):
+    """Steps of one to three epochs over the corpus, and the windows of a clean pass over it."""
+    n = _docs(spark, sf_dir).agg(F.sum(F.octet_length("text") + 3).alias("n"))
+    per = F.lit(16 * 512)
+    return spark.range(1, 4).crossJoin(F.broadcast(n)).select(F.col("id").alias("epochs"), F.greatest(F.lit(1), F.bround(F.col("n") * F.col("id") / per)).cast("bigint").alias("steps"), F.greatest(F.lit(1), F.floor(F.floor((F.col("n") - 1) / BLOCK) / 16)).cast("bigint").alias("clean_pass"))
+
+
+@query
+def expected_segments(spark, sf_dir):
+    """Segments expected in a window where a quarter of the draws is from the middle band, the rest from the short one."""
+    mean = band_docs(spark, sf_dir).where("band in ('short', 'middle')").select("band", (F.lit(BLOCK) / F.greatest(F.lit(1.0), F.coalesce("mean_tokens", F.lit(1.0))) + 1).alias("s"))
+    return mean.agg(F.round(F.sum(F.when(F.col("band") == "middle", 0.25).otherwise(0.75) * F.col("s")), 4).alias("expected"))
+
+
+@query
+def human_counts(spark, sf_dir):
+    """Counts as people read them."""
+    n = table(spark, sf_dir, "rendered_batches").select("batch_id", "n_bytes").distinct()
+    scaled = F.when(F.coalesce("n_bytes", F.lit(0)) == 0, "-")
+    for scale, suffix in ((10**9, "B"), (10**6, "M"), (10**3, "K")):
+        scaled = scaled.when(F.col("n_bytes") >= scale, F.concat(F.format_string("%.2f", F.col("n_bytes") / scale), F.lit(suffix)))
+    return n.select("batch_id", "n_bytes", scaled.otherwise(F.col("n_bytes").cast("string")).alias("shown"))
+
+
+@query
+def mc_answer_start(spark, sf_dir, block: int = 256):
+    """Where the score of an option begins when a question and it are cut from the front to a window."""
+    o = table(spark, sf_dir, "eval_items").select("item_id", F.octet_length("question").alias("q"), "question", F.posexplode("choices.text").alias("option", "text"))
+    whole = F.octet_length(F.concat_ws(" ", "question", "text"))
+    n_ctx = F.greatest(F.lit(0), F.col("q") - F.greatest(F.lit(0), whole - block))
+    return o.select("item_id", F.col("option").cast("bigint").alias("option"), n_ctx.cast("bigint").alias("n_ctx"), F.greatest(F.lit(0), n_ctx - 1).cast("bigint").alias("first"))
+
+
+@query
+def format_compliance(spark, sf_dir, cap: int = 256):
+    """Of the last answers of all conversations, cut at ``cap`` bytes, how many stop and in which ways others fail."""
+    c = chat.deduplicated(table(spark, sf_dir, "conversations").select("conv_id", "messages", "received_at"))
+    last = F.element_at(F.filter("messages", lambda m: (m["role"] == "assistant") & m["content"].isNotNull()), -1)["content"]
+    texts = c.where(F.exists("messages", lambda m: (m["role"] == "assistant") & m["content"].isNotNull())).select(F.col("conv_id").alias("doc_id"), last.alias("text"))
+    return evaluation.format_compliance(texts, cap)
+
+
+@query
+def tokenizer_ids(spark, sf_dir):
+    """The byte profile: ids, separator and fingerprint."""
+    t = tokenizer.Declared()
+    return spark.createDataFrame([(t.n_vocab, t.sep_id(T.SEP), t.special_id(T.IM_END), t.fingerprint)], "n_vocab bigint, sep_id bigint, end_id bigint, fingerprint string")
+
+
+@query
+def shard_scan(spark, sf_dir):
+    """An explicit list of files in place of a table, projected."""
+    return read_parts(spark, [f"{sf_dir.rstrip('/')}/documents.parquet"], ["doc_id", "lang"])

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.sampling import band_slots
-from corpusloom.operators import bpe, chat, evaluation, packing, stream
+from corpusloom.functions.sampling import band_windows
+from corpusloom.operators import bpe, chat, evaluation, packing, stream, tokenizer, tokens
 from corpusloom.operators.ranking import spread_rank
+from corpusloom.sources import read_prompts, store
 
 MESSAGES = "conv_id bigint, messages array<struct<role: string, content: string>>, received_at timestamp"
 
@@ -93,7 +94,7 @@ def test_windows_equal_a_flat_cut(spark):
     laid = stream.layout(d)
     ids = {r["doc_id"]: r["ids"] for r in stream.byte_ids(d).collect()}
     flat = [t for r in sorted(laid.collect(), key=lambda r: r["rank"]) for t in ids[r["doc_id"]]]
-    got = sorted(stream.samples(stream.windows(stream.byte_ids(d), laid, 32), 32).collect(), key=lambda r: r["window"])
+    got = sorted(stream.samples(stream.windows(d, laid, 32), 32).collect(), key=lambda r: r["window"])
     assert len(got) == (len(flat) - 1) // 32
     for r in got:
         w = r["window"] * 32
@@ -114,13 +115,114 @@ def test_bpe_counts_overlap_and_round_trip(spark):
     e = bpe.encode(d, merges)
     assert {r["doc_id"]: r["ids"] for r in e.collect()}[3] == []
     assert {r["doc_id"]: r["text"] for r in bpe.decode(e, merges).collect()} == {r["doc_id"]: r["text"] for r in d.collect()}
-    assert bpe.merge([97, 97, 97], 97, 97, 256) == [256, 97]
+    assert bpe.merged([97, 97, 97], (97, 97), 256) == [256, 97] and bpe.merged([97], (97, 97), 256) == [97]
+
+
+def brute_merges(chunks, merges):
+    held, out = [(list(c.encode()), n) for c, n in chunks], []
+    for _ in range(merges):
+        count = {}
+        for x, n in held:
+            for p in zip(x, x[1:]):
+                count[p] = count.get(p, 0) + n
+        if not count:
+            break
+        best = min(count, key=lambda p: (-count[p], p))
+        out.append(best)
+        held = [(bpe.merged(x, best, 255 + len(out)), n) for x, n in held]
+    return out
+
+
+def test_bpe_training_equals_brute_force_here_and_on_the_cluster(spark):
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("abcé") for _ in range(r.randint(1, 8))) for _ in range(25)})
+    chunks = [(w, r.randint(1, 9)) for w in words]
+    want = brute_merges(chunks, 30)
+    d = spark.createDataFrame(chunks, "chunk string, n bigint")
+    assert bpe.train(d, 30) == want and bpe.train(d, 30, local=0) == want
+    assert bpe.train(d.limit(0), 5) == [] and bpe.train(spark.createDataFrame([("a", 3), (None, 2)], "chunk string, n bigint"), 5) == []
+    made = {p: 256 + i for i, p in enumerate(want)}
+    for w in words:
+        x = list(w.encode())
+        for i, p in enumerate(want):
+            x = bpe.merged(x, p, 256 + i)
+        assert bpe.encode_chunk(w.encode(), made) == x
+
+
+def test_rounds_stop_where_merges_touch():
+    assert bpe._apart([(9, 1, 2), (8, 3, 4), (7, 2, 5), (6, 7, 8)]) == [(1, 2), (3, 4)]
+    assert bpe._apart([(9, 1, 2), (7, 3, 4), (7, 2, 5)]) == [(1, 2)] and bpe._apart([(3, 1, 1), (2, 4, 5)]) == [(1, 1), (4, 5)] and bpe._apart([]) == []
+
+
+def test_tokenizer_files_and_ids(spark, tmp_path):
+    t = tokenizer.train(spark, spark.createDataFrame([("abab abab ab|>",)], "text string"), 260)
+    t.save(str(tmp_path / "t.json"))
+    assert tokenizer.load(str(tmp_path / "t.json")) == t and t.n_vocab == 260 and t.encode_text("") == [] and t.encode_text("a") == [97]
+    assert t.special_id("abab") > 255 and t.fingerprint != tokenizer.Trained((), 256).fingerprint and len(t.fingerprint) == 8
+    with pytest.raises(KeyError):
+        t.special_id("<|im_end|>")
+    with pytest.raises(ValueError):
+        t.sep_id("\n<|endoftext|>\n")
+    (tmp_path / "x.json").write_text('{"vocab": 1}')
+    with pytest.raises(ValueError, match="vocab"):
+        tokenizer.load(str(tmp_path / "x.json"))
+    assert tokenizer.Declared().sep_id("\n<|endoftext|>\n") == 0 and tokenizer.Declared().n_vocab == 288
+    (tmp_path / "p.json").write_text('{"prompts": ["a", "b"]}')
+    assert [tuple(r) for r in read_prompts(spark, str(tmp_path / "p.json")).collect()] == [(0, "a"), (1, "b")]
+
 
+META = {"pack": "flat", "has_target": False, "has_start": False, "vocab_size": 288, "tokenizer_fingerprint": "f", "sep_id": 0, "pack_block": None}
 
-def test_bpe_trains_on_all_chunks(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "TRAIN_CHUNKS", 1, raising=False)
-    chunks = spark.createDataFrame([("ab", 3), ("cd", 2), ("xcd", 2)], "chunk string, n bigint")
-    assert bpe.train(chunks, 2) == [(99, 100), (97, 98)]
+
+def test_a_corpus_exists_when_its_meta_does(spark, tmp_path):
+    root, d = str(tmp_path), spark.createDataFrame([(1, "aa"), (2, "b")], "doc_id bigint, text string")
+    laid = stream.layout(d)
+    rows = stream.byte_ids(d).join(laid, "doc_id")
+    with pytest.raises(store.MissingCorpus):
+        store.read(spark, root, "c")
+    with pytest.raises(ValueError):
+        store.write(rows, root, "c", {"x": float("nan")})
+    rows.write.parquet(f"{root}/c/tokens")  # an interrupted build: tokens, but no meta
+    assert not store.exists(spark, root, "c") and store.build(spark, root, {"c": lambda: (rows, META)}) == ["c"] and store.build(spark, root, {"c": lambda: (rows, META)}) == []
+    assert store.read(spark, root, "c").count() == 2 and store.read_meta(spark, root, "c") == META
+    store.sort_by_length(spark, root, "c", "s")
+    assert store.read_meta(spark, root, "s")["sorted_from"] == "c" and [r[1] for r in store.read_meta(spark, root, "s")["length_index"]][-1] == sum(r["n"] for r in store.read(spark, root, "s").collect()) + 1
+    with pytest.raises(ValueError):
+        store.sort_by_length(spark, root, "s", "t")
+    assert [n for n, e, _ in store.inspect(spark, root, ["c", "t"]) if e] == ["c"]
+    assert [n for n, _ in store.prune(spark, root, ["c"])] == ["s"] and store.prune(spark, root, ["c"], delete=True) and store.prune(spark, root, ["c"]) == []
+    files = [f"{root}/c/meta.json"]
+    wanted = store.manifest(spark, files)
+    assert store.verify(spark, files, wanted).count() == 0 and store.verify(spark, files, wanted.withColumn("sha256", F.lit("0"))).count() == 1
+    store.log_metrics(spark.createDataFrame([(1, 0.5)], "step int, loss double"), f"{root}/log")
+    assert spark.read.csv(f"{root}/log", header=True).count() == 1
+
+
+def test_incompatible_corpora_are_refused():
+    ok = {"vocab_size": 288, "tokenizer_fingerprint": "f", "doc_mask": True, "block_size": 512}
+    store.assert_compatible(META, **ok)
+    packed = META | {"has_start": True, "pack": "bfd", "pack_block": 512}
+    store.assert_compatible(packed, **ok)
+    for meta, change in ((META, {"vocab_size": 1}), (META, {"tokenizer_fingerprint": "g"}), (packed, {"doc_mask": False}), (META | {"sep_id": None}, {}), (packed, {"block_size": 8})):
+        with pytest.raises(ValueError):
+            store.assert_compatible(meta, **(ok | change))
+
+
+def test_packed_bins_pad_and_end(spark):
+    a = [(1, 0, [0, 9, 9], [0, 1, 1], False), (2, 0, [0, 9, 9, 9, 9], [0, 0, 0, 0, 1], False), (3, 0, [0, 9], [0, 1], False), (4, 0, [0, 9, 9, 9], [0, 1, 1, 1], False)]
+    got = {r["bin"]: (r["ids"], r["target"], r["start"]) for r in tokens.packed(spark.createDataFrame(a, tokens.ARRAYS), 7).collect()}
+    assert [len(got[k][0]) for k in sorted(got)] == [7, 7, 1] and got[2] == ([3], [0], [1])
+    assert got[0][2] == [1, 0, 0, 0, 0, 1, 0] and got[1][2] == [1, 0, 0, 0, 1, 0, 0]
+    one = {r["bin"]: r["start"] for r in tokens.packed(spark.createDataFrame(a[:1], tokens.ARRAYS), 5).collect()}
+    assert one == {0: [1, 0, 0, 1, 0], 1: [1]}
+
+
+def test_masked_heads(spark):
+    placed = spark.createDataFrame([(0, [0, 5, 5, 5, 5, 5], [0, 1, 1, 1, 1, 1]), (6, [0, 6, 6, 6, 6, 6, 6], [0, 0, 1, 1, 1, 1, 1])], "tok_offset bigint, ids array<smallint>, target array<tinyint>")
+    got = {r["window"]: (r["x"], r["y"], r["seg"]) for r in tokens.masked_samples(placed, 4).collect()}
+    assert got[0] == ([0, 5, 5, 5], [5, 5, 5, 5], [1, 1, 1, 1])
+    assert got[1] == ([5, 5, 0, 6], [-100, -100, -100, 6], [0, 0, 1, 1])  # the head of a cut example is masked
+    assert got[2] == ([6, 6, 6, 6], [-100] * 4, [0] * 4) and len(got) == 3  # no beginning, nothing to learn
 
 
 def test_top_p(spark):
@@ -134,7 +236,13 @@ def test_repetition(spark):
     assert {r["doc_id"]: r["looping"] for r in evaluation.repetition(d).collect()} == {1: True, 2: False, 3: False}
 
 
-def test_band_slots():
-    assert band_slots(90, 50, 0.1) == (100, 10) and band_slots(90, 50, 1.0) == (50, 50)
-    with pytest.raises(ValueError):
-        band_slots(1, 1, 1.5)
+def test_bands():
+    assert band_windows(None, None, 0.0, 10, 4) is None and band_windows(5, 17, 0.5, 10, 4) == (2, 4) and band_windows(5, None, 1.0, 10, 4) == (2, 10)
+    for first, last, frac in ((1, 9, 1.5), (1, 9, 0.0), (None, 9, 0.5), (5, 6, 0.5)):
+        with pytest.raises(ValueError):
+            band_windows(first, last, frac, 10, 4)
+
+
+def test_first_delivery_has_no_ties(spark):
+    c = turns(spark, [("user", "a")]).unionAll(spark.createDataFrame([(0, [("user", "b")], None)], MESSAGES))
+    assert len({chat.deduplicated(x).first()["messages"][0]["content"] for x in (c, c.orderBy(F.desc("messages")), c.repartition(3))}) == 1
