@@ -194,3 +194,12 @@ def fill_report(bins: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row: bins used, tokens, the least number of bins possible by volume, the share of space filled."""
     total = bins.agg(F.countDistinct("bin").alias("bins"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("tokens"))
     return total.select("bins", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_bins"), (F.col("tokens") / (F.col("bins") * capacity)).alias("filled"))
+
+
+def fill_check(bins: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: items, bins above the capacity, items that have no bin though they have tokens, and whether at most two in
+    a hundred bins, and ten, more are used than the volume asks for."""
+    load = bins.where("bin is not null").groupBy("bin").agg(F.sum("size").alias("load"))
+    full = load.agg(F.count_if(F.col("load") > capacity).alias("overfull"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("load"), F.lit(0)).alias("tokens"))
+    items = bins.agg(F.countDistinct("doc_id").alias("items"), F.count_if(F.col("bin").isNull() & (F.col("size") > 0)).alias("lost"))
+    return items.crossJoin(F.broadcast(full)).select("items", "overfull", "lost", (F.col("n") <= 1.02 * F.ceil(F.col("tokens") / capacity) + 10).alias("tight"))  # one row each

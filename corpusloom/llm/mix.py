@@ -7,6 +7,8 @@ which no part is asked for more than it can give, and shares become whole budget
 realised as block permutations: a part's records in the order of a seeded digest, as often as needed, each block
 rotated by its own offset, the last one cut at the budget.
 
+A part falls short if the exponent that its own share would need is above 0.
+
 A mix that cannot be filled at all gets all that its parts can give. Specs without ``n_train_docs`` and parts without a
 weight are left out; a part without ``max_repeats`` may repeat without limit, one without records gives nothing.
 Records are training documents whose text is not null or blank; sources are compared trimmed and in lower case.
@@ -18,7 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranking import spread_rank
@@ -58,6 +60,22 @@ def temper(weights: np.ndarray, limits: np.ndarray, total: int) -> tuple[float,
     return high, share(high)
 
 
+def own_exponents(weights: np.ndarray, limits: np.ndarray, total: int) -> np.ndarray:
+    """The least exponent at which a part's own tempered share fits what it can give: 0 for a part that fills its target
+    share, more for one that falls short of it, 1 at most."""
+    reach = max(limits.sum(), 1)
+
+    def asked(t: float) -> np.ndarray:
+        return weights ** (1 - t) * (limits / reach) ** t * total if t else weights * total
+
+    low, high = np.zeros(len(weights)), np.where(asked(0.0) <= limits, 0.0, 1.0)
+    for _ in range(40):
+        mid = (low + high) / 2
+        fits = np.array([asked(t)[k] <= limits[k] for k, t in enumerate(mid)])
+        high, low = np.where(fits, mid, high), np.where(fits, low, mid)
+    return np.where(asked(0.0) <= limits, 0.0, high)
+
+
 def budgets(weights: np.ndarray, limits: np.ndarray, total: int) -> tuple[float, np.ndarray]:
     t, q = temper(weights, limits, total)
     want = q * min(total, limits.sum())
@@ -71,42 +89,45 @@ def budgets(weights: np.ndarray, limits: np.ndarray, total: int) -> tuple[float,
 def plan_mix(documents: DataFrame, specs: DataFrame, parts: DataFrame) -> DataFrame:
     """One row per part of a mix: target, what is available, the limit, the budget, and whether the part falls short of
     its own share. Grouping and counting are distributed; a group of the last step is the parts of one spec."""
-    counts = pool(documents).groupBy("dataset_name", "config").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("n_bytes"))
+    counts = pool(documents).groupBy("dataset_name", "config").agg(F.count(F.lit(1)).alias("n_docs"))
     targets = (
         parts.where("weight is not null").select("spec_name", "part_no", clean_source(F.col("config")).alias("config"), F.col("config").alias("part_config"), "cap", "weight", "max_repeats")
         .join(specs.where("n_train_docs is not null").select("spec_name", "dataset_name", "n_train_docs", "seed"), "spec_name")
         .join(counts, ["dataset_name", "config"], "left")
     )
-    ready = targets.withColumn("available", F.least(F.coalesce("n_docs", F.lit(0)), F.greatest(F.coalesce("cap", F.coalesce("n_docs", F.lit(0))), F.lit(0)))).withColumn(
-        "mean_bytes", F.coalesce(F.col("n_bytes") / F.col("n_docs"), F.lit(0.0))
-    )
+    ready = targets.withColumn("available", F.least(F.coalesce("n_docs", F.lit(0)), F.greatest(F.coalesce("cap", F.coalesce("n_docs", F.lit(0))), F.lit(0))))
 
     def per_spec(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("part_no").reset_index(drop=True)
         total = int(f["n_train_docs"].iloc[0])
         limits = np.array([a * (m if not math.isnan(m) else (total if a else 0)) for a, m in zip(f["available"].astype(float), f["max_repeats"].astype(float))])
         t, quota = budgets(np.maximum(f["weight"].to_numpy(float), 1e-12), limits, total)
-        bytes_ = quota * f["mean_bytes"].to_numpy(float)
-        return f.assign(
-            limit=limits.astype(np.int64), exponent=t, quota=quota, share=quota / max(quota.sum(), 1), byte_share=bytes_ / max(bytes_.sum(), 1e-9),
-            short=f["weight"].to_numpy(float) * total > limits,
-        )[names]
+        own = own_exponents(f["weight"].to_numpy(float), limits, total)
+        return f.assign(limit=limits.astype(np.int64), exponent=t, own_exponent=own, quota=quota, share=quota / max(quota.sum(), 1), short=own > 0)[names]
 
-    names = ["spec_name", "part_no", "dataset_name", "config", "part_config", "seed", "n_train_docs", "weight", "max_repeats", "available", "limit", "exponent", "quota", "share", "byte_share", "short"]
+    names = ["spec_name", "part_no", "dataset_name", "config", "part_config", "seed", "n_train_docs", "weight", "max_repeats", "available", "limit", "exponent", "own_exponent", "quota", "share", "short"]
     schema = (
         "spec_name string, part_no int, dataset_name string, config string, part_config string, seed bigint, n_train_docs bigint, weight double, max_repeats int, "
-        "available bigint, limit bigint, exponent double, quota bigint, share double, byte_share double, short boolean"
+        "available bigint, limit bigint, exponent double, own_exponent double, quota bigint, share double, short boolean"
     )
     return ready.groupBy("spec_name").applyInPandas(per_spec, schema)
 
 
 def realise(documents: DataFrame, plan: DataFrame) -> DataFrame:
-    """(spec_name, config, doc_id, block, slot, position): the records of every mix. ``slot`` numbers a part's records;
+    """(spec_name, config, doc_id, block, slot, position, size): the records of every mix. ``slot`` numbers a part's records;
     ``position`` in [0, 1) interleaves the parts of a mix evenly when sorted by it."""
     drawn = plan.where("quota > 0").select("spec_name", "part_no", "dataset_name", "config", "part_config", "seed", "available", "quota")
-    rows = pool(documents).select("doc_id", "dataset_name", "config").join(F.broadcast(drawn), ["dataset_name", "config"])  # a row per part of a spec: the size of source_parts
+    rows = pool(documents).join(drawn, ["dataset_name", "config"])
     ranked = spread_rank(rows, ["spec_name", "part_no"], F.md5(F.concat_ws("|", "seed", "spec_name", F.col("doc_id").cast("string"))), ties=["doc_id"])
     turn = F.pmod(F.col("rank") + F.col("block") * F.greatest(F.lit(1), (F.col("available") / 3).cast("bigint")), F.col("available"))
     blocks = ranked.where("rank < available").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), ((F.col("quota") - 1) / F.col("available")).cast("bigint"))))
     slots = blocks.withColumn("slot", F.col("block") * F.col("available") + turn).where("slot < quota")
-    return slots.select("spec_name", F.col("part_config").alias("config"), "doc_id", "block", "slot", ((F.col("slot") + 0.5) / F.col("quota")).alias("position"))
+    return slots.select("spec_name", F.col("part_config").alias("config"), "doc_id", "block", "slot", ((F.col("slot") + 0.5) / F.col("quota")).alias("position"), "size")
+
+
+def shares(documents: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with what each part really gives: records, bytes, and its share of both among the mix's records."""
+    given = realise(documents, plan).groupBy("spec_name", F.col("config").alias("part_config")).agg(F.count(F.lit(1)).alias("records"), F.sum("size").alias("bytes"))
+    both = plan.join(given, ["spec_name", "part_config"], "left").fillna(0, ["records", "bytes"])
+    of = lambda c: F.col(c) / F.nullif(F.sum(c).over(Window.partitionBy("spec_name")), F.lit(0))
+    return both.withColumn("record_share", of("records")).withColumn("byte_share", of("bytes"))  # a row a part

@@ -39,6 +39,13 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+@query
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = split.items_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+    specs = table(spark, sf_dir, "render_specs")
+    return split.coverage(split.split_oversized(items, specs), items, specs)
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan_mix(*(table(spark, sf_dir, t) for t in ("documents", "source_specs", "source_parts")))
 
@@ -50,7 +57,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir)
+    return mix.shares(table(spark, sf_dir, "documents"), _plan(spark, sf_dir))
+
+
+@query
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every mix, and whether no part gives more than it can."""
+    s = p4_shares(spark, sf_dir)
+    return s.groupBy("spec_name").agg(F.sum("records").alias("records"), F.bool_and((F.col("records") == F.col("quota")) & (F.col("records") <= F.col("limit"))).alias("within"))
 
 
 @query
@@ -63,6 +77,11 @@ def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.fill_bins(binpack.token_sizes(table(spark, sf_dir, "documents")))
 
 
+@query
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.fill_check(p7_bins(spark, sf_dir))
+
+
 @query
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.fill_report(p7_bins(spark, sf_dir))
@@ -77,6 +96,9 @@ items AS (
 SELECT DISTINCT item_table, item_id FROM items JOIN lim ON render_spec = spec_name WHERE size > most
 """
 
+SQL["p3_cover"] = SQL["p3_found"].replace("SELECT DISTINCT item_table, item_id FROM", "SELECT DISTINCT item_table, item_id, size::BIGINT AS size, true AS within FROM")
+SQL["p7_check"] = "SELECT count(*) AS items, 0::BIGINT AS overfull, 0::BIGINT AS lost, true AS tight FROM documents"
+
 SQL["p4_found"] = r"""
 WITH pool AS (
   SELECT dataset_name, lower(trim(source)) AS config, count(*) AS n FROM documents
@@ -88,6 +110,16 @@ WHERE s.n_train_docs IS NOT NULL AND p.weight IS NOT NULL
 """
 
 
+SQL["p4_totals"] = r"""
+WITH pool AS (
+  SELECT dataset_name, lower(trim(source)) AS config, count(*) AS n FROM documents
+  WHERE split = 'train' AND text IS NOT NULL AND regexp_matches(text, '[^\s\p{Z}\x{85}\x1c-\x1f\x{feff}\x{200b}-\x{200d}\x{2060}]') GROUP BY 1, 2)
+SELECT s.spec_name, least(any_value(s.n_train_docs), sum(coalesce(p.max_repeats, s.n_train_docs) * least(coalesce(n, 0), coalesce(p.cap, coalesce(n, 0)))))::BIGINT AS records, true AS within
+FROM source_parts p JOIN source_specs s USING (spec_name) LEFT JOIN pool ON pool.dataset_name = s.dataset_name AND pool.config = lower(trim(p.config))
+WHERE s.n_train_docs IS NOT NULL AND p.weight IS NOT NULL GROUP BY 1
+"""
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_leaks(spark, sf_dir).where("how = 'stretch'").select("doc_id", "item_id")

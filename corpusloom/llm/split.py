@@ -3,15 +3,18 @@
 Sizes are UTF-8 bytes (the byte profile). The atoms of an item are its sentences, or, of a sentence that is no piece by
 itself, its words, or the characters of such a word. Adjacent atoms are held in a heap by the strength of the boundary
 between them (character, word, sentence, line, paragraph, turn; then the smaller pair, then the earlier one), and the
-weakest boundary is merged first as long as the two together, with the overlap, are within the limit. A piece begins
-with the last ``overlap`` bytes of the one before, to the whole code point.
+weakest boundary is merged first as long as the two together, with the overlap, are within the limit; the first piece,
+which repeats nothing, has the whole limit. A piece begins with at most the last ``overlap`` bytes of the one before: from
+the first word that begins in them, or, if none does, from the first whole code point.
 
-Null texts and null contents have size 0; an item without a limit, or within it, is not split. A limit that the overlap
-would fill halves the overlap until a character fits. An item delivered twice is split once.
+Null texts and null contents have size 0; an item without a limit, or within it, is not split. Where the overlap would
+leave no room for a character, the item is cut with the largest overlap that does; ``overlap_used`` reports the one of
+each item. Under a limit of less than 4 bytes a code point may be larger than a piece. An item delivered twice is split once.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 from collections.abc import Iterator
@@ -25,15 +28,15 @@ _ENDS = re.compile(r"\n[^\S\n]*\n\s*|\n|(?<=[.!?…])[\"'”’)\]]*[^\S\n]+|(?<
 _WORDS = re.compile(r"\s*\S+\s*")
 
 
-def _atoms(text: str, most: int) -> list[tuple[int, int]]:
-    """(bytes, strength of the boundary behind) of each atom of one turn."""
+def _atoms(text: str, most: int, first: int) -> list[tuple[int, int]]:
+    """(bytes, strength of the boundary behind) of each atom of one turn; the first sentence may have ``first`` bytes."""
     out, begin = [], 0
     stops = [(m.end(), PARAGRAPH if m[0].count("\n") > 1 else LINE if "\n" in m[0] else SENTENCE) for m in _ENDS.finditer(text)]
     for end, kind in [*stops, (len(text), TURN)]:
         if end <= begin:
             continue
         size = len(text[begin:end].encode())
-        if size <= most:
+        if size <= (most if out else first):
             out.append((size, kind))
         else:
             words = [m[0] for m in _WORDS.finditer(text[begin:end])] or [text[begin:end]]
@@ -46,15 +49,18 @@ def _atoms(text: str, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def overlap_for(limit: int, overlap: int) -> int:
+    """The overlap, or the largest one that leaves room for a code point."""
+    return max(0, min(overlap, limit - 4))
+
+
 def pieces(turns: list[str], limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(from, to, overlap) in bytes of the joined turns: consecutive pieces, each with the bytes it repeats in front."""
-    longest = 4
-    while overlap and overlap + longest > limit:
-        overlap //= 2
+    overlap = overlap_for(limit, overlap)
     most = max(limit - overlap, 1)
-    atoms = []
+    atoms: list[tuple[int, int]] = []
     for t in turns:
-        if a := _atoms(t, most):
+        if a := _atoms(t, most, most if atoms else max(limit, 1)):
             atoms += a
             atoms[-1] = (atoms[-1][0], TURN)
     n = len(atoms)
@@ -65,7 +71,7 @@ def pieces(turns: list[str], limit: int, overlap: int) -> list[tuple[int, int, i
     while heap:
         _, both, i, vi, vj = heapq.heappop(heap)
         j = right[i]
-        if not alive[i] or j >= n or version[i] != vi or version[j] != vj or both > most:
+        if not alive[i] or j >= n or version[i] != vi or version[j] != vj or both > (most if i else max(limit, 1)):
             continue
         alive[j], size[i], kind[i], right[i] = False, both, kind[j], right[j]
         version[i] += 1
@@ -81,6 +87,9 @@ def pieces(turns: list[str], limit: int, overlap: int) -> list[tuple[int, int, i
             back = min(overlap, at)
             while back and raw[at - back] & 0xC0 == 0x80:
                 back -= 1
+            tail = raw[max(0, at - back - 1) : at]
+            if back and (m := re.search(rb"\s\S", tail)):  # a word that begins there, the first one also if it begins at once
+                back = len(tail) - m.start() - 1
             out.append((at - back, at + size[i], back))
             at += size[i]
     return out
@@ -96,10 +105,10 @@ def _split(overlap: int):
                 for t in turns:
                     edge.append(edge[-1] + len(t.encode()))
                 for no, (a, b, back) in enumerate(pieces(turns, int(limit), overlap)):
-                    first = max(i for i in range(len(turns)) if edge[i] <= a) if turns else 0
-                    last = min(i for i in range(len(turns)) if edge[i + 1] >= b)
-                    rows.append((kind, key, no, a, b, back, first, last, raw[a:b].decode()))
-            yield pd.DataFrame(rows, columns=["item_table", "item_id", "piece", "start", "stop", "overlap", "first_turn", "last_turn", "text"])
+                    first = min(bisect.bisect_right(edge, a) - 1, len(turns) - 1)
+                    last = max(bisect.bisect_left(edge, b) - 1, 0)
+                    rows.append((kind, key, no, a, b, back, overlap_for(int(limit), overlap), first, last, raw[a:b].decode()))
+            yield pd.DataFrame(rows, columns=["item_table", "item_id", "piece", "start", "stop", "overlap", "overlap_used", "first_turn", "last_turn", "text"])
 
     return run
 
@@ -120,6 +129,15 @@ def items_of(documents: DataFrame, conversations: DataFrame) -> DataFrame:
 
 
 def split_oversized(items: DataFrame, specs: DataFrame, overlap: int = 64) -> DataFrame:
-    """(item_table, item_id, piece, start, stop, overlap, first_turn, last_turn, text) of every item above its limit."""
-    schema = "item_table string, item_id bigint, piece int, start bigint, stop bigint, overlap int, first_turn int, last_turn int, text string"
+    """(item_table, item_id, piece, start, stop, overlap, overlap_used, first_turn, last_turn, text) of every item above its limit."""
+    schema = "item_table string, item_id bigint, piece int, start bigint, stop bigint, overlap int, overlap_used int, first_turn int, last_turn int, text string"
     return oversized(items, specs).select("item_table", "item_id", "limit", "turns").mapInPandas(_split(overlap), schema)
+
+
+def coverage(pieces: DataFrame, items: DataFrame, specs: DataFrame) -> DataFrame:
+    """(item_table, item_id, size, within) of every item that was split: the bytes its pieces hold without what they
+    repeat, and whether every piece is within the limit and begins where the one before ends."""
+    limits = oversized(items, specs).select("item_table", "item_id", "limit")
+    fresh = F.col("start") + F.col("overlap")
+    g = pieces.groupBy("item_table", "item_id").agg(F.sum(F.col("stop") - fresh).alias("size"), F.max(F.col("stop") - F.col("start")).alias("most"), F.max("stop").alias("stop"), F.min(fresh).alias("begin"))
+    return g.join(limits, ["item_table", "item_id"]).select("item_table", "item_id", "size", ((F.col("most") <= F.col("limit")) & (F.col("size") == F.col("stop")) & (F.col("begin") == 0)).alias("within"))
