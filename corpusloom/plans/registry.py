@@ -19,6 +19,7 @@ from corpusloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BLOCK, CHAT_MAX, SEED = 512, 2048, 42
+LATE = "3650 days"  # the tables are whole histories, read at once; a running stream would take days
 MERGES = 32_000 - 256  # the default vocabulary without its bytes
 
 
@@ -465,12 +466,12 @@ def bpe_merge_step(spark, sf_dir):
 
 @query
 def stream_parts(spark, sf_dir):
-    return ingest.once(ingest.part_counters(ingest.first_deliveries(ingest.read(spark, sf_dir, "conversations"))))
+    return ingest.once(ingest.part_counters(ingest.first_deliveries(ingest.read(spark, sf_dir, "conversations"), LATE)))
 
 
 @query
 def stream_weeks(spark, sf_dir):
-    got = ingest.once(ingest.document_counters(ingest.read(spark, sf_dir, "documents")))
+    got = ingest.once(ingest.document_counters(ingest.read(spark, sf_dir, "documents"), LATE))
     return got.select(F.unix_seconds("week").alias("week"), "n_docs", "n_bytes")
 
 
@@ -593,7 +594,7 @@ def human_counts(spark, sf_dir):
     n = table(spark, sf_dir, "rendered_batches").select("batch_id", "n_bytes").distinct()
     scaled = F.when(F.coalesce("n_bytes", F.lit(0)) == 0, "-")
     for scale, suffix in ((10**9, "B"), (10**6, "M"), (10**3, "K")):
-        scaled = scaled.when(F.col("n_bytes") >= scale, F.concat(F.format_string("%.2f", F.col("n_bytes") / scale), F.lit(suffix)))
+        scaled = scaled.when(F.col("n_bytes") >= scale, F.concat(F.replace(F.format_number(F.col("n_bytes") / scale, 2), F.lit(","), F.lit("")), F.lit(suffix)))
     return n.select("batch_id", "n_bytes", scaled.otherwise(F.col("n_bytes").cast("string")).alias("shown"))
 
 

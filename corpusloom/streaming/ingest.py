@@ -26,8 +26,9 @@ def once(df: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.table(name)
 
 
-def first_deliveries(conversations: DataFrame, late: str = "3650 days") -> DataFrame:
-    """Every conversation once; what was seen is kept as state until the watermark has passed it."""
+def first_deliveries(conversations: DataFrame, late: str) -> DataFrame:
+    """Every conversation once; what was seen is kept as state until the watermark, ``late`` behind the newest row, has
+    passed it, so ``late`` bounds the state and is the caller's to choose."""
     return conversations.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["conv_id"])
 
 
@@ -36,7 +37,7 @@ def part_counters(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("part_split").agg(F.count(F.lit(1)).alias("n_conversations"), F.sum(F.greatest(F.lit(0), F.coalesce(F.size("messages"), F.lit(0)))).alias("n_messages"))
 
 
-def document_counters(documents: DataFrame, every: str = "7 days", late: str = "3650 days") -> DataFrame:
+def document_counters(documents: DataFrame, late: str, every: str = "7 days") -> DataFrame:
     """(week, n_docs, n_bytes) by the time of loading, in tumbling windows; late rows count in their own window."""
     w = documents.where("loaded_at is not null").withWatermark("loaded_at", late).groupBy(F.window("loaded_at", every).alias("w"))
     return w.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n_bytes")).select(F.col("w.start").alias("week"), "n_docs", "n_bytes")
