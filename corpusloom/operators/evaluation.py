@@ -41,8 +41,10 @@ def mc_items(items: DataFrame, first: int = 200) -> DataFrame:
     return ok.select("item_id", "question", F.col("choices.text").alias("options"), (F.array_position("choices.label", F.col("answer_key")) - 1).cast("bigint").alias("answer"))
 
 
-def mc_accuracy(scored: DataFrame) -> DataFrame:
-    """One row from (item_id, answer, option, logp): items, and the share whose best option, the first of equals, is right."""
+def mc_accuracy(tokens: DataFrame) -> DataFrame:
+    """One row from (item_id, answer, option, logp), a row a token: items, and the share whose option of the best mean, the
+    first of equals, is right."""
+    scored = tokens.groupBy("item_id", "answer", "option").agg(F.avg("logp").alias("logp"))
     best = scored.groupBy("item_id", "answer").agg(F.max_by("option", F.struct("logp", -F.col("option"))).alias("said"))
     return best.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum((F.col("said") == F.col("answer")).cast("int")) / F.greatest(F.lit(1), F.count(F.lit(1))), 6).alias("accuracy"))
 

@@ -98,7 +98,7 @@ SQL["repetition_rate"] = f"""WITH {DOCS}, w AS (SELECT doc_id, list_filter(regex
 h AS (SELECT doc_id FROM (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY 1, 2) WHERE c >= 3 GROUP BY 1) SELECT round((SELECT count(*) FROM h) / greatest(1, count(*)), 6) AS rate, count(*) AS n FROM d"""
 MC = "mc AS (SELECT item_id, question, choices.text AS options, list_position(choices.label, answer_key)::BIGINT - 1 AS answer FROM eval_items WHERE list_contains(choices.label, answer_key) ORDER BY item_id LIMIT 200)"
 SQL["mc_items"] = f"WITH {MC} SELECT * FROM mc"
-SQL["mc_accuracy"] = f"WITH {MC}, o AS (SELECT item_id, answer, unnest(range(len(options))) AS o FROM mc), s AS (SELECT item_id, answer, o, -('0x' || substr(md5(concat_ws('|', item_id, o)), 1, 6))::BIGINT / 1e6 AS l FROM o), b AS (SELECT item_id, answer, o FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY l DESC, o) = 1) SELECT count(*) AS n, round(count(*) FILTER (o = answer) / greatest(1, count(*)), 6) AS accuracy FROM b"
+SQL["mc_accuracy"] = f"WITH {MC}, o AS (SELECT item_id, answer, options, unnest(range(len(options))) AS o FROM mc), k AS (SELECT item_id, answer, o, unnest(range(1, octet_length(encode(options[o + 1])) + 1)) AS at_ FROM o), s AS (SELECT item_id, answer, o, avg(-('0x' || substr(md5(concat_ws('|', item_id, o, at_)), 1, 6))::BIGINT) AS l FROM k GROUP BY 1, 2, 3), b AS (SELECT item_id, answer, o FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY l DESC, o) = 1) SELECT count(*) AS n, round(count(*) FILTER (o = answer) / greatest(1, count(*)), 6) AS accuracy FROM b"
 SQL["top_p_filter"] = """WITH n AS (SELECT dataset_name AS row_id, lang AS token, count(*) AS n FROM documents WHERE lang IS NOT NULL AND dataset_name IS NOT NULL GROUP BY 1, 2), p AS (SELECT row_id, token, n / sum(n) OVER (PARTITION BY row_id) AS p FROM n),
 k AS (SELECT row_id, token, p, sum(p) OVER (PARTITION BY row_id ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) - p AS b FROM p) SELECT row_id, token, round(p / sum(p) OVER (PARTITION BY row_id), 6) AS p FROM k WHERE b < 0.9"""
 SQL["decode_batches"] = f"""WITH {TURN}, pr AS (SELECT conv_id, octet_length(encode('<|endoftext|>' || string_agg('<|im_start|>' || role || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY i) || '<|im_start|>assistant' || chr(10)))::BIGINT AS n_tokens FROM u GROUP BY 1),
@@ -151,6 +151,7 @@ SQL["window_targets"] = f"""WITH RECURSIVE {EXAMPLES}{ARRAYS}, lay AS (SELECT id
 fl AS (SELECT off + k AS pos, ids[k + 1] AS t, tg[k + 1] AS g, k = 0 AS s FROM (SELECT off, ids, tg, unnest(range(len(ids))) AS k FROM lay)),
 wn AS (SELECT pos // 512 AS win, pos, t, s, lead(t) OVER (ORDER BY pos) AS y, lead(g) OVER (ORDER BY pos) AS yg, min(CASE WHEN s THEN pos END) OVER (PARTITION BY pos // 512) AS head, sum(s::INT) OVER (PARTITION BY pos // 512 ORDER BY pos) AS seg FROM fl), tp AS (SELECT max(pos) // 512 AS nw FROM fl)
 SELECT win AS "window", md5(string_agg(t::VARCHAR, ',' ORDER BY pos)) AS x_md5, md5(string_agg((CASE WHEN yg = 1 AND pos >= head THEN y ELSE -100 END)::VARCHAR, ',' ORDER BY pos)) AS y_md5, md5(string_agg(seg::VARCHAR, ',' ORDER BY pos)) AS seg_md5 FROM wn, tp WHERE win < nw GROUP BY 1"""
+SQL["loss_share"] = SQL["window_targets"].split("SELECT win AS ")[0] + "SELECT count(DISTINCT win) AS n_windows, round(count(*) FILTER (yg = 1 AND pos >= head) / count(*), 6) AS frac_loss_tokens FROM wn, tp WHERE win < nw"
 SQL["batch_merge"] = """WITH b AS (SELECT * FROM rendered_batches QUALIFY row_number() OVER (PARTITION BY batch_id, worker ORDER BY received_at NULLS LAST, finished_at NULLS LAST) = 1)
 SELECT count(*) AS n_batches, coalesce(sum(n_examples), 0)::BIGINT AS n_examples, coalesce(sum(n_dropped), 0)::BIGINT AS n_dropped, coalesce(sum(n_dropped_tokens), 0)::BIGINT AS n_dropped_tokens, coalesce(sum(n_bytes), 0)::BIGINT AS n_bytes, coalesce(sum(n_pad), 0)::BIGINT AS n_pad, coalesce(sum(n_truncated), 0)::BIGINT AS n_truncated
 FROM b WHERE coalesce(n_examples, 0) > 0 OR coalesce(n_dropped, 0) > 0"""
@@ -173,3 +174,5 @@ h AS (SELECT doc_id FROM (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY 1,
 SELECT count(*) AS n, round(count(*) FILTER (k < 256) / count(*), 6) AS stopped, round(count(*) FILTER (k >= 256) / count(*), 6) AS hit_cap, round(sum(least(k, 256)) / count(*), 6) AS mean_len, round(count(*) FILTER (contains(text, '<|im_start|>')) / count(*), 6) AS stray_role, round(count(*) FILTER (contains(text, '<|endoftext|>')) / count(*), 6) AS relapsed_to_eot, round((SELECT count(*) FROM h) / count(*), 6) AS repetition FROM s"""
 SQL["tokenizer_ids"] = f"SELECT 288::BIGINT AS n_vocab, 0::BIGINT AS sep_id, 2::BIGINT AS end_id, {FINGER} AS fingerprint"
 SQL["shard_scan"] = "SELECT doc_id, lang FROM documents"
+SQL["shard_concat"] = f"WITH {POOL} SELECT doc_id, rank % 8 AS shard, row_number() OVER (ORDER BY rank % 8, rank) - 1 AS pos FROM laid"
+SQL["notebook_split"] = f"WITH {POOL} SELECT doc_id, CASE WHEN rank < 10000 THEN 'train' ELSE 'held_out' END AS part FROM laid WHERE rank < 10200"

@@ -15,7 +15,7 @@ from corpusloom.operators import bpe, chat, evaluation, packing, stream, tokeniz
 from corpusloom.operators.ranking import spread_rank
 from corpusloom.session import ensure_checkpoint_dir
 from corpusloom.sources import read_parts, store, table
-from corpusloom.streaming import ingest
+from corpusloom.streaming import ingest, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BLOCK, CHAT_MAX, SEED = 512, 2048, 42
@@ -361,10 +361,11 @@ def mc_items(spark, sf_dir):
 
 @query
 def mc_accuracy(spark, sf_dir):
-    """Options scored by a digest in place of a model's mean token log-probability."""
+    """The bytes of an option scored by a digest in place of a model's token log-probability."""
     items = evaluation.mc_items(table(spark, sf_dir, "eval_items"))
     options = items.select("item_id", "answer", F.posexplode("options").alias("option", "text"))
-    scored = options.select("item_id", "answer", F.col("option").cast("bigint").alias("option"), (-F.conv(F.substring(F.md5(F.concat_ws("|", "item_id", "option")), 1, 6), 16, 10).cast("bigint") / 1e6).alias("logp"))
+    each = options.select("item_id", "answer", F.col("option").cast("bigint").alias("option"), F.explode(F.sequence(F.lit(1), F.octet_length("text"))).alias("at"))
+    scored = each.select("item_id", "answer", "option", (-F.conv(F.substring(F.md5(F.concat_ws("|", "item_id", "option", "at")), 1, 6), 16, 10).cast("bigint")).alias("logp"))
     return evaluation.mc_accuracy(scored)
 
 
@@ -627,3 +628,39 @@ def tokenizer_ids(spark, sf_dir):
 def shard_scan(spark, sf_dir):
     """An explicit list of files in place of a table, projected."""
     return read_parts(spark, [f"{sf_dir.rstrip('/')}/documents.parquet"], ["doc_id", "lang"])
+
+
+@query
+def loss_share(spark, sf_dir):
+    """Windows of the flat chat stream, and the share of their next tokens that are learnt."""
+    a = tokens.chat_arrays(_turns(spark, sf_dir), CHAT_MAX)
+    laid = stream.ordered(a.select("conv_id", "chunk", F.size("ids").alias("n_tokens")), stream.digest("chat", "conv_id", "chunk"), F.col("n_tokens"), ties=("conv_id", "chunk"))
+    s = tokens.masked_samples(a.join(laid.select("conv_id", "chunk", "tok_offset"), ["conv_id", "chunk"]), BLOCK)
+    learnt = F.size(F.filter("y", lambda t: t != tokens.MASKED))
+    return s.agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.sum(learnt) / (F.count(F.lit(1)) * BLOCK), 6).alias("frac_loss_tokens"))
+
+
+@query
+def shard_concat(spark, sf_dir, shards: int = 8):
+    """Documents dealt to shards in turn, and the shards' outputs one after another; places follow from the sizes of the
+    shards before, so nothing is sorted again."""
+    n = pool_order(spark, sf_dir).count()
+    before = [0]
+    for k in range(shards):
+        before.append(before[-1] + (n - k + shards - 1) // shards)
+    shard = F.col("rank") % shards
+    base = F.element_at(F.array(*(F.lit(x) for x in before)), (shard + 1).cast("int"))
+    return pool_order(spark, sf_dir).select("doc_id", shard.alias("shard"), (base + F.floor(F.col("rank") / shards)).cast("bigint").alias("pos"))
+
+
+@query
+def notebook_split(spark, sf_dir, train: int = 10_000, held_out: int = 200):
+    """The small split of an interactive run: documents to train on, and a few behind them to test."""
+    r = pool_order(spark, sf_dir).where(F.col("rank") < train + held_out)
+    return r.select("doc_id", F.when(F.col("rank") < train, "train").otherwise("held_out").alias("part"))
+
+
+@query
+def chat_sessions(spark, sf_dir):
+    """Messages of all conversations as a stream into sessions that keep what fits a window."""
+    return session.turns_kept(session.messages(ingest.read(spark, sf_dir, "conversations")), CHAT_MAX, 256)

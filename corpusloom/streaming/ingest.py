@@ -26,6 +26,16 @@ def once(df: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.table(name)
 
 
+def once_to_files(df: DataFrame) -> DataFrame:
+    """What a stream appends of all that is there now, written as files in the shared folder and read from there, for
+    results that grow with the input."""
+    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
+    at = f"{ensure_checkpoint_dir(spark)}/{name}"
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/rows")
+
+
 def first_deliveries(conversations: DataFrame, late: str) -> DataFrame:
     """Every conversation once; what was seen is kept as state until the watermark, ``late`` behind the newest row, has
     passed it, so ``late`` bounds the state and is the caller's to choose."""

@@ -246,3 +246,23 @@ def test_bands():
 def test_first_delivery_has_no_ties(spark):
     c = turns(spark, [("user", "a")]).unionAll(spark.createDataFrame([(0, [("user", "b")], None)], MESSAGES))
     assert len({chat.deduplicated(x).first()["messages"][0]["content"] for x in (c, c.orderBy(F.desc("messages")), c.repartition(3))}) == 1
+
+
+def test_sessions_forget_from_the_front(spark):
+    from corpusloom.streaming import session
+
+    assert session.trimmed([50, 50, 10], 60, 10) == [10] and session.trimmed([400], 60, 10) == [400] and session.trimmed([], 60, 10) == []
+
+    class State:
+        exists, get = False, None
+
+        def update(self, v):
+            self.get, self.exists = v, True
+
+    import pandas as pd
+
+    state, run = State(), session.session(100, 10)
+    rows = lambda *m: iter([pd.DataFrame([(7, i, r, c) for i, (r, c) in enumerate(m)], columns=["received", "at", "role", "content"])])
+    assert next(run((1,), rows(("user", "hi"), ("assistant", "yo")), state)).iloc[0].tolist() == [1, 2, 2, 10 + 15 + 12]
+    assert next(run((1,), rows(("user", "/reset"), ("user", "hi")), state)).iloc[0].tolist() == [1, 3, 1, 10 + 12]
+    assert next(run((1,), rows(("user", "/quit"), ("user", "more")), state)).iloc[0].tolist() == [1, 3, 1, 10 + 12]
