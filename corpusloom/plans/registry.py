@@ -137,7 +137,7 @@ def chat_meta(spark, sf_dir):
 
 @query
 def render_pretrain(spark, sf_dir):
-    return stream.byte_ids(_docs(spark, sf_dir)).select("doc_id", F.size("ids").cast("bigint").alias("n"), F.md5(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))).alias("ids_md5"))
+    return stream.byte_ids(_docs(spark, sf_dir)).select("doc_id", F.size("ids").cast("bigint").alias("n"), _md5("ids").alias("ids_md5"))
 
 
 def _lengths(spark, sf_dir):
@@ -213,7 +213,7 @@ def _samples(spark, sf_dir):
 
 
 def _md5(c: str):
-    return F.md5(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))))
+    return F.md5(F.concat_ws(",", F.col(c).cast("array<string>")))
 
 
 @query
