@@ -401,6 +401,11 @@ def synthetic(base: list[tuple[str, str, str]], seed: int = 5, part: int | None
     return rows, np.array(y, np.float32)
 
 
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Features of both, one after the other."""
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2][1:] + a[2][-1]]), np.vstack([a[3], b[3]])
+
+
 class Model:
     def __init__(self, sample: list[tuple[str | None, str | None, str | None]]):
         """``sample``: (language, question, answer) rows as they are."""
@@ -436,23 +441,24 @@ class Model:
             base = [x for k, x in enumerate(base) if not bad[k % 2][k // 2]]
         held = len(base) // 5
         # thresholds by a fit that knows neither the held-out pairs nor half of the ways to decline
-        rows, y = synthetic(base[held:], part=0)
-        calibrated = Linear().fit(self.featurizer(rows), y, 6)
+        rows, y0 = synthetic(base[held:], part=0)
+        x0 = self.featurizer(rows)
+        calibrated = Linear().fit(x0, y0, 6)
         rows, y = synthetic(base[:held], seed=9, part=1)
-        s = calibrated.score(self.featurizer(rows))
+        x = self.featurizer(rows)
+        s = calibrated.score(x)
         self.held_out = {}
         for k, label in enumerate(LABELS):
-            # fewest errors over the held-out rows, a false alarm weighing twice, as sound answers outnumber defects, but for refusals, of which the sound sample holds some; the middle of the best stretch
+            # fewest errors over the held-out rows, a false alarm weighing twice, as sound answers outnumber defects, but half for refusals, which may be in words that no fit has seen; the middle of the best stretch
             order = np.argsort(s[:, k])
             truth = y[order, k] > 0
-            cost = np.cumsum(truth) + (1.0 if label == "refusal" else 2.0) * (np.sum(~truth) - np.cumsum(~truth))
+            cost = np.cumsum(truth) + (0.5 if label == "refusal" else 2.0) * (np.sum(~truth) - np.cumsum(~truth))
             best = np.flatnonzero(cost <= cost.min())
             lo, hi = best[0], best[-1] + 1
             self.threshold[k] = (s[order[lo], k] + s[order[min(hi, len(order) - 1)], k]) / 2
             said = s[:, k] > self.threshold[k]
             self.held_out[label] = (float((said & (y[:, k] > 0)).sum() / max(1, said.sum())), float((said & (y[:, k] > 0)).sum() / max(1, (y[:, k] > 0).sum())))
-        rows, y = synthetic(base)
-        self.linear = Linear().fit(self.featurizer(rows), y, 6)
+        self.linear = Linear().fit(_joined(x0, x), np.concatenate([y0, y]), 6)
 
     def defects(self, rows: list[tuple[str | None, str | None]]) -> list[str | None]:
         out: list[str | None] = [None if readable(a) else "empty" for _, a in rows]
