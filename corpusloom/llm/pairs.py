@@ -7,7 +7,7 @@ long answers do not have). It is fitted on the driver from at most ``fit_pairs``
 ``fit_conversations`` conversations, both taken by a digest: the answers as they are, with sound variations (short answers
 without a full stop, sentences said back as asked, answers in a language that was asked for, a regret followed by help,
 answers swapped for others of the same language, which are no defect), and with defects put in (cut off, copied, swapped
-for one in another language, refused in words put together by ``phrases``, which takes none from the data). Before that, answers of
+for one in another language, refused in words put together by ``phrases``, which has no phrase of the tables). Before that, answers of
 the sample that a fit on its other half holds to be defective are left out. Thresholds are calibrated on a held-out part
 and on ways to decline that the fit for it has not seen: the score that separates synthetic defects and sound answers with the fewest errors. Scoring covers every pair of every
 conversation.

@@ -1,5 +1,6 @@
 """Parts from which synthetic defects are put together: how one declines, how one regrets and then helps, how a copy is
-labelled. They are general ways of speaking, written for this purpose; none is taken from a data set."""
+labelled. They are general ways of speaking, written for this purpose; no whole phrase of the test tables is among them, short runs
+of common words are in both."""
 
 from __future__ import annotations
 
