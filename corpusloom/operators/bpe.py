@@ -2,10 +2,13 @@
 
 A vocabulary is 256 bytes and one id per merge, in order. Ties between pairs go to the smaller left, then right id.
 
-Distinct chunks of up to ``LOCAL`` bytes are merged on the driver: every token knows its neighbours, every pair the
-positions where it began, and a queue of counts gives the next pair, so that a merge costs what it changes. More than that
-stays on the cluster, in rounds: pairs are counted with a partial count in every partition, and as many of the most
-frequent ones as cannot influence each other are merged at once. Both give the same merges; no chunk is left out.
+Distinct chunks lie as tokens in a few arrays. Up to ``LOCAL`` tokens are merged on the driver: every pair knows the places
+where it began, a queue of counts gives the next pair, and a merge costs what it changes. More than that stays on the
+cluster, in rounds: pairs are counted in every partition, and as many of the most frequent ones as cannot influence each
+other are merged at once, until what can still be merged fits the driver. Both give the same merges; no chunk is left out.
+
+Pairs that are certainly never merged are not kept. As many distinct chunks as there are merges, each ``least`` times or
+more, need a token each before a pair below ``least`` has its turn; and no pair ever becomes more frequent.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from corpusloom.session import cut
 
 CHUNK = rf"{SPACE}*[^\s\x1c-\x1f\x85\p{{Z}}]+|{SPACE}+"
 _CHUNK = re.compile(r"\s*\S+|\s+")
-LOCAL = 64_000_000  # bytes of distinct chunks that are merged on the driver
+LOCAL = 64_000_000  # tokens that are merged on the driver, six bytes each
+SHIFT, PART = 20, 21  # bits of a token in a pair's code; of a place in a part that is sorted at once
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
@@ -57,10 +61,8 @@ def replaced(flat: np.ndarray, pair: tuple[int, int], new: int) -> np.ndarray:
     """Which positions of a flat token array hold the pair, as ``new``; the token behind is marked -2. Of overlapping
     places (a pair of equal tokens) every second one of a run counts, from its left end."""
     hit = np.flatnonzero((flat[:-1] == pair[0]) & (flat[1:] == pair[1]))
-    if pair[0] == pair[1] and len(hit):
-        begin = np.r_[True, np.diff(hit) > 1]
-        run = np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+    if pair[0] == pair[1]:
+        hit = hit[_every_second(hit)]
     out = flat.copy()
     out[hit], out[hit + 1] = new, -2
     return out
@@ -72,136 +74,316 @@ def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return x[x != -2].tolist()
 
 
-class _Positions:
-    """Tokens of all chunks on one line; 0 stands between chunks, bytes are 1 to 256, and a merge is its id plus one."""
-
-    def __init__(self, chunks: list[tuple[bytes, int]]):
-        line = np.frombuffer(b"".join(c + b"\0" for c, _ in chunks), np.uint8).astype(np.int64) + 1
-        ends = np.cumsum([len(c) + 1 for c, _ in chunks]) - 1
-        line[ends] = 0
-        size = len(line)
-        weight = np.repeat([n for _, n in chunks], np.diff(ends, prepend=-1))
-        self.token, self.weight = line.tolist(), weight.tolist()
-        self.after, self.before = list(range(1, size + 1)), list(range(-1, size - 1))
-        self.total: dict[tuple[int, int], int] = {}
-        self.places: dict[tuple[int, int], list[int]] = {}
-        both = np.flatnonzero((line[:-1] > 0) & (line[1:] > 0)) if size > 1 else np.zeros(0, np.int64)
-        code = line[both] * 512 + line[both + 1]
-        order = np.argsort(code, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0]) if len(code) else np.zeros(0, np.int64)
-        for lo, hi in zip(first, [*first[1:], len(order)]):
-            at = both[order[lo:hi]]
-            pair = (int(line[at[0]]), int(line[at[0] + 1]))
-            self.places[pair], self.total[pair] = at.tolist(), int(weight[at].sum())
-        self.queue = [(-n, *p) for p, n in self.total.items()]
+def _first(code: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
+
+
+def _every_second(hit: np.ndarray, wide: int = 1) -> np.ndarray:
+    """Of places where a pair of equal tokens lies, every second one of a run, from its left end."""
+    run = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) > wide], np.arange(len(hit)), 0)) if len(hit) else hit
+    return (np.arange(len(hit)) - run) % 2 == 0
+
+
+def _counted(token: np.ndarray, ends: np.ndarray, weights: np.ndarray, border: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By parts of an array: places of pairs, sorted by pair, and of every pair its code, first of its places and count."""
+    step = 1 << PART
+    for lo in range(0, len(token) - 1, step):
+        x, y = token[lo : lo + step], token[lo + 1 : lo + step + 1]
+        at = np.flatnonzero((x[: len(y)] != border) & (y != border))
+        key = (x[at].astype(np.int64) << SHIFT | y[at]) << PART | at
+        key.sort()
+        at, code = (key & step - 1) + lo, key >> PART
+        first = _first(code)
+        yield at, code[first], first, _sums(weights[np.searchsorted(ends, at, "right")], first)
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Codes of all parts, and the sums of the columns beside them."""
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    code, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    out = [np.zeros(len(code), np.int64) for _ in parts[0][1:]]
+    for k, x in enumerate(out):
+        np.add.at(x, where, np.concatenate([p[k + 1] for p in parts]))
+    return code, *out
+
+
+class _Line:
+    """All chunks in one array with a border before, between and behind them. A token stands at the first and the last of
+    its places, so the one before place i is at i - 1 and the one behind it is where its size says: no links are kept.
+    ``ends`` and ``weights`` say up to which place a chunk counts how often. Pairs of fewer than ``least`` are left out with
+    their places: a pair never grows, nor do pairs made from it become more frequent than it is."""
+
+    def __init__(self, token: np.ndarray, ends: np.ndarray, weights: np.ndarray, border: int, least: int):
+        self.token, self.ends, self.weights, self.border, self.least = token, ends, weights, border, max(1, least)
+        self.size = np.ones(border, np.int32)
+        self.total: dict[int, int] = {}
+        self.places: dict[int, list[np.ndarray]] = {}
+        parts = [(at.astype(np.int32 if len(token) < 1 << 31 else np.int64), *rest) for at, *rest in _counted(token, ends, weights, border)]
+        code, total = _added([(p[1], p[3]) for p in parts])[:2]
+        self.total = dict(zip(code[total >= self.least].tolist(), total[total >= self.least].tolist()))
+        parts.reverse()
+        while parts:
+            at, code, first, _ = parts.pop()
+            for c, lo, hi in zip(code.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+                if c in self.total:
+                    self.places.setdefault(c, []).append(at[lo:hi].copy())
+        self.queue = [(-n, c) for c, n in self.total.items()]
         heapq.heapify(self.queue)
 
-    def best(self) -> tuple[int, int] | None:
+    def _weight(self, at: np.ndarray) -> np.ndarray:
+        return self.weights[np.searchsorted(self.ends, at, "right")]
+
+    def best(self) -> int | None:
         while self.queue:
-            n, *pair = self.queue[0]
-            now = self.total.get(tuple(pair), 0)
-            if now == -n and now > 0:
-                return tuple(pair)
+            n, code = self.queue[0]
+            now = self.total.get(code, 0)
+            if now == -n:
+                return code
             heapq.heappop(self.queue)
-            if now > 0:
-                heapq.heappush(self.queue, (-now, *pair))
+            if now:
+                heapq.heappush(self.queue, (-now, code))
         return None
 
-    def join(self, pair: tuple[int, int], new: int) -> None:
-        token, after, before, weight, total, places = self.token, self.after, self.before, self.weight, self.total, self.places
-        touched = set()
-        for i in sorted(set(places.pop(pair))):
-            j = after[i]
-            if token[i] != pair[0] or j >= len(token) or token[j] != pair[1]:
-                continue
-            h, k, w = before[i], after[j], weight[i]
-            total[pair] -= w
-            if h >= 0 and token[h] > 0:
-                total[token[h], pair[0]] -= w
-                total[token[h], new] = total.get((token[h], new), 0) + w
-                places.setdefault((token[h], new), []).append(h)
-                touched.add((token[h], new))
-            if k < len(token) and token[k] > 0:
-                total[pair[1], token[k]] -= w
-                total[new, token[k]] = total.get((new, token[k]), 0) + w
-                places.setdefault((new, token[k]), []).append(i)
-                touched.add((new, token[k]))
-            token[i], token[j], after[i] = new, -1, k
-            if k < len(token):
-                before[k] = i
-        for p in touched:
-            heapq.heappush(self.queue, (-total[p], *p))
-
-
-def _train_here(chunks: list[tuple[bytes, int]], merges: int) -> list[tuple[int, int]]:
-    if not chunks:
-        return []
-    line, out = _Positions(chunks), []
-    while len(out) < merges and (pair := line.best()) is not None:
-        line.join(pair, 257 + len(out))
-        out.append((pair[0] - 1, pair[1] - 1))
-    return out
+    def _less(self, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> None:
+        code = left.astype(np.int64) << SHIFT | right
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = _first(code)
+        for c, n in zip(code[first].tolist(), _sums(weight[order], first).tolist()):
+            if (now := self.total.get(c)) is not None:
+                if now - n >= self.least:
+                    self.total[c] = now - n
+                else:
+                    del self.total[c], self.places[c]
+
+    def _more(self, left: np.ndarray, right: np.ndarray, weight: np.ndarray, at: np.ndarray) -> None:
+        code = left.astype(np.int64) << SHIFT | right
+        order = np.argsort(code, kind="stable")
+        code, at = code[order], at[order]
+        first = _first(code)
+        for c, n, lo, hi in zip(code[first].tolist(), _sums(weight[order], first).tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+            if n >= self.least:
+                self.total[c] = n
+                self.places[c] = [at[lo:hi].copy()]
+                heapq.heappush(self.queue, (-n, c))
+
+    def join(self, code: int, new: int) -> None:
+        a, b = code >> SHIFT, code & (1 << SHIFT) - 1
+        token, size, border = self.token, self.size, self.border
+        del self.total[code]
+        held = self.places.pop(code)
+        i = held[0] if len(held) == 1 else np.concatenate(held)
+        wide = int(size[a])
+        i = i[token[i] == a]
+        i = np.sort(i[token[i + wide] == b])
+        if a == b:
+            i = i[_every_second(i, wide)]
+        size[new] = wide + size[b]
+        j, k = i + wide, i + int(size[new])
+        weight, left, right = self._weight(i), token[i - 1], token[k]
+        token[j - 1] = token[j] = border + 1  # no token
+        token[i] = token[k - 1] = new
+        alone = (left != border) & (token[i - 1] != new)  # beside another new one, that one's right side counts
+        inside = right != border
+        before, behind = left[alone], right[inside]
+        self._less(before, np.full(len(before), a, token.dtype), weight[alone])
+        self._less(np.full(len(behind), b, token.dtype), behind, weight[inside])
+        self._more(before, np.full(len(before), new, token.dtype), weight[alone], i[alone] - size[before])
+        self._more(np.full(len(behind), new, token.dtype), token[k[inside]], weight[inside], i[inside])
 
 
 def _apart(counted: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Of pairs (count, left, right), most frequent first, those that may be merged in one round: none shares a token
-    with another or with a pair of as many, so no merge changes what the next one would be."""
-    taken: set[int] = set()
-    stop = next((k for k, (_, a, b) in enumerate(counted) if {a, b} & taken or taken.update((a, b))), len(counted))
-    least = counted[stop][0] if stop < len(counted) else 0
-    return [(a, b) for k, (n, a, b) in enumerate(counted[:stop]) if k == 0 or n > least]
-
-
-def _train_apart(chunks: DataFrame, merges: int, wide: int = 2000, keep: int = 50) -> list[tuple[int, int]]:
-    """Rounds on the cluster. A round's merges are applied where the chunks lie; every ``keep`` merges they are written."""
-
-    def applied(batch: list[tuple[int, int, int]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column("ids")
-                flat, off = ids.values.to_numpy().astype(np.int64)[ids.offsets[0].as_py() : ids.offsets[-1].as_py()], ids.offsets.to_numpy() - ids.offsets[0].as_py()
-                row = np.repeat(np.arange(b.num_rows), np.diff(off))
-                for a, c, new in batch:
-                    line = np.insert(flat, np.searchsorted(row, np.arange(1, b.num_rows)), -1)  # no pair reaches over a border
-                    line = replaced(line, (a, c), new) if len(line) > 1 else line
-                    line = line[line != -1]
-                    flat, row = line[line != -2], row[line != -2]
-                bound = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bound), pa.array(flat.astype(np.int32))), b.column("n")], ["ids", "n"])
-
-        return run
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (count, left, right), most frequent first, those that may be merged in one round: none begins with a token
+    that another ends with. A merge then takes nothing from the next ones, and what it makes comes behind the first pair that
+    is left out, which it was made from. Of a pair of equal tokens half as many new ones can remain."""
+    lefts, rights, floor, out = set(), set(), 0, []
+    for n, a, b in sorted(counted, key=lambda p: (-p[0], p[1:])):
+        if a in rights or b in lefts or n <= floor:
+            break
+        out.append((a, b))
+        lefts.add(a)
+        rights.add(b)
+        floor = max(floor, n / 2) if a == b else floor
+    return out
+
+
+def _merge_all(token: np.ndarray, ends: np.ndarray, batch: list[tuple[int, int, int]], border: int) -> tuple[np.ndarray, np.ndarray]:
+    """The array with pairs of one round (left, right, new) replaced."""
+    left, right = np.zeros(border + 1, bool), np.zeros(border + 1, bool)
+    left[[p[0] for p in batch]] = right[[p[1] for p in batch]] = True
+    codes, new = map(np.array, zip(*sorted((a << SHIFT | b, c) for a, b, c in batch)))
+    hit = np.flatnonzero(left[token[:-1]] & right[token[1:]])
+    code = token[hit].astype(np.int64) << SHIFT | token[hit + 1]
+    which = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    good = codes[which] == code
+    for a, b, _ in batch:
+        if a == b:
+            same = np.flatnonzero(good & (code == (a << SHIFT | b)))
+            good[same] = _every_second(hit[same])
+    hit, which = hit[good], which[good]
+    out, keep = token.copy(), np.ones(len(token), bool)
+    out[hit], keep[hit + 1] = new[which], False
+    return out[keep], ends - np.searchsorted(hit + 1, ends)
+
+
+def _shrunk(token: np.ndarray, ends: np.ndarray, live: np.ndarray, border: int) -> tuple[np.ndarray, np.ndarray]:
+    """The array without tokens that are in no pair of ``live``, and with borders where a pair is in none."""
+    code = token[:-1].astype(np.int64) << SHIFT | token[1:]
+    held = np.zeros(len(token) + 1, bool)  # the pair that ends at a place, with one more behind
+    if len(live):
+        held[1:-1] = live[np.minimum(np.searchsorted(live, code), len(live) - 1)] == code
+    keep = held[:-1] | held[1:]
+    close = held[:-1] & ~held[1:]  # a border follows
+    many = keep.astype(np.int8) + close
+    keep_at = np.cumsum(many) - many + 1
+    out = np.full(int(many.sum()) + 1, border, token.dtype)
+    out[keep_at[keep]] = token[keep]
+    return out, 1 + np.concatenate([[0], np.cumsum(many)])[ends]
+
+
+_STATE = "token binary, ends binary, weights binary"
+
+
+def _unpacked(b: pa.RecordBatch, dtype: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for x, e, w in zip(*(b.column(c).to_pylist() for c in ("token", "ends", "weights"))):
+        yield np.frombuffer(x, dtype), np.frombuffer(e, np.int64), np.frombuffer(w, np.int64)
+
+
+def _packed(columns: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*columns)], names)
+
+
+def _lines(chunks: DataFrame, border: int, dtype: type) -> DataFrame:
+    """Chunks of two bytes and more as arrays of about 4M tokens, with the runs of equal counts and their numbers of chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            n = np.concatenate([x[2] for x in held])
+            ends = 1 + np.cumsum(np.concatenate([x[1] for x in held]))
+            last = np.flatnonzero(np.r_[n[1:] != n[:-1], True])
+            token = np.concatenate([np.full(1, border, dtype), *(x[0] for x in held)])
+            return _packed([(token, ends[last], n[last], np.diff(last, prepend=-1).astype(np.int64))], ["token", "ends", "weights", "rows"])
+
         for b in batches:
-            ids = b.column("ids")
-            flat = ids.values.to_numpy().astype(np.int64)[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
-            row = np.repeat(np.arange(b.num_rows), np.diff(ids.offsets.to_numpy()))
-            inside = row[:-1] == row[1:]
-            code, at = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
-            n = np.bincount(at, b.column("n").to_numpy()[row[:-1][inside]], len(code)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["left", "right", "n"])
+            raw = [c.encode() for c in b.column("chunk").to_pylist()]
+            size = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
+            if len(raw):
+                token = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8).astype(dtype)
+                token[np.cumsum(size) - 1] = border
+                held.append((token, size, b.column("n").to_numpy()))
+            if sum(len(x[0]) for x in held) >= 1 << 22:
+                yield made()
+                held.clear()
+        if held:
+            yield made()
+
+    return chunks.sortWithinPartitions("n").mapInArrow(run, f"{_STATE}, rows binary")
+
+
+def _least(lines: DataFrame, merges: int) -> tuple[int, int]:
+    """How many tokens there are, and a count that no pair to be merged is below: that of the chunk whose place by count is
+    the number of merges, 1 if there are not so many."""
+    total: dict[int, int] = {}
+    tokens = 0
+    for r in lines.select("weights", "rows", F.octet_length("token").alias("size")).toLocalIterator():
+        tokens += r["size"]
+        for n, k in zip(np.frombuffer(r["weights"], np.int64).tolist(), np.frombuffer(r["rows"], np.int64).tolist()):
+            total[n] = total.get(n, 0) + k
+    for n in sorted(total, reverse=True):
+        merges -= total[n]
+        if merges <= 0:
+            return tokens, n
+    return tokens, 1
+
+
+def _train_here(state: DataFrame, tokens: int, out: list[tuple[int, int]], merges: int, border: int, dtype: type, least: int) -> list[tuple[int, int]]:
+    """From merge ``len(out)`` on; ``tokens`` is the length of all arrays."""
+    token, ends, weights, n = np.full(tokens + 1, border, dtype), [], [], 0
+    for r in state.toLocalIterator():
+        x = np.frombuffer(r["token"], dtype)
+        token[n : n + len(x)] = x
+        ends.append(np.frombuffer(r["ends"], np.int64) + n)
+        weights.append(np.frombuffer(r["weights"], np.int64))
+        n += len(x)
+    if not n:
+        return out
+    line, out = _Line(token[: n + 1], np.concatenate(ends), np.concatenate(weights), border, least), [*out]
+    while len(out) < merges and (code := line.best()) is not None:
+        line.join(code, 256 + len(out))
+        out.append((code >> SHIFT, code & (1 << SHIFT) - 1))
+    return out
+
+
+def _train_apart(state: DataFrame, merges: int, border: int, dtype: type, least: int, local: int, wide: int = 1000, keep: int = 16) -> tuple[DataFrame, int, list[tuple[int, int]]]:
+    """Rounds on the cluster, until what can still be merged has ``local`` tokens or fewer. A round's merges are applied
+    where the arrays lie; every ``keep`` rounds they are written, without the tokens that no merge can reach any more."""
+
+    def counted(batches: list[list[tuple[int, int, int]]]):
+        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: list[tuple[np.ndarray, ...]] = []
+            for b in data:
+                for token, ends, weights in _unpacked(b, dtype):
+                    for batch in batches:
+                        token, ends = _merge_all(token, ends, batch, border)
+                    parts += [(code, n, np.diff(first, append=len(at))) for at, code, first, n in _counted(token, ends, weights, border)]
+                    parts = [_added(parts)]
+            code, n, places = _added(parts)
+            for lo in range(0, len(code), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (code, n, places)], ["code", "n", "places"])
+
+        return state.mapInArrow(run, "code bigint, n bigint, places bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("places").alias("places")).where(F.col("n") >= least)
 
-    to_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("chunk")), lambda i: F.conv(F.substring(F.hex(F.encode("chunk", "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    state, out, since = cut(chunks.select(to_bytes.alias("ids"), "n")), [], 0
+    def written(batches: list[list[tuple[int, int, int]]], live: np.ndarray) -> DataFrame:
+        sent = state.sparkSession.sparkContext.broadcast(live)
+
+        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in data:
+                for token, ends, weights in _unpacked(b, dtype):
+                    for batch in batches:
+                        token, ends = _merge_all(token, ends, batch, border)
+                    token, ends = _shrunk(token, ends, sent.value, border)
+                    yield _packed([(token, ends, weights)], ["token", "ends", "weights"])
+
+        return cut(state.mapInArrow(run, _STATE))
+
+    out, batches = [], []
     while len(out) < merges:
-        top = state.mapInArrow(pairs, "left int, right int, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").limit(wide).collect()
-        batch = _apart([(r["n"], r["left"], r["right"]) for r in top])[: merges - len(out)]
+        top = counted(batches).orderBy(F.desc("n"), "code").limit(wide).collect()
+        batch = _apart([(r["n"], r["code"] >> SHIFT, r["code"] & (1 << SHIFT) - 1) for r in top])[: merges - len(out)]
         if not batch:
             break
-        numbered = [(a, b, 256 + len(out) + k) for k, (a, b) in enumerate(batch)]
-        state, since = state.mapInArrow(applied(numbered), "ids array<int>, n bigint"), since + len(batch)
+        batches.append([(a, b, 256 + len(out) + k) for k, (a, b) in enumerate(batch)])
         out += batch
-        if since >= keep:
-            state, since = cut(state), 0
-    return out
+        if len(batches) >= keep:
+            live = np.sort(np.array([r["code"] for r in counted(batches).select("code").toLocalIterator()], np.int64))
+            state, batches = written(batches, live), []
+            tokens = (state.agg(F.sum(F.octet_length("token"))).first()[0] or 0) // np.dtype(dtype).itemsize
+            if tokens <= local:
+                return state, tokens, out
+    return state.limit(0), 0, out
 
 
 def train(chunks: DataFrame, merges: int, local: int = LOCAL) -> list[tuple[int, int]]:
-    """The merges, most frequent pair first, until there are ``merges`` or no pair is left. Null chunks don't count."""
-    chunks = chunks.where("chunk is not null and n > 0")
-    if (chunks.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0) <= local:
-        return _train_here(sorted((r["chunk"].encode(), r["n"]) for r in chunks.toLocalIterator()), merges)
-    return _train_apart(chunks, merges)
+    """The merges, most frequent pair first, until there are ``merges`` or no pair is left. Chunks are distinct; null ones
+    don't count."""
+    border = 256 + merges
+    if border + 2 > 1 << SHIFT:
+        raise ValueError(f"more than {(1 << SHIFT) - 258} merges")
+    dtype = np.uint16 if border + 2 <= 1 << 16 else np.uint32
+    lines = cut(_lines(chunks.where("chunk is not null and n > 0 and octet_length(chunk) > 1").select("chunk", F.col("n").cast("bigint")), border, dtype))
+    size, least = _least(lines, merges)
+    state, tokens, out = lines.drop("rows"), size // np.dtype(dtype).itemsize, []
+    if tokens > local:
+        state, tokens, out = _train_apart(state, merges, border, dtype, least, local)
+    return _train_here(state, tokens, out, merges, border, dtype, least) if tokens else out
 
 
 def merges_table(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small fixtures with known answers, and brute force."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,37 @@ def test_bpe_training_equals_brute_force_here_and_on_the_cluster(spark):
         assert bpe.encode_chunk(w.encode(), made) == x
 
 
+def test_bpe_training_holds_few_bytes_a_token(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 16, raising=False)  # small parts, as a small table has them
+    r = random.Random(2)
+    chunks = sorted({"".join(r.choice("abcdefghij") for _ in range(r.randint(6, 30))) for _ in range(40_000)})
+    d = spark.createDataFrame([(c, r.randint(1, 3)) for c in chunks], "chunk string, n bigint")
+    tracemalloc.start()
+    try:
+        merges = bpe.train(d, 60)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(merges) == 60 and peak < 60 * sum(map(len, chunks))
+
+
+def test_bpe_rounds_keep_the_order_of_merges_and_hand_over(spark, monkeypatch):
+    runs = [("aaa", 100), ("cd", 90)]  # what "aa" leaves is more frequent than "cd"
+    assert bpe.train(spark.createDataFrame(runs, "chunk string, n bigint"), 3, local=0) == brute_merges(runs, 3) == [(97, 97), (256, 97), (99, 100)]
+    r = random.Random(5)
+    chunks = [(w, r.randint(1, 9)) for w in sorted({"".join(r.choice("abcdé") for _ in range(r.randint(1, 12))) for _ in range(40)})]
+    d, want, apart, left = spark.createDataFrame(chunks, "chunk string, n bigint"), brute_merges(chunks, 40), bpe._train_apart, []
+
+    def rounds(*args):
+        state, tokens, out = apart(*args, keep=2)
+        left.append((tokens, len(out)))
+        return state, tokens, out
+
+    monkeypatch.setattr(bpe, "_train_apart", rounds)
+    assert bpe.train(d, 40, local=230) == want
+    assert 0 < left[0][0] <= 230 and 0 < left[0][1] < 40
+
+
 def test_rounds_stop_where_merges_touch():
     assert bpe._apart([(9, 1, 2), (8, 3, 4), (7, 2, 5), (6, 7, 8)]) == [(1, 2), (3, 4)]
     assert bpe._apart([(9, 1, 2), (7, 3, 4), (7, 2, 5)]) == [(1, 2)] and bpe._apart([(3, 1, 1), (2, 4, 5)]) == [(1, 1), (4, 5)] and bpe._apart([]) == []
