@@ -10,6 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.sampling import band_windows
 from corpusloom.operators import bpe, chat, evaluation, packing, stream, tokenizer, tokens
 from corpusloom.operators.ranking import spread_rank
+from corpusloom.plans import registry
 from corpusloom.sources import read_prompts, store
 
 MESSAGES = "conv_id bigint, messages array<struct<role: string, content: string>>, received_at timestamp"
@@ -83,8 +84,7 @@ def test_spread_rank_equals_row_number(spark):
     d = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"))
     a = spread_rank(d, ["k"], F.md5(F.col("id").cast("string")), ties=["id"], buckets=16)
     rows = a.collect()
-    import hashlib
-
+    
     for k in ("hot", None):
         want = sorted((r["id"] for r in rows if r["k"] == k), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
         assert [r["id"] for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["rank"])] == want
@@ -164,6 +164,32 @@ def test_bpe_training_holds_few_bytes_a_token(spark, monkeypatch):
     assert len(merges) == 60 and peak < 60 * sum(map(len, chunks))
 
 
+def many_words(spark):
+    r = random.Random(3)
+    texts = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(6, 30))) for _ in range(100))) for i in range(300)]
+    return texts, spark.createDataFrame(texts, "doc_id bigint, text string")
+
+
+def driver_peak(make):
+    tracemalloc.start()
+    try:
+        return make(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_bpe_encode_query_holds_few_bytes_a_token_on_the_driver(spark, monkeypatch):
+    texts, d = many_words(spark)
+    monkeypatch.setattr(bpe, "PART", 16, raising=False)
+    monkeypatch.setattr(registry, "MERGES", 40)
+    monkeypatch.setattr(registry, "_docs", lambda *_: d)
+    e, peak = driver_peak(lambda: registry.QUERIES["bpe_encode"](spark, ""))
+    assert peak < 60 * sum(len(t) for _, t in texts)
+    made = {p: 256 + i for i, p in enumerate(bpe.train(bpe.chunk_counts(d), 40))}
+    ids = {r["doc_id"]: r["ids"] for r in e.collect()}
+    assert len(ids) == 300 and all(ids[k] == [x for c in bpe._CHUNK.findall(t) for x in bpe.encode_chunk(c.encode(), made)] for k, t in texts[:5])
+
+
 def test_bpe_rounds_keep_the_order_of_merges_and_hand_over(spark, monkeypatch):
     runs = [("aaa", 100), ("cd", 90)]  # what "aa" leaves is more frequent than "cd"
     assert bpe.train(spark.createDataFrame(runs, "chunk string, n bigint"), 3, local=0) == brute_merges(runs, 3) == [(97, 97), (256, 97), (99, 100)]
