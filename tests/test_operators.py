@@ -1,5 +1,6 @@
 """Small fixtures with known answers, and brute force."""
 
+import hashlib
 import random
 import tracemalloc
 
@@ -84,7 +85,8 @@ def test_spread_rank_equals_row_number(spark):
     d = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"))
     a = spread_rank(d, ["k"], F.md5(F.col("id").cast("string")), ties=["id"], buckets=16)
     rows = a.collect()
-    
+    import hashlib
+
     for k in ("hot", None):
         want = sorted((r["id"] for r in rows if r["k"] == k), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
         assert [r["id"] for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["rank"])] == want
@@ -190,6 +192,16 @@ def test_bpe_encode_query_holds_few_bytes_a_token_on_the_driver(spark, monkeypat
     assert len(ids) == 300 and all(ids[k] == [x for c in bpe._CHUNK.findall(t) for x in bpe.encode_chunk(c.encode(), made)] for k, t in texts[:5])
 
 
+def test_bpe_round_trip_query_holds_few_bytes_a_token_on_the_driver(spark, monkeypatch):
+    texts, d = many_words(spark)
+    monkeypatch.setattr(bpe, "PART", 16, raising=False)
+    monkeypatch.setattr(registry, "MERGES", 40)
+    monkeypatch.setattr(registry, "_docs", lambda *_: d)
+    back, peak = driver_peak(lambda: registry.QUERIES["bpe_roundtrip"](spark, ""))
+    assert peak < 60 * sum(len(t) for _, t in texts)
+    assert {r["doc_id"]: r["text_md5"] for r in back.collect()} == {k: hashlib.md5(t.encode()).hexdigest() for k, t in texts}
+
+
 def test_bpe_rounds_keep_the_order_of_merges_and_hand_over(spark, monkeypatch):
     runs = [("aaa", 100), ("cd", 90)]  # what "aa" leaves is more frequent than "cd"
     assert bpe.train(spark.createDataFrame(runs, "chunk string, n bigint"), 3, local=0) == brute_merges(runs, 3) == [(97, 97), (256, 97), (99, 100)]
