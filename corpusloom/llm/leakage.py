@@ -198,6 +198,63 @@ class Question:
         return best + around - shift, int(near[best])
 
 
+class Places:
+    """``Question.place`` for many passages of one array at once. The pairs of all questions are numbered, those of the array
+    are looked up once, and only those that some question has are compared."""
+
+    def __init__(self, questions: list[Question], other: int):
+        self.other, self.size = other, np.array([len(q.ids) for q in questions], np.int64)
+        code = np.concatenate([q.pairs for q in questions])
+        which = np.repeat(np.arange(len(questions), dtype=np.int64), [len(q.pairs) for q in questions])
+        self.pairs, number = np.unique(code, return_inverse=True)
+        key = which * len(self.pairs) + number  # ascending: a question's pairs are sorted
+        self.at = np.concatenate([q.order for q in questions])
+        self.keys, self.first, self.n = np.unique(key, return_index=True, return_counts=True)
+        self.most = np.ones(len(questions), np.int64)  # places of a pair in a question
+        if len(self.pairs):
+            np.maximum.at(self.most, self.keys // len(self.pairs), self.n)
+
+    def __call__(self, flat: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray, around: int = 4, cells: int = 1 << 20) -> list[tuple[int, int]]:
+        """``place`` of the words from ``lo`` to ``hi`` for the question ``which``, of each; about ``cells`` comparisons at a time."""
+        if not len(self.pairs):
+            return [(0, 0)] * len(which)
+        code = flat[:-1].astype(np.int64) * (self.other + 1) + flat[1:]
+        number = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        seen = np.flatnonzero(self.pairs[number] == code)
+        number = number[seen]
+        width = hi - lo + self.size[which] + 2 * around + 1
+        work = width * self.most[which]
+        part = (np.cumsum(work) - work) // cells
+        out: list[tuple[int, int]] = []
+        for a, b in zip(edge := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), [*edge[1:], len(part)]):
+            out += self._some(seen, number, which[a:b], lo[a:b], hi[a:b], width[a:b], around)
+        return out
+
+    def _some(self, seen: np.ndarray, number: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: np.ndarray, around: int) -> list[tuple[int, int]]:
+        c, i = _ranges(np.searchsorted(seen, lo), np.searchsorted(seen, np.maximum(lo, hi - 1)))
+        key = which[c] * len(self.pairs) + number[i]
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        good = np.flatnonzero(self.keys[k] == key)
+        c, i, k = c[good], i[good], k[good]
+        m, at = _ranges(self.first[k], self.first[k] + self.n[k])
+        c, i = c[m], i[m]
+        shift, base = self.size[which] + around, np.cumsum(width) - width
+        count = np.bincount(seen[i] - lo[c] - self.at[at] + shift[c] + base[c], minlength=int(width.sum()))
+        sums = np.concatenate(([0], np.cumsum(count), np.full(2 * around, len(at))))
+        near = sums[2 * around + 1 :] - sums[: -2 * around - 1]
+        near[(base + width)[:, None] - 1 - np.arange(2 * around)] = -1  # they reach into the next passage
+        most = np.maximum.reduceat(near, base)
+        top = np.flatnonzero(near == np.repeat(most, width))
+        best = top[np.searchsorted(top, base)] - base + around - shift
+        return list(zip(np.where(most > 0, best, 0).tolist(), most.tolist()))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges, one after another: (number of the range, value)."""
+    n = np.maximum(hi - lo, 0)
+    return np.repeat(np.arange(len(n)), n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 class Scale:
     """Windows of questions of like length, and the block size of the passages they are compared with."""
 
@@ -243,61 +300,94 @@ def candidates(scale: Scale, q: np.ndarray, space: np.ndarray, flat: np.ndarray,
 
 def align(q: np.ndarray, d: np.ndarray) -> int:
     """Most matched words of a local alignment of q with d: match 1, exchanged, missing or added word -2."""
-    n = len(q)
-    score, hit = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
-    best = 0
+    return aligned([(q, d)])[0]
+
+
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 14) -> list[int]:
+    """``align`` of each pair; those of like length go side by side, filled up with words that match nothing."""
+    out, by_size = [0] * len(pairs), sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    while by_size:
+        some, wide = [by_size.pop()], 0
+        wide = len(pairs[some[0]][0])
+        while by_size and (len(some) + 1) * max(wide, len(pairs[by_size[-1]][0])) <= cells:
+            some.append(by_size.pop())
+            wide = max(wide, len(pairs[some[-1]][0]))
+        for k, m in zip(some, _aligned([pairs[k] for k in some])):
+            out[k] = m
+    return out
+
+
+def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    n, size = max(len(q) for q, _ in pairs), max(len(d) for _, d in pairs)
+    left, right = np.full((len(pairs), n), -1, np.int64), np.full((size, len(pairs), 1), -2, np.int64)
+    for k, (q, d) in enumerate(pairs):
+        left[k, : len(q)], right[: len(d), k, 0] = q, d
+    score, hit = np.zeros((len(pairs), n + 1), np.int32), np.zeros((len(pairs), n + 1), np.int32)
+    best = np.zeros(len(pairs), np.int32)
     step = 2 * np.arange(n + 1, dtype=np.int32)
-    known = np.isin(d, q)
-    for w, seen in zip(d.tolist(), known.tolist()):
-        match = np.zeros(n, np.int32)
-        if seen:
-            match[q == w] = 1
-        s, h = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
-        across = np.where(match > 0, score[:-1] + 1, score[:-1] - 2)
-        s[1:], h[1:] = across, hit[:-1] + match
+    for word in right:
+        match = left == word
+        s, h = np.zeros_like(score), np.zeros_like(hit)
+        s[:, 1:], h[:, 1:] = score[:, :-1] + np.where(match, np.int32(1), np.int32(-2)), hit[:, :-1] + match
         skip = score - 2
         take = skip > s
-        s[take], h[take] = skip[take], hit[take]
+        s, h = np.where(take, skip, s), np.where(take, hit, h)
         # a missing word: the best score to the left, less two for each step
         run = s + step
-        top = np.maximum.accumulate(run)
-        src = np.maximum.accumulate(np.where(run == top, step // 2, 0))
-        left = top - step
-        take = left > s
-        s[take], h[take] = left[take], h[src[take]]
-        dead = s <= 0
-        s[dead], h[dead] = 0, 0
-        score, hit = s, h
-        best = max(best, int(h.max()))
-    return best
+        top = np.maximum.accumulate(run, axis=1)
+        src = np.maximum.accumulate(np.where(run == top, step // 2, 0), axis=1)
+        take = top - step > s
+        s, h = np.where(take, top - step, s), np.where(take, np.take_along_axis(h, src, 1), h)
+        live = s > 0
+        score, hit = s * live, h * live
+        best = np.maximum(best, hit.max(axis=1))
+    return best.tolist()
 
 
 def contains(text: np.ndarray, part: np.ndarray) -> bool:
     """Whether the words of ``part`` stand in the text one after another."""
     if not len(part) or len(part) > len(text):
         return False
-    at = np.flatnonzero(text[: len(text) - len(part) + 1] == part[0])
-    for k in range(1, len(part)):
-        at = at[text[at + k] == part[k]]
-    return len(at) > 0
+    whole, some = text.tobytes(), part.astype(text.dtype).tobytes()
+    at = whole.find(some)
+    while at > 0 and at % text.itemsize:  # it begins inside a number
+        at = whole.find(some, at + 1)
+    return at >= 0
+
+
+def _near(n: int, size: int, first: int, last: int, block: int) -> tuple[int, int]:
+    """From and up to which of ``size`` words a question of ``n`` is sought around passages found in a document."""
+    return max(0, first - n - block), min(size, last + 2 * block + n)
 
 
 def judged(question: Question, text: np.ndarray, first: int, last: int, block: int, answers: list[np.ndarray]) -> tuple[str | None, float]:
     """(stretch, paraphrase or None; share of the question's words) of a document near the passages found in it."""
-    n, q = len(question.ids), question.ids
-    lo = max(0, first - n - block)
-    near = text[lo : last + 2 * block + n]
-    at, pairs = question.place(near)
-    if n < 6 or pairs >= max(1, 0.2 * n - 1):
-        around = near[max(0, at - BLOCK) : max(0, at + n + BLOCK)] if n >= 6 else near
-        # an alignment matches no more words than the longest common subsequence has
-        if 2 * common_in_order(q, around) >= n and 2 * (m := align(q, around)) >= n:
-            return "stretch", m / n
-    if any(contains(near, a) for a in answers):
-        room = near[max(0, at - n // 4) : max(0, at + n + n // 4)]
-        if n >= 6 and (m := common_in_order(q, room)) >= 0.6 * n:
-            return "paraphrase", m / n
-    return None, 0.0
+    lo, hi = _near(len(question.ids), len(text), first, last, block)
+    return judged_all([(question, text[lo:hi], answers)], [question.place(text[lo:hi])])[0]
+
+
+def judged_all(near: list[tuple[Question, np.ndarray, list[np.ndarray]]], places: list[tuple[int, int]]) -> list[tuple[str | None, float]]:
+    """``judged`` of each question, the words near the passages and its answers; places: of the question in these words."""
+    jobs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k, ((question, text, _), (at, pairs)) in enumerate(zip(near, places)):
+        n, q = len(question.ids), question.ids
+        if n < 6 or pairs >= max(1, 0.2 * n - 1):
+            around = text[max(0, at - BLOCK) : max(0, at + n + BLOCK)] if n >= 6 else text
+            # an alignment matches no more words than the longest common subsequence has
+            if 2 * common_in_order(q, around) >= n:
+                jobs[k] = q, around
+    matched, out = dict(zip(jobs, aligned([*jobs.values()]))), []
+    for k, ((question, text, answers), (at, _)) in enumerate(zip(near, places)):
+        n, q = len(question.ids), question.ids
+        how, share = None, 0.0
+        if 2 * (m := matched.get(k, 0)) >= n:
+            how, share = "stretch", m / n
+        elif n >= 6 and any(contains(text, a) for a in answers):
+            room = text[max(0, at - n // 4) : max(0, at + n + n // 4)]
+            if (m := common_in_order(q, room)) >= 0.6 * n:
+                how, share = "paraphrase", m / n
+        out.append((how, share))
+    return out
 
 
 def _parts(items: DataFrame, part_words: int) -> Iterator[list[tuple[list[str], list[tuple[int, str, list[str]]]]]]:
@@ -340,21 +430,26 @@ def _search(documents: DataFrame, part: list, fit_documents: int) -> DataFrame |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, scales, asked = sent.value
         questions = [Question(x, other) for x, _ in asked]
-        vectors = []
+        places, vectors = Places(questions, other), []
         for s in scales:
             v = _gather(s.wins, space)
             vectors.append(np.ascontiguousarray((v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)).T))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
                 flat, off = _lists(b)
                 key, rows = b.column("doc_id").to_pylist(), []
                 for s, v in zip(scales, vectors):
-                    for (d, i), (first, last) in candidates(s, v, space, flat, off).items():
-                        text, held = flat[off[d] : off[d + 1]], asked[i][1]
-                        how, m = judged(questions[i], text, first, last, s.block, [a for _, _, a in held])
+                    if not (found := candidates(s, v, space, flat, off)):
+                        continue
+                    doc, which = np.array([*found], np.int64).T
+                    near = np.array([_near(len(questions[i].ids), int(off[d + 1] - off[d]), *at, s.block) for (d, i), at in found.items()], np.int64)
+                    lo, hi = (near + off[doc][:, None]).T
+                    asks = [(questions[i], flat[x:y], [a for _, _, a in asked[i][1]]) for i, x, y in zip(which.tolist(), lo.tolist(), hi.tolist())]
+                    for d, i, (how, m) in zip(doc.tolist(), which.tolist(), judged_all(asks, places(flat, which, lo, hi))):
                         if how:
-                            rows += [(key[d], item, name, m, how, contains(text, a)) for item, name, a in held]
+                            text = flat[off[d] : off[d + 1]]
+                            rows += [(key[d], item, name, m, how, contains(text, a)) for item, name, a in asked[i][1]]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=cols), pa.schema(types), preserve_index=False)
 
     cols = ["doc_id", "item_id", "dataset_name", "matched", "how", "answer_present"]
