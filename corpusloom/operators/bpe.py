@@ -14,11 +14,14 @@ more, need a token each before a pair below ``least`` has its turn; and no pair
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from corpusloom.session import cut
 CHUNK = rf"{SPACE}*[^\s\x1c-\x1f\x85\p{{Z}}]+|{SPACE}+"
 _CHUNK = re.compile(r"\s*\S+|\s+")
 LOCAL = 56_000_000  # tokens that are merged on the driver, eight bytes each
+SHORT = 64  # bytes of a chunk that is encoded together with others
 SHIFT, PART = 20, 21  # bits of a token in a pair's code; of a place in a part that is sorted at once
 
 
@@ -412,24 +416,105 @@ def encode_chunk(chunk: bytes, made: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def encode_chunks(chunks: list[bytes], made: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks in one array, and how many each has. In every round each chunk's lowest merge is made at all of its
+    places: a pair with the new token in it is of a higher merge. Chunks of more than ``SHORT`` bytes are encoded alone."""
+    none = np.iinfo(np.int64).max
+    codes = np.append(np.array(list(made), np.int64).reshape(-1, 2) @ (1 << 32, 1), none)  # the last is behind all pairs
+    order = np.argsort(codes)
+    codes, ids = codes[order], np.append(np.array(list(made.values()), np.int64), none)[order]
+
+    def merge_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        code = left << 32 | right
+        at = np.searchsorted(codes, code)
+        return np.where(codes[at] == code, ids[at], none)
+
+    rows, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(chunks), 20_000):
+        raw = chunks[lo : lo + 20_000]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        for i in np.flatnonzero(size > SHORT).tolist():
+            x = encode_chunk(raw[i], made)
+            rows.append(np.full(len(x), lo + i))
+            tokens.append(np.array(x, np.int64))
+        row = np.repeat(np.arange(lo, lo + len(raw)), np.where(size > SHORT, 0, size))
+        token = np.frombuffer(b"".join([c for c in raw if len(c) <= SHORT]), np.uint8).astype(np.int64)
+        new = np.full(len(token), none)
+        new[:-1] = np.where(row[:-1] == row[1:], merge_of(token[:-1], token[1:]), none)
+        while len(token):
+            first = _first(row)
+            low = np.repeat(np.minimum.reduceat(new, first), np.diff(first, append=len(row)))
+            live = low < none
+            rows.append(row[~live])
+            tokens.append(token[~live])
+            row, token, new, low = row[live], token[live], new[live], low[live]
+            hit = np.flatnonzero(new == low)
+            hit = hit[_every_second(hit)]
+            token[hit] = low[hit]
+            keep = np.ones(len(token), bool)
+            keep[hit + 1] = False
+            row, token, new = row[keep], token[keep], new[keep]
+            hit -= np.arange(len(hit))
+            for i in (hit, hit[hit > 0] - 1):
+                j = np.minimum(i + 1, len(row) - 1)
+                new[i] = np.where((j > i) & (row[i] == row[j]), merge_of(token[i], token[j]), none)
+    row = np.concatenate(rows)
+    return np.concatenate(tokens)[np.argsort(row, kind="stable")].astype(np.int32), np.bincount(row, minlength=len(chunks)).astype(np.int32)
+
+
+class _Numbers(dict):
+    """Every chunk's number, in the order in which they come."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        return n
+
+
+class _Encoder:
+    """Encodes each chunk once, until it has met 500,000 of them."""
+
+    def __init__(self, made: dict[tuple[int, int], int]):
+        self.made = made
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.flat, self.size = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def lists(self, texts: pa.Array) -> pa.Array:
+        """The ids of every text; a null one has none."""
+        if len(self.known) > 500_000:
+            self._clear()
+        which, ends = array("i"), [0]
+        for t in texts:
+            which.extend(map(self.known.__getitem__, _CHUNK.findall(t.as_py() or "")))
+            ends.append(len(which))
+        fresh = [c.encode() for c in itertools.islice(self.known, len(self.size), None)]
+        flat, size = encode_chunks(fresh, self.made)
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        at = np.frombuffer(which, np.int32)
+        n = self.size[at]
+        to = np.cumsum(n, dtype=np.int32)
+        begin = np.cumsum(self.size, dtype=np.int32) - self.size
+        where = np.repeat(begin[at] - (to - n), n)
+        where += np.arange(len(where), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.append(np.zeros(1, np.int32), to)[ends]), pa.array(self.flat[where]))
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, for what is held beside them grows with their rows."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def encode(docs: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids); a worker encodes each chunk once. The merges, bounded by the vocabulary's size, are sent to the workers."""
     sent = docs.sparkSession.sparkContext.broadcast({p: 256 + i for i, p in enumerate(merges)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, known = sent.value, {}
-        for b in batches:
-            rows = []
-            for t in b.column(text).to_pylist():
-                ids: list[int] = []
-                for c in _CHUNK.findall(t or ""):
-                    if (x := known.get(c)) is None:
-                        x = known[c] = encode_chunk(c.encode(), made)
-                    ids += x
-                rows.append(ids)
-                if len(known) > 500_000:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(rows, pa.list_(pa.int32()))], [key, "ids"])
+        encoder = _Encoder(sent.value)
+        for b in _few(batches):
+            yield pa.RecordBatch.from_arrays([b.column(key), encoder.lists(b.column(text))], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} bigint, ids array<int>")
 
@@ -441,14 +526,26 @@ def vocabulary(merges: list[tuple[int, int]]) -> list[bytes]:
     return out
 
 
+def texts(ids: pa.ListArray, vocab: pa.LargeBinaryArray) -> pa.Array:
+    """The texts of lists of ids: the bytes of all lie in one buffer, of which every text is a stretch."""
+    taken = vocab.take(ids.flatten())
+    _, at, data = taken.buffers()
+    at = np.frombuffer(at, np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+    rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at[ends].copy()), data or pa.py_buffer(b"")])
+    try:
+        return rows.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # no UTF-8
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in rows], pa.string())
+
+
 def decode(ids: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id") -> DataFrame:
     """(key, text): bytes of the ids, with a replacement mark where they are no UTF-8."""
     sent = ids.sparkSession.sparkContext.broadcast(vocabulary(merges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value
-        for b in batches:
-            texts = [b"".join([vocab[i] for i in x]).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(texts, pa.string())], [key, "text"])
+        vocab = pa.array(sent.value, pa.large_binary())
+        for b in _few(batches):
+            yield pa.RecordBatch.from_arrays([b.column(key), texts(b.column("ids"), vocab)], [key, "text"])
 
     return ids.select(key, "ids").mapInArrow(run, f"{key} bigint, text string")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,18 @@ def test_bpe_round_trip_query_holds_few_bytes_a_token_on_the_driver(spark, monke
     assert {r["doc_id"]: r["text_md5"] for r in back.collect()} == {k: hashlib.md5(t.encode()).hexdigest() for k, t in texts}
 
 
+def test_bpe_round_trip_decodes_without_an_object_an_id():
+    vocab = pa.array([bytes([i]) for i in range(256)] + [b"ab", "é".encode()], pa.large_binary())
+    lists = [[], [256, 97], [257, 10, 256], [195], [195, 169, 255]]
+    x = pa.array([None, *lists], pa.list_(pa.int32())).slice(1)
+    assert bpe.texts(x, vocab).to_pylist() == ["", "aba", "é\nab", "\ufffd", "é\ufffd"]
+    assert bpe.texts(x.slice(1, 2), vocab).to_pylist() == ["aba", "é\nab"] and bpe.texts(x.slice(0, 0), vocab).to_pylist() == [] and bpe.texts(x.slice(0, 1), vocab).to_pylist() == [""]
+    r, n = random.Random(7), 200_000
+    many = pa.array([[r.randint(97, 122) for _ in range(n)], [256] * n], pa.list_(pa.int32()))
+    back, peak = driver_peak(lambda: bpe.texts(many, vocab))
+    assert back.type == pa.string() and back[1].as_py() == "ab" * n and len(back[0].as_py()) == n and peak < 2 * n
+
+
 def test_bpe_rounds_keep_the_order_of_merges_and_hand_over(spark, monkeypatch):
     runs = [("aaa", 100), ("cd", 90)]  # what "aa" leaves is more frequent than "cd"
     assert bpe.train(spark.createDataFrame(runs, "chunk string, n bigint"), 3, local=0) == brute_merges(runs, 3) == [(97, 97), (256, 97), (99, 100)]
