@@ -215,6 +215,24 @@ def test_bpe_round_trip_decodes_without_an_object_an_id():
     assert back.type == pa.string() and back[1].as_py() == "ab" * n and len(back[0].as_py()) == n and peak < 2 * n
 
 
+def test_bpe_encode_takes_chunks_together():
+    r = random.Random(6)
+    words = ["", "a", "aaaaa", "aaaaaa", "ab" * 40, "é" * 70, *("".join(r.choice("aabcé") for _ in range(r.randint(1, 90))) for _ in range(400))]
+    merges = brute_merges([(w, r.randint(1, 9)) for w in words[:60]], 60)
+    made = {p: 256 + i for i, p in enumerate(merges)}
+    for m in (made, {}):
+        flat, size = bpe.encode_chunks([w.encode() for w in words], m)
+        ends = size.cumsum()
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, size)] == [bpe.encode_chunk(w.encode(), m) for w in words]
+    assert bpe.encode_chunks([], made)[0].tolist() == [] and bpe.encode_chunks([b"ab" * 40], made)[0].tolist() == bpe.encode_chunk(b"ab" * 40, made)
+    texts = [None, "", " \n", *(" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(100))]
+    e = bpe._Encoder(made)
+    want = [[x for c in bpe._CHUNK.findall(t or "") for x in bpe.encode_chunk(c.encode(), made)] for t in texts]
+    assert e.lists(pa.array(texts[:50])).to_pylist() + e.lists(pa.array(texts[50:])).to_pylist() == want
+    e.known.update((str(i) * 9, i) for i in range(len(e.known), 500_001))  # forgotten when there are too many
+    assert e.lists(pa.array(texts)).to_pylist() == want and len(e.known) < 1000 and e.lists(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_bpe_rounds_keep_the_order_of_merges_and_hand_over(spark, monkeypatch):
     runs = [("aaa", 100), ("cd", 90)]  # what "aa" leaves is more frequent than "cd"
     assert bpe.train(spark.createDataFrame(runs, "chunk string, n bigint"), 3, local=0) == brute_merges(runs, 3) == [(97, 97), (256, 97), (99, 100)]
